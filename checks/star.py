@@ -150,7 +150,7 @@ j AS (
   SELECT 1 AS src_ord, j.* FROM j WHERE o_orderdate >= TIMESTAMP '1998-06-01 00:00:00'
 ), raw AS (
 SELECT src_ord,
-       l_linenumber AS row_ord,
+       CAST(l_linenumber AS BIGINT) AS row_ord,
        CASE WHEN is_c THEN concat('c', CAST(l_orderkey AS STRING)) ELSE CAST(l_orderkey AS STRING) END AS invoice_no,
        CASE WHEN p_type = 'PROMO' AND p_size <= 5 THEN 'POST'
             WHEN l_partkey % 200 = 7 THEN 'TEST001'

@@ -72,6 +72,15 @@ def running_total(df: DataFrame, order: Sequence[Column], value: str) -> DataFra
     )
 
 
+def _value_counts(df: DataFrame, value: str, weight: str | None) -> DataFrame:
+    rows = F.sum(weight) if weight else F.count("*")
+    return (
+        df.filter(F.col(value).isNotNull())
+        .groupBy(F.col(value).alias("_value"))
+        .agg(rows.alias("_n"))
+    )
+
+
 def exact_quantiles(
     df: DataFrame, value: str, probabilities: Sequence[float], weight: str | None = None
 ) -> DataFrame:
@@ -81,15 +90,13 @@ def exact_quantiles(
     and finds the two neighbours of each position by rank, so it does not depend on
     the number of distinct values either. Nulls are ignored; no values -> null.
     """
-    rows = F.sum(weight) if weight else F.count("*")
-    counted = df.filter(F.col(value).isNotNull()).groupBy(value).agg(rows.alias("_n"))
-    ranked = running_total(counted, [F.col(value)], "_n")
+    ranked = running_total(_value_counts(df, value, weight), [F.col("_value")], "_n")
 
     def near(p: float, edge) -> Column:
         """The value whose ranks cover the position just below or above ``p``."""
         position = edge((F.col("total") - 1) * float(p))
         hit = (F.col("cum") - F.col("_n") <= position) & (position < F.col("cum"))
-        return F.max(F.when(hit, C.dbl(F.col(value))))
+        return F.max(F.when(hit, C.dbl(F.col("_value"))))
 
     parts = [F.max("total").alias("_total")]
     for i, p in enumerate(probabilities):
@@ -114,10 +121,10 @@ def day_quantiles(
     The calendar bounds the number of distinct values, so the built-in exact
     percentile over (value, count) pairs holds a few thousand entries at most.
     """
-    rows = F.sum(weight) if weight else F.count("*")
-    counted = df.filter(F.col(value).isNotNull()).groupBy(value).agg(rows.alias("_n"))
     wanted = F.array(*(F.lit(float(p)) for p in probabilities))
-    return counted.agg(F.percentile(value, wanted, F.col("_n")).alias("quantiles"))
+    return _value_counts(df, value, weight).agg(
+        F.percentile("_value", wanted, F.col("_n")).alias("quantiles")
+    )
 
 
 def most_common(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
