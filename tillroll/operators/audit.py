@@ -119,8 +119,8 @@ def nonstandard_codes(raw: DataFrame, limit: int = 14) -> DataFrame:
         .orderBy("amount", "stock_code")
         .limit(limit)
     )
-    # `top` has passed a limit, so it may be broadcast
-    lines = odd.join(F.broadcast(top.select("stock_code")), "stock_code", "left_semi")
+    # the limit tells the planner how small `top` is
+    lines = odd.join(top.select("stock_code"), "stock_code", "left_semi")
     labels = most_common(lines, ["stock_code"], "description")
     return top.join(labels, "stock_code", "left").select(
         "stock_code",

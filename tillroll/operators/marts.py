@@ -9,14 +9,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tillroll.functions import columns as C
 from tillroll.operators import base
 from tillroll.operators.gaps import day_gap_counts
 from tillroll.operators.scale import (
-    day_quantiles,
+    compact_quantiles,
     most_common,
     running_total,
     share_of_total,
@@ -29,6 +29,15 @@ def _money(name: str):
 
 
 # ---------------------------------------------------------------- time
+def calendar_back(value: str, months: int) -> Column:
+    """The value ``months`` calendar months earlier, null if that month has no row.
+
+    For frames with one row per month: the window sees a few hundred rows at most.
+    """
+    serial = F.year("month_start") * 12 + F.month("month_start")
+    return F.max(value).over(Window.orderBy(serial).rangeBetween(-months, -months))
+
+
 def monthly_kpi(ctx: Context, calendar_lag: bool = False) -> DataFrame:
     """Turnover, orders, customers and newcomers per month.
 
@@ -50,13 +59,10 @@ def monthly_kpi(ctx: Context, calendar_lag: bool = False) -> DataFrame:
     )
     newcomers = F.coalesce("newcomers", F.lit(0)).cast("bigint")
 
-    # one row per calendar month from here on
     def back(months: int):
-        if not calendar_lag:
-            return F.lag("revenue", months).over(Window.orderBy("month_start"))
-        serial = F.year("month_start") * 12 + F.month("month_start")
-        that_month = Window.orderBy(serial).rangeBetween(-months, -months)
-        return F.max("revenue").over(that_month)
+        if calendar_lag:
+            return calendar_back("revenue", months)
+        return F.lag("revenue", months).over(Window.orderBy("month_start"))
 
     return active.join(joined, "month_start", "left").select(
         C.month_label(F.col("month_start")).alias("month"),
@@ -190,7 +196,7 @@ def customer_concentration(ctx: Context) -> DataFrame:
 def purchase_gaps(ctx: Context) -> DataFrame:
     """Calendar days between a customer's consecutive invoices."""
     gaps = day_gap_counts(ctx.known_orders)
-    quarters = day_quantiles(gaps, "gap_days", [0.25, 0.5, 0.75], weight="gaps").scalar()
+    quarters = compact_quantiles(gaps, "gap_days", [0.25, 0.5, 0.75], weight="gaps").scalar()
     total = F.sum("gaps")
 
     def share(condition):
@@ -371,10 +377,11 @@ def reversed_products(ctx: Context, limit: int = 25) -> DataFrame:
 def with_labels(top: DataFrame, lines: DataFrame) -> DataFrame:
     """Add the usual description to the few codes of a top-k frame.
 
-    ``top`` has passed a limit, so broadcasting it to find its lines is bounded.
+    ``top`` has passed a limit, so the planner knows its size: it broadcasts a small
+    one to find its lines and shuffles a large one.
     """
     same = F.col("w.stock_code").eqNullSafe(F.col("l.stock_code"))
-    winners = F.broadcast(top.select("stock_code")).alias("w")
+    winners = top.select("stock_code").alias("w")
     named = lines.select("stock_code", "description").alias("l").join(winners, same, "left_semi")
     labels = most_common(named, ["stock_code"], "description").alias("l")
     return (

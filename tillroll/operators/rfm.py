@@ -8,16 +8,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tillroll.functions import columns as C
-from tillroll.operators.scale import exact_quantiles
+from tillroll.operators.scale import compact_quantiles, exact_quantiles
 from tillroll.rules import Rules
 
 # --- fixed values: score borders ------------------------------------------------
 SCORE_QUANTILES: tuple[float, ...] = (0.2, 0.4, 0.6, 0.8)
 
 
-def _cuts_passed(customers: DataFrame, measure: str) -> Column:
+def _cuts_passed(customers: DataFrame, measure: str, quantiles=compact_quantiles) -> Column:
     """How many of the four cuts a customer strictly exceeds, 0-4."""
-    cuts = exact_quantiles(customers, measure, SCORE_QUANTILES).scalar()
+    cuts = quantiles(customers, measure, SCORE_QUANTILES).scalar()
     passed = [
         (C.dbl(F.col(measure)) > cuts[i]).cast("int") for i in range(len(SCORE_QUANTILES))
     ]
@@ -44,7 +44,7 @@ def score_customers(customers: DataFrame, rules: Rules) -> DataFrame:
         "*",
         (5 - _cuts_passed(customers, "recency_days")).alias("r_score"),
         (1 + _cuts_passed(customers, "frequency")).alias("f_score"),
-        (1 + _cuts_passed(customers, "monetary")).alias("m_score"),
+        (1 + _cuts_passed(customers, "monetary", exact_quantiles)).alias("m_score"),
     )
     r, f, m = F.col("r_score"), F.col("f_score"), F.col("m_score")
     return scored.select(

@@ -2,6 +2,7 @@
 
 * :func:`running_total` - global rank and running sum without a one-partition sort
 * :func:`exact_quantiles` - interpolated quantiles by rank, any number of values
+* :func:`compact_quantiles` - the same for days and counts, in one aggregate
 * :func:`most_common` - mode per key from counts, safe for hot keys
 * :func:`salted_left_join`, :func:`salted_semi_join` - lookups whose big side may hold a hot key
 * :func:`share_of_total` - share of a whole-table total without an empty window
@@ -113,13 +114,15 @@ def exact_quantiles(
     )
 
 
-def day_quantiles(
+def compact_quantiles(
     df: DataFrame, value: str, probabilities: Sequence[float], weight: str | None = None
 ) -> DataFrame:
-    """:func:`exact_quantiles` for whole days.
+    """:func:`exact_quantiles` for measures with few distinct values.
 
-    The calendar bounds the number of distinct values, so the built-in exact
-    percentile over (value, count) pairs holds a few thousand entries at most.
+    Whole days are bounded by the calendar. Order counts are bounded by their own
+    sum: d different counts need at least d(d+1)/2 orders, so 10^12 orders cannot
+    show more than 1.5 million. The built-in exact percentile over (value, count)
+    pairs then needs no ranking; money must use :func:`exact_quantiles`.
     """
     wanted = F.array(*(F.lit(float(p)) for p in probabilities))
     return _value_counts(df, value, weight).agg(

@@ -14,9 +14,9 @@ from pyspark.sql import functions as F
 from tillroll.functions import columns as C
 from tillroll.operators import base
 from tillroll.operators.gaps import elapsed_gap_counts, one_row_per_gap
-from tillroll.operators.marts import repeat_rates, with_labels
+from tillroll.operators.marts import calendar_back, repeat_rates, with_labels
 from tillroll.operators.scale import (
-    day_quantiles,
+    compact_quantiles,
     exact_quantiles,
     running_total,
     share_of_total,
@@ -50,9 +50,8 @@ class Slice:
         """KPI card (D1). An empty slice has AOV 0 and no guest share."""
         money = F.col("line_revenue")
         is_sale = F.col("line_type") == C.SALE
-        known = F.when(is_sale, F.col("customer_id"))
-        per_invoice = self.lines.groupBy(
-            F.when(is_sale, F.col("invoice_no")).alias("invoice_no"), known.alias("customer_id")
+        invoices = self.lines.groupBy(
+            F.when(is_sale, F.col("invoice_no")).alias("invoice_no")
         ).agg(
             F.sum(F.when(is_sale, money)).alias("sold"),
             F.sum(F.when(~is_sale, money)).alias("reversed"),
@@ -62,19 +61,15 @@ class Slice:
             F.count_if(F.col("line_type") == C.CANCELLATION).alias("cancellations"),
             F.count_if(F.col("line_type") == C.RETURN).alias("returns"),
         )
-        order_totals = (
-            self.sales.filter("invoice_no IS NOT NULL")
-            .groupBy("invoice_no")
-            .agg(F.sum("line_revenue").alias("total"))
-        )
-        median = exact_quantiles(order_totals, "total", [0.5]).scalar()[0]
+        orders = invoices.filter("invoice_no IS NOT NULL")
+        median = exact_quantiles(orders, "sold", [0.5]).scalar()[0]
+        customers = self.sales.agg(F.count_distinct("customer_id")).scalar()
         zero = F.lit(0)
-        return per_invoice.agg(
+        return invoices.agg(
             F.coalesce(F.sum("sold"), zero).alias("sold"),
             F.coalesce(F.sum("reversed"), zero).alias("reversed"),
             F.sum(F.when(F.col("invoice_no").isNotNull(), F.col("sold"))).alias("invoiced"),
-            F.count_distinct("invoice_no").alias("orders"),
-            F.count_distinct("customer_id").alias("customers"),
+            F.count("invoice_no").alias("orders"),
             *(
                 F.coalesce(F.sum(name), zero).alias(name)
                 for name in ("lines", "guest_lines", "units", "cancellations", "returns")
@@ -86,7 +81,7 @@ class Slice:
             "orders",
             F.coalesce(C.ratio(F.col("invoiced"), F.col("orders")), F.lit(0.0)).alias("aov"),
             F.coalesce(median, F.lit(0.0)).alias("median_order"),
-            "customers",
+            customers.alias("customers"),
             C.ratio(F.col("guest_lines"), F.col("lines")).alias("guest_share"),
             "lines",
             "units",
@@ -115,7 +110,7 @@ class Slice:
             )
         )
         again = F.col("purchases") > 1
-        days = day_quantiles(per_customer.filter(again), "days", [0.5, 0.75]).scalar()
+        days = compact_quantiles(per_customer.filter(again), "days", [0.5, 0.75]).scalar()
         rate = C.ratio(F.col("again"), F.col("customers"))
         return (
             per_customer.agg(
@@ -168,16 +163,9 @@ class Slice:
             F.sum("line_revenue").alias("reversed")
         )
 
-        def month_back(months: int, name: str) -> DataFrame:
-            return orders.groupBy(
-                F.add_months("month_start", months).cast("date").alias("month_start")
-            ).agg(F.sum("revenue").alias(name))
-
         new = F.coalesce("newcomers", F.lit(0)).cast("bigint")
         reversed_ = F.coalesce("reversed", F.lit(0).cast("decimal(28,2)"))
-        joined = active
-        for part in (newcomers, undone, month_back(1, "_prev"), month_back(12, "_year_ago")):
-            joined = joined.join(part, "month_start", "left")
+        joined = active.join(newcomers, "month_start", "left").join(undone, "month_start", "left")
         return joined.select(
             "month_start",
             C.month_label(F.col("month_start")).alias("month"),
@@ -191,8 +179,8 @@ class Slice:
             C.ratio(F.col("revenue"), F.col("customers")).alias("revenue_per_customer"),
             C.dbl(reversed_).alias("reversal_value"),
             C.dbl(F.col("revenue") + reversed_).alias("net_revenue"),
-            (C.ratio(F.col("revenue"), F.col("_prev")) - 1).alias("mom_revenue"),
-            (C.ratio(F.col("revenue"), F.col("_year_ago")) - 1).alias("yoy_revenue"),
+            (C.ratio(F.col("revenue"), calendar_back("revenue", 1)) - 1).alias("mom_revenue"),
+            (C.ratio(F.col("revenue"), calendar_back("revenue", 12)) - 1).alias("yoy_revenue"),
         )
 
     def cancellations_monthly(self) -> DataFrame:
@@ -398,7 +386,7 @@ class Slice:
 
     def gap_quantiles(self) -> DataFrame:
         """Median and upper quartile of the gaps."""
-        cuts = day_quantiles(self.gap_counts(), "gap_days", [0.5, 0.75], weight="gaps")
+        cuts = compact_quantiles(self.gap_counts(), "gap_days", [0.5, 0.75], weight="gaps")
         return cuts.select(
             F.col("quantiles")[0].alias("median_gap_days"),
             F.col("quantiles")[1].alias("p75_gap_days"),
