@@ -73,7 +73,8 @@ def feed_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     return (
         _table(spark, sf_dir, "lineitem")
-        .join(placed, c("l_orderkey") == c("o_orderkey"))
+        # two big sides: a shuffle join at any size worth the name
+        .join(placed.hint("merge"), c("l_orderkey") == c("o_orderkey"))
         .join(parts, c("l_partkey") == c("p_partkey"))
         .withColumn("src_ord", F.explode(sources))
         .select(

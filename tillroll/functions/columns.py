@@ -16,6 +16,7 @@ SALE, CANCELLATION, RETURN = "sale", "cancellation", "return"
 # Java needs (?U) for no-break spaces and letters beyond ASCII
 _SPACE = r"(?U)\s+"
 _EDGE_SPACE = r"(?U)^\s+|\s+$"
+_NUMBER = r"^\s*[+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?\s*$"
 
 
 # ---------------------------------------------------------------- cleaning
@@ -35,9 +36,12 @@ def clean_text(col: Column) -> Column:
     return F.nullif(collapsed, F.lit(""))
 
 
-def whole_number(col: Column) -> Column:
+def whole_number(col: Column, dtype: T.DataType) -> Column:
     """Customer ids: ``12346``, ``'12346.0'`` -> 12346; anything unreadable -> null."""
     number = col.try_cast("decimal(38,6)")
+    if isinstance(dtype, T.StringType):
+        # a failed cast costs far more than this test, and feeds hold many of them
+        number = F.when(col.rlike(_NUMBER), number)
     return F.when(number % 1 == 0, number.try_cast("bigint"))
 
 

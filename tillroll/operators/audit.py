@@ -240,7 +240,9 @@ def before_after(raw: DataFrame, fact: DataFrame) -> DataFrame:
 
     before = raw.select(
         F.col("invoice_no").cast("string").alias("invoice_no"),
-        C.whole_number(F.col("customer_id")).alias("customer_id"),
+        C.whole_number(F.col("customer_id"), raw.schema["customer_id"].dataType).alias(
+            "customer_id"
+        ),
         _amount().alias("amount"),
         F.col("invoice_date").cast("timestamp_ntz").alias("moment"),
     )

@@ -44,7 +44,9 @@ def normalize_types(raw: DataFrame, rules: Rules) -> DataFrame:
             "invoice_date": F.col("invoice_date").cast("timestamp_ntz"),
             "quantity": F.col("quantity").cast("int"),
             "unit_price": C.money(F.col("unit_price")),
-            "customer_id": C.whole_number(F.col("customer_id")),
+            "customer_id": C.whole_number(
+                F.col("customer_id"), raw.schema["customer_id"].dataType
+            ),
         }
     )
     return map_country(typed, rules)
