@@ -129,7 +129,7 @@ def backfill_description(df: DataFrame) -> DataFrame:
         nameless.drop("description"),
         known,
         ["stock_code"],
-        spread=["invoice_no", "invoice_date", "quantity"],
+        spread=["invoice_no", "invoice_date", "quantity", "unit_price"],
     ).withColumn("is_backfilled", F.col("description").isNotNull())
     named = df.filter("description IS NOT NULL").withColumn("is_backfilled", F.lit(False))
     return named.unionByName(filled)

@@ -17,9 +17,12 @@ def write_fact(fact: DataFrame, path: str, max_records_per_file: int = 20_000_00
 
     Range-splitting on month, moment, invoice and code gives every task one slice of
     the order: a hot month is split over many tasks, a task touches few months, and
-    min/max statistics in the files follow the date.
+    min/max statistics in the files follow the date. Quantity and price complete the
+    business key, so even one invoice and code can be split.
     """
-    order = ["month_start", "invoice_date", "invoice_no", "stock_code"]
+    order = [
+        "month_start", "invoice_date", "invoice_no", "stock_code", "quantity", "unit_price",
+    ]
     (
         fact.select(*FACT_COLUMNS)
         .repartitionByRange(*order)
