@@ -98,10 +98,10 @@ CLEANING: dict[str, Callable[[Workspace], DataFrame]] = {
     "tag_guest_bulk": lambda w: clean.tag_guest_bulk(_typed(w), w.rules).select(
         *LINE, "customer_id", "quantity", "is_guest", "is_bulk"
     ),
-    "dedup_business_key": lambda w: clean.keep_first_copy(w.cleaning().tagged).drop(
-        "file_ord", "source"
-    ),
-    "drop_test_rows": lambda w: clean.drop_test_rows(w.cleaning().tagged, w.rules)
+    "dedup_business_key": lambda w: clean.tag_rows(
+        clean.keep_first_copy(w.cleaning().typed), w.rules
+    ).drop("file_ord"),
+    "drop_test_rows": lambda w: clean.drop_test_rows(w.cleaning().typed, w.rules)
     .groupBy("stock_code")
     .agg(F.count("*").alias("lines")),
     "backfill_description": lambda w: _backfilled(w).select(

@@ -7,6 +7,7 @@ import pytest
 from conftest import FIRST_HEADERS, RAW_FIXTURE_FIRST, numbered
 from pyspark.sql import functions as F
 
+from tillroll.functions.columns import whole_number
 from tillroll.operators.clean import Cleaning, fact_summary, keep_first_copy
 from tillroll.rules import Rules
 from tillroll.schema import FACT_COLUMNS, RAW_COLUMNS
@@ -193,6 +194,22 @@ def test_numeric_ids_lose_the_decimal_point(spark):
     assert Cleaning(raw, Rules()).fact.first().invoice_no == "489225"
 
 
+@pytest.mark.parametrize(
+    "kind, value, expected",
+    [
+        ("string", "12346", 12346), ("string", " 12346.0 ", 12346), ("string", "1.2346E4", 12346),
+        ("string", "12346.5", None), ("string", "n/a", None), ("string", "", None),
+        ("string", "nan", None), ("string", "99999999999999999999", None), ("string", "-5", -5),
+        ("double", 12346.0, 12346), ("double", 12346.5, None), ("double", float("nan"), None),
+        ("double", float("inf"), None), ("int", 7, 7), ("decimal(10,2)", Decimal("7.00"), 7),
+        ("decimal(10,2)", Decimal("7.50"), None), ("string", None, None),
+    ],
+)
+def test_customer_number(spark, kind, value, expected):
+    df = spark.createDataFrame([(value,)], f"c {kind}")
+    assert df.select(whole_number(F.col("c"), df.schema["c"].dataType)).first()[0] == expected
+
+
 def test_files_without_line_numbers_keep_file_order(spark, tmp_path):
     header = "Invoice,StockCode,Description,Quantity,InvoiceDate,Price,Customer ID,Country\n"
     line = "1,10,{},1,2010-01-01 10:00,1.0,7,France\n"
@@ -208,6 +225,6 @@ def test_files_without_line_numbers_keep_file_order(spark, tmp_path):
 
 
 def test_hot_copies_are_cut_before_the_shuffle(cleaning):
-    plan = keep_first_copy(cleaning.tagged)._jdf.queryExecution().executedPlan().toString()
+    plan = keep_first_copy(cleaning.typed)._jdf.queryExecution().executedPlan().toString()
     partial = plan.index("row_number(), 1, Partial")
     assert plan.index("Exchange hashpartitioning(invoice_no") < partial

@@ -13,9 +13,14 @@ from tillroll.schema import MONEY
 
 SALE, CANCELLATION, RETURN = "sale", "cancellation", "return"
 
+# --- fixed values: the characters Unicode counts as white space -----------------
+_WHITE = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005"
+    "\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+)
 # Java needs (?U) for no-break spaces and letters beyond ASCII
 _SPACE = r"(?U)\s+"
-_EDGE_SPACE = r"(?U)^\s+|\s+$"
+_DIGITS = r"^[0-9]{1,18}$"
 _NUMBER = r"^\s*[+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?\s*$"
 
 
@@ -27,7 +32,7 @@ def id_text(col: Column, dtype: T.DataType) -> Column:
         text = F.when(col == F.floor(col), whole).otherwise(col.cast("string"))
     else:
         text = col.cast("string")
-    return F.upper(F.regexp_replace(text, _EDGE_SPACE, ""))
+    return F.upper(F.trim(text, F.lit(_WHITE)))
 
 
 def clean_text(col: Column) -> Column:
@@ -38,11 +43,14 @@ def clean_text(col: Column) -> Column:
 
 def whole_number(col: Column, dtype: T.DataType) -> Column:
     """Customer ids: ``12346``, ``'12346.0'`` -> 12346; anything unreadable -> null."""
+    if isinstance(dtype, (T.DoubleType, T.FloatType)):
+        return F.when(col == F.floor(col), col.try_cast("bigint"))
+    if not isinstance(dtype, T.StringType):
+        return F.when(col % 1 == 0, col.try_cast("bigint"))
+    # plain digits need no decimal, and a failed cast costs far more than a test
     number = col.try_cast("decimal(38,6)")
-    if isinstance(dtype, T.StringType):
-        # a failed cast costs far more than this test, and feeds hold many of them
-        number = F.when(col.rlike(_NUMBER), number)
-    return F.when(number % 1 == 0, number.try_cast("bigint"))
+    whole = F.when(number % 1 == 0, number.try_cast("bigint"))
+    return F.when(col.rlike(_DIGITS), col.try_cast("bigint")).when(col.rlike(_NUMBER), whole)
 
 
 def money(price: Column) -> Column:

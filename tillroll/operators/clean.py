@@ -143,12 +143,13 @@ class Cleaning:
         self.rules = rules
 
     @cached_property
-    def tagged(self) -> DataFrame:
-        return tag_rows(normalize_types(self.raw, self.rules), self.rules)
+    def typed(self) -> DataFrame:
+        return normalize_types(self.raw, self.rules).drop("source")
 
     @cached_property
     def unique(self) -> DataFrame:
-        return stage(keep_first_copy(self.tagged), "unique-lines")
+        """De-duplicated lines. Tags are added after the shuffle: they need not travel."""
+        return stage(tag_rows(keep_first_copy(self.typed), self.rules), "unique-lines")
 
     @cached_property
     def _repaired(self) -> DataFrame:
