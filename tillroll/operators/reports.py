@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from tillroll.functions import columns as C
 from tillroll.operators import base, marts
 from tillroll.plans.context import Context
-from tillroll.rules import Rules
 
 
 # ---------------------------------------------------------------- cohorts
