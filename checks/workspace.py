@@ -7,6 +7,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 
 from checks import star
+from checks.folder import ensure_folder
 from tillroll.operators.clean import Cleaning
 from tillroll.operators.slices import Slice
 from tillroll.plans.context import Context
@@ -51,6 +52,7 @@ _OPEN: dict[tuple[str, str], Workspace] = {}
 
 
 def workspace(spark: SparkSession, sf_dir: str) -> Workspace:
+    ensure_folder(spark)
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _OPEN:
         _OPEN[key] = Workspace(spark, sf_dir)

@@ -30,15 +30,17 @@ def test_the_named_folder_is_used():
     assert shared_folder(session("yarn", None, "hdfs:///own")) == "hdfs:///own/tillroll-app-1"
 
 
-def test_a_cluster_without_folder_is_refused():
+@pytest.mark.parametrize("master", ["spark://host:7077", "local[2]"])
+def test_a_run_without_folder_is_refused(master):
     with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
-        shared_folder(session("spark://host:7077"))
+        shared_folder(session(master))
 
 
-def test_a_local_run_makes_its_own_folder():
-    local = session("local[2]")
-    first = shared_folder(local)
-    assert first == shared_folder(local) and first.endswith("tillroll-app-1")
+@pytest.mark.parametrize("folder", ["file:///tmp/x", "/tmp/x"])
+def test_a_folder_of_one_machine_is_refused_on_a_cluster(folder):
+    with pytest.raises(RuntimeError, match="one machine"):
+        shared_folder(session("spark://host:7077", folder))
+    assert shared_folder(session("local[2]", folder)).startswith(folder)
 
 
 def test_a_staged_table_keeps_schema_and_cuts_lineage(spark):

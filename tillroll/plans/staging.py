@@ -4,11 +4,12 @@ Frames that several later jobs read (the de-duplicated lines, the order rollup,
 range-split rankings) are written once as Parquet under ``spark.checkpoint.dir``
 and read back. Unlike a cache this survives lost executors, and unlike an RDD
 checkpoint it stays columnar: readers prune columns and push filters.
+
+The caller names the folder; nothing here makes one up.
 """
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,19 +17,20 @@ from pyspark.sql import DataFrame, SparkSession
 _SETTING = "spark.checkpoint.dir"
 
 
+def named_folder(spark: SparkSession) -> str | None:
+    """The shared folder the session names, if it names one."""
+    return spark.conf.get(_SETTING, None) or spark.sparkContext.getCheckpointDir()
+
+
 def shared_folder(spark: SparkSession) -> str:
     """This application's staging folder inside the cluster's shared folder."""
-    context = spark.sparkContext
-    root = spark.conf.get(_SETTING, None) or context.getCheckpointDir()
+    context, root = spark.sparkContext, named_folder(spark)
     if not root:
-        if not context.master.startswith("local"):
-            raise RuntimeError(
-                f"set {_SETTING} to a folder all executors can reach; "
-                "staged tables must not go to a machine-local folder"
-            )
-        # single-machine runs only, as in tests
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="tillroll-"))
-        root = context.getCheckpointDir()
+        raise RuntimeError(
+            f"set {_SETTING} to a folder all executors can reach; staged tables are kept there"
+        )
+    if not context.master.startswith("local") and root.startswith(("file:", "/")):
+        raise RuntimeError(f"{_SETTING} is {root}: a folder of one machine, on a cluster")
     return f"{root.rstrip('/')}/tillroll-{context.applicationId}"
 
 
@@ -41,3 +43,9 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     path = new_path(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def clear_staged(spark: SparkSession) -> None:
+    """Remove every table this application has staged; frames that read them end with it."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(shared_folder(spark))
+    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
