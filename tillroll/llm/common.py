@@ -41,6 +41,12 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def whole_rows(docs: DataFrame, **named: Column) -> DataFrame:
+    """Every row as one struct ``doc`` beside the columns ``named``: no name can clash."""
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
+    return docs.select(row.alias("doc"), *(c.alias(n) for n, c in named.items()))
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

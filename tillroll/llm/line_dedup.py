@@ -14,6 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tillroll.llm.common import whole_rows
 from tillroll.plans.staging import stage
 
 _PAD = " \t\r"
@@ -80,23 +81,24 @@ def drop_boilerplate(
     beyond it both sides shuffle by host and adaptive execution splits the hot host.
     """
     found = stage(boilerplate(docs, host, text, max_ratio, min_pages), "boilerplate")
-    listed = found.select(F.col("host").alias("__host"), F.col("boiler").alias("__boiler"))
-    joined = docs.join(listed, docs[host].eqNullSafe(F.col("__host")), "left")
+    listed = found.withColumnRenamed("host", "of")
+    rows = whole_rows(docs, host=F.col(host), text=F.col(text))
+    joined = rows.join(listed, F.col("host").eqNullSafe(F.col("of")), "left")
 
     def stays(line: Column) -> Column:
-        return ~F.array_contains(F.col("__boiler"), _key(_bare(line)))
+        return ~F.array_contains(F.col("boiler"), _key(_bare(line)))
 
-    kept = F.when(F.col("__boiler").isNull(), _lines(F.col(text))).otherwise(
-        F.filter(_lines(F.col(text)), stays)
-    )
-    joined = joined.withColumn("__kept", kept)
+    lines = _lines(F.col("text"))
+    kept = F.when(F.col("boiler").isNull(), lines).otherwise(F.filter(lines, stays))
+    joined = joined.withColumn("kept", kept)
     columns = [
-        F.array_join("__kept", "\n").alias(text) if c == text else F.col(c) for c in docs.columns
+        (F.array_join("kept", "\n") if c == text else F.col("doc").getField(c)).alias(c)
+        for c in docs.columns
     ]
     if counts:
-        before = F.coalesce(F.size(_lines(F.col(text))), F.lit(0))
-        before = F.when(F.col(text).isNull(), 0).otherwise(before).cast("bigint")
-        after = F.when(F.col(text).isNull(), 0).otherwise(F.size("__kept")).cast("bigint")
+        none = F.col("text").isNull()
+        before = F.when(none, 0).otherwise(F.size(lines)).cast("bigint")
+        after = F.when(none, 0).otherwise(F.size("kept")).cast("bigint")
         columns += [before.alias(counts[0]), (before - after).alias(counts[1])]
     return joined.select(*columns)
 

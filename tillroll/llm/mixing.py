@@ -22,7 +22,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tillroll.llm.common import partitions, word_count, words_of
+from tillroll.llm.common import partitions, whole_rows, word_count, words_of
 from tillroll.plans.staging import stage
 
 WEIGHTS = (3, 1, 2)
@@ -138,21 +138,27 @@ def cuts(
 
 
 def _with_take(docs: DataFrame, doc_id: str, source: str, text: str, seed: str, **plan) -> DataFrame:
-    """``docs`` plus __size, __total, __target, __epochs, __cut (words of the last epoch).
+    """Rows as struct ``doc`` plus id, text, size, source_size, target, epochs, cut.
 
-    One staged row per source: broadcast by the optimiser while that is small.
+    ``cut`` counts the words of the last epoch. One staged row per source: broadcast by the
+    optimiser while that is small.
     """
     table = stage(cuts(docs, doc_id, source, text, seed, **plan), "mix-cuts")
-    facts = table.select(*(F.col(c).alias(f"__{c}") for c in table.columns))
-    joined = docs.join(facts, docs[source].eqNullSafe(F.col("__source")))
-    key, size = _key(doc_id, text, seed), word_count(F.col(text))
-    joined = joined.withColumns({"__key": key, "__size": size})
+    rows = whole_rows(
+        docs,
+        id=F.col(doc_id),
+        of=F.col(source),
+        text=F.col(text),
+        key=_key(doc_id, text, seed),
+        size=word_count(F.col(text)),
+    )
+    joined = rows.join(table, F.col("of").eqNullSafe(F.col("source")))
     cut = (
-        F.when(F.col("__key") < F.col("__cut_key"), F.col("__size"))
-        .when(F.col("__key") == F.col("__cut_key"), F.least("__cut_words", "__size"))
+        F.when(F.col("key") < F.col("cut_key"), F.col("size"))
+        .when(F.col("key") == F.col("cut_key"), F.least("cut_words", "size"))
         .otherwise(0)
     )
-    return joined.withColumn("__cut", cut.cast("bigint"))
+    return joined.withColumn("cut", cut.cast("bigint"))
 
 
 def mix_plan(
@@ -165,12 +171,9 @@ def mix_plan(
 ) -> DataFrame:
     """(doc_id, size, source_size, target, taken), a row per document, left out ones too."""
     own = docs.select(doc_id, source, text)
-    taken = F.col("__epochs") * F.col("__size") + F.col("__cut")
+    taken = F.col("epochs") * F.col("size") + F.col("cut")
     return _with_take(own, doc_id, source, text, seed, **plan).select(
-        F.col(doc_id).alias("doc_id"),
-        F.col("__size").alias("size"),
-        F.col("__source_size").alias("source_size"),
-        F.col("__target").alias("target"),
+        F.col("id").alias("doc_id"), "size", "source_size", "target",
         taken.cast("bigint").alias("taken"),
     )
 
@@ -188,18 +191,20 @@ def mix(
     The document at its source's cut comes once more with the leading words that fit, joined by
     one space; documents without words never enter.
     """
-    rows = _with_take(docs, doc_id, source, text, seed, **plan).filter("__size > 0")
-    whole = F.col("__epochs") + F.when(F.col("__cut") == F.col("__size"), 1).otherwise(0)
-    parted = (F.col("__cut") > 0) & (F.col("__cut") < F.col("__size"))
+    rows = _with_take(docs, doc_id, source, text, seed, **plan).filter("size > 0")
+    whole = F.col("epochs") + F.when(F.col("cut") == F.col("size"), 1).otherwise(0)
+    parted = (F.col("cut") > 0) & (F.col("cut") < F.col("size"))
     none = F.array().cast("array<bigint>")
     copies = F.concat(
         F.array_repeat(F.lit(-1).cast("bigint"), whole),
-        F.when(parted, F.array("__cut")).otherwise(none),
+        F.when(parted, F.array("cut")).otherwise(none),
+    )
+    rows = rows.select("doc", "text", F.explode(copies).alias("take"))
+    head = F.array_join(F.slice(words_of(F.col("text")), 1, F.col("take").cast("int")), " ")
+    given = F.when(F.col("take") < 0, F.col("text")).otherwise(head)
+    return rows.select(
+        *((given if c == text else F.col("doc").getField(c)).alias(c) for c in docs.columns)
     )
-    rows = rows.withColumn("__take", F.explode(copies))
-    head = F.array_join(F.slice(words_of(F.col(text)), 1, F.col("__take").cast("int")), " ")
-    given = F.when(F.col("__take") < 0, F.col(text)).otherwise(head)
-    return rows.select(*(given.alias(c) if c == text else F.col(c) for c in docs.columns))
 
 
 ORACLE = r"""

@@ -24,7 +24,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tillroll.llm.common import words_of
+from tillroll.llm.common import whole_rows, words_of
 from tillroll.plans.staging import stage
 
 #: fixed value: the characters that count as symbols
@@ -279,11 +279,11 @@ def with_verdict(
     Texts are read twice and never moved: once for the vectors of the estimates (a narrow staged
     table), once for the verdict, which meets one small row per group.
     """
-    named = docs.select(
-        F.struct(*(F.col(c) for c in docs.columns)).alias("doc"),
-        F.col(lang).cast("string").alias("lang"),
-        F.col(source).cast("string").alias("source"),
-        text_counts(F.col(text)).alias("c"),
+    named = whole_rows(
+        docs,
+        lang=F.col(lang).cast("string"),
+        source=F.col(source).cast("string"),
+        c=text_counts(F.col(text)),
     )
     counted = named.select("doc", "lang", "source", "c.*").withColumn("base_failed", base_failed())
     vectors = stage(

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tillroll.llm.common import partitions
+from tillroll.llm.common import partitions, whole_rows
 from tillroll.llm.graph import components
 from tillroll.llm.tokens import slices
 from tillroll.plans.staging import stage
@@ -83,9 +83,7 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
 
 def fingerprints(docs: DataFrame, text: str = "text", shingle: int = SHINGLE) -> DataFrame:
     """All columns of ``docs`` in struct ``doc``, and ``fp`` (the bits as a signed long)."""
-    chosen = docs.select(
-        F.struct(*(F.col(c) for c in docs.columns)).alias("doc"), F.col(text).alias("text")
-    )
+    chosen = whole_rows(docs, text=F.col(text))
     kind = chosen.schema["doc"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -259,28 +257,27 @@ def keep_one(
     per_id = found.groupBy("doc_id").agg(
         F.count("*").alias("rows"), F.min("component_id").alias("component_id")
     )
-    shared = stage(
-        per_id.filter("rows > 1 OR doc_id IS NULL").select(F.col("doc_id").alias("__id")), "shared-ids"
-    )
+    shared = per_id.filter("rows > 1 OR doc_id IS NULL").select(F.col("doc_id").alias("other"))
     leaving = per_id.filter("rows > 1 OR doc_id <> component_id").select(
-        F.col("doc_id").alias("__id")
+        F.col("doc_id").alias("other")
+    )
+    rows = whole_rows(docs, id=F.col(doc_id), text=F.col(text))
+    single = rows.filter("id IS NOT NULL").join(
+        stage(leaving, "leaving-ids"), F.col("id") == F.col("other"), "left_anti"
     )
-    single = docs.filter(F.col(doc_id).isNotNull()).join(
-        stage(leaving, "leaving-ids"), F.col(doc_id) == F.col("__id"), "left_anti"
+    several = rows.join(
+        stage(shared, "shared-ids"), F.col("id").eqNullSafe(F.col("other")), "left_semi"
     )
-    several = docs.join(shared, F.col(doc_id).eqNullSafe(F.col("__id")), "left_semi")
     classes = found.select(
-        F.col("doc_id").alias("__id"), F.col("fp").alias("__fp"), "root", "component_id"
+        F.col("doc_id").alias("other"), F.col("fp").alias("other_fp"), "root", "component_id"
     ).distinct()
-    first = Window.partitionBy("root").orderBy("fp", F.col("__text").asc_nulls_first())
+    first = Window.partitionBy("root").orderBy("fp", F.col("doc.text").asc_nulls_first())
     chosen = (
-        fingerprints(several, text, shingle)
-        .withColumn("__doc_id", F.col("doc").getField(doc_id))
-        .withColumn("__text", F.col("doc").getField(text))
-        .join(classes, F.col("__doc_id").eqNullSafe(F.col("__id")) & (F.col("fp") == F.col("__fp")))
-        .filter(F.col("__doc_id").eqNullSafe(F.col("component_id")))
+        fingerprints(several, "text", shingle)
+        .join(classes, F.col("doc.id").eqNullSafe(F.col("other")) & (F.col("fp") == F.col("other_fp")))
+        .filter(F.col("doc.id").eqNullSafe(F.col("component_id")))
         .withColumn("place", F.row_number().over(first))
         .filter("place = 1")
-        .select("doc.*")
+        .select("doc.doc")
     )
-    return single.unionByName(chosen)
+    return single.select("doc").union(chosen).select("doc.*")
