@@ -290,14 +290,16 @@ def _run_suffixes(rows: DataFrame, splitters: np.ndarray, length: int) -> DataFr
 def _start_suffixes(packed: DataFrame, loose: DataFrame, splitters: np.ndarray, length: int) -> DataFrame:
     """A suffix for every start of the loose runs of a text."""
     half = length // 2
-    joined = packed.join(loose, "row").select("row", "packed", "runs")
+    # the same shuffle of texts as for the final cut: same columns, same kind of join
+    joined = packed.join(loose, "row", "left").select("row", "doc_id", "packed", "runs")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         open_ = zstandard.ZstdDecompressor()
         for batch in batches:
             made: list[tuple] = []
             size = 0
-            for row, packed, runs in zip(*(c.to_pylist() for c in batch.columns)):
+            batch = batch.filter(batch.column(3).is_valid())
+            for row, packed, runs in zip(*(batch.column(c).to_pylist() for c in (0, 2, 3))):
                 data = np.frombuffer(open_.decompress(packed), np.uint8)
                 runs.sort(key=lambda r: r["start"])
                 while runs:
@@ -406,17 +408,17 @@ def remove_repeats(
     kind = rows.schema["doc_id"].dataType.simpleString()
     spans, packed = repeated_spans(rows, length)
     per_row = spans.groupBy("row").agg(F.collect_list(F.struct("start", "size")).alias("spans"))
-    joined = packed.join(per_row, "row", "left").select("doc_id", "packed", "spans")
+    joined = packed.join(per_row, "row", "left").select("row", "doc_id", "packed", "spans")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         open_ = zstandard.ZstdDecompressor()
         for batch in batches:
-            lists = batch.column(2)
+            lists = batch.column(3)
             n = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
             flat = lists.flatten()
             start, size = (flat.field(f).to_numpy(zero_copy_only=False) for f in ("start", "size"))
             out, upto = [], 0
-            for packed, k in zip(batch.column(1), n.tolist()):
+            for packed, k in zip(batch.column(2), n.tolist()):
                 data = open_.decompress(packed.as_py())
                 own = slice(upto, upto + k)
                 upto += k
@@ -426,7 +428,7 @@ def remove_repeats(
             columns = list(zip(*out)) if out else [[]] * 5
             types = [pa.int64()] * 3 + [pa.string(), pa.binary()]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), *(pa.array(c, t) for c, t in zip(columns, types))],
+                [batch.column(1), *(pa.array(c, t) for c, t in zip(columns, types))],
                 names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"],
             )
 
