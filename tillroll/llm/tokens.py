@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -15,8 +16,10 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-_CACHE = 300_000
-_SLICE = 2 << 20
+_PARTS_KEPT = 200_000
+_KNOWN = 2_000_000
+_KNOWN_BYTES = 64 << 20
+_SLICE = 4 << 20
 
 #: words whose ids the model gives directly: visible ASCII without the apostrophe, Latin-1 letters
 _PLAIN = re.compile("[!-&(-~À-ÖØ-öø-ÿ]*").fullmatch
@@ -31,6 +34,15 @@ def _byte_letters() -> list[str]:
     return [spare.get(b, chr(b)) for b in range(256)]
 
 
+def _lower(texts: pa.Array) -> pa.Array:
+    """A-Z in lower case: other bytes of UTF-8 are above them all."""
+    _, offsets, data = texts.buffers()
+    lowered = pa.py_buffer(data.to_pybytes().lower() if data else b"")
+    return pa.Array.from_buffers(
+        texts.type, len(texts), [None, offsets, lowered], offset=texts.offset
+    )
+
+
 class WordEncoder:
     """Encodes texts word by word; ``path`` is a tokenizers file that splits at white space."""
 
@@ -39,17 +51,22 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.letters = _byte_letters()
-        self.words: dict[str, bytes] = {}
         self.parts: dict[str, bytes] = {}
+        self._forget()
+
+    def _forget(self) -> None:
+        #: words met so far and their ids, row by row
+        self.known = pa.array([], pa.large_string())
+        self.ids = pa.array([], pa.large_list(pa.uint32()))
 
     def _part(self, part: str) -> bytes:
         found = self.parts.get(part)
         if found is None:
-            if len(self.parts) >= _CACHE:
+            if len(self.parts) >= _PARTS_KEPT:
                 self.parts.clear()
             written = part if part.isascii() else "".join(self.letters[b] for b in part.encode())
             ids = [t.id for t in self.tokenizer.model.tokenize(written)]
-            found = self.parts[part] = np.array(ids, "<u4").tobytes()
+            found = self.parts[part] = array("I", ids).tobytes()
         return found
 
     def _word(self, word: str) -> bytes:
@@ -61,28 +78,34 @@ class WordEncoder:
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids (unsigned 32-bit, little-endian) and each text's first position in them."""
         texts = pc.fill_null(texts.cast(pa.large_string()), "")
+        if not pc.any(pc.match_substring(texts, "<|")).as_py():
+            texts = _lower(texts)  # as the vocabulary does, but for its special tokens
         words = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
-        # a split list of a sliced or null-filled array may not start at zero
         coded = words.flatten().dictionary_encode()
-        encoded = []
-        for word in coded.dictionary.to_pylist():
-            ids = self.words.get(word)
-            if ids is None:
-                if len(self.words) >= _CACHE:
-                    self.words.clear()
-                ids = self._word(word)
-                if len(word) <= 200:
-                    self.words[word] = ids
-            encoded.append(ids)
-        size = np.fromiter(map(len, encoded), np.int64, len(encoded)) // 4
-        ends = np.concatenate(([0], np.cumsum(size)))
-        lists = pa.LargeListArray.from_arrays(ends, np.frombuffer(b"".join(encoded), "<u4"))
-        taken = lists.take(coded.indices)
+        place = self._places(coded.dictionary)
+        taken = self.ids.take(pa.array(place[coded.indices.to_numpy()]))
         offsets = taken.offsets.to_numpy() if len(taken) else np.zeros(1, np.int64)
         flat = taken.values.to_numpy() if len(taken) else np.zeros(0, "<u4")
         per_text = np.concatenate(([0], np.cumsum(pc.list_value_length(words).to_numpy())))
         return flat, offsets[per_text]
 
+    def _places(self, words: pa.Array) -> np.ndarray:
+        """Where each word's ids are; new words are encoded and added."""
+        if len(self.known) + len(words) > _KNOWN or self.known.nbytes > _KNOWN_BYTES:
+            self._forget()
+        found = pc.index_in(words, value_set=self.known).to_numpy(zero_copy_only=False)
+        new = np.isnan(found) if found.dtype.kind == "f" else np.zeros(len(found), bool)
+        place = np.where(new, 0, found).astype(np.int64)
+        place[new] = len(self.known) + np.arange(int(new.sum()))
+        added = words.filter(pa.array(new))
+        encoded = [self._word(w) for w in added.to_pylist()]
+        size = np.fromiter(map(len, encoded), np.int64, len(encoded)) // 4
+        ends = np.concatenate(([0], np.cumsum(size)))
+        ids = pa.LargeListArray.from_arrays(ends, np.frombuffer(b"".join(encoded), "<u4"))
+        self.known = pa.concat_arrays([self.known, added])
+        self.ids = pa.concat_arrays([self.ids, ids])
+        return place
+
 
 @lru_cache(maxsize=1)
 def encoder(path: str) -> WordEncoder:
