@@ -107,27 +107,24 @@ class Automaton:
         self.arcs = dict(zip(keys.tolist(), zip(weights.tolist(), targets.tolist())))
         self.backoff, self.fail = backoff.tolist(), fail.tolist()
 
-    def walk(self, words: list[bytes]) -> tuple[float, list[bytes]]:
-        """log10 probability without the unigram term of words outside the vocabulary; those."""
-        total, state, outside = 0.0, 0, []
-        number, arcs, backoff, fail = self.number, self.arcs, self.backoff, self.fail
-        for word in words:
-            w = number.get(word)
+    def walk(self, ids: list[int | None]) -> float:
+        """log10 probability, without the unigram term of words that have no number."""
+        total, state = 0.0, 0
+        arc_of, backoff, fail = self.arcs.get, self.backoff, self.fail
+        for w in ids:
             if w is None:
                 while state:
                     total += backoff[state]
                     state = fail[state]
-                outside.append(word)
                 continue
-            while True:  # the root has an arc for every word of the vocabulary
-                arc = arcs.get(state << _BITS | w)
-                if arc is not None:
-                    total += arc[0]
-                    state = arc[1]
-                    break
+            arc = arc_of(state << _BITS | w)
+            while arc is None:  # the root has an arc for every word of the vocabulary
                 total += backoff[state]
                 state = fail[state]
-        return total, outside
+                arc = arc_of(state << _BITS | w)
+            total += arc[0]
+            state = arc[1]
+        return total
 
 
 class Counts:
@@ -330,7 +327,7 @@ def score(docs: DataFrame, model: Trained, keep: list[str], text: str = "text")
     chosen = docs.select(F.struct(*keep).alias("kept"), F.col(text).alias("text"))
     kind = chosen.schema["kept"].dataType.simpleString()
     sent = _send(spark, model.parts)
-    gain = spark.sparkContext.broadcast(np.log10(model.vocabulary + 1).tolist())
+    gain = spark.sparkContext.broadcast(np.log10(model.vocabulary + 1))
     floor = math.log10(model.floor)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -340,14 +337,16 @@ def score(docs: DataFrame, model: Trained, keep: list[str], text: str = "text")
             rows, lists, times, ends = [], [], [], [0]
             for text in batch.column(1).to_pylist():
                 words = tokens_of(text)
-                walked, outside = automaton.walk(words)
-                base = math.fsum(gains[number[w]] for w in words if w in number)
-                seen = Counter(outside)
-                lists.extend(seen.keys())
-                times.extend(seen.values())
+                ids = list(map(number.get, words))
+                known = [w for w in ids if w is not None]
+                outside = len(words) - len(known)
+                if outside:
+                    seen = Counter(w for w, i in zip(words, ids) if i is None)
+                    lists.extend(seen.keys())
+                    times.extend(seen.values())
                 ends.append(len(lists))
-                rows.append((len(words), len(words) - len(outside), base - len(words) * floor,
-                             walked - len(outside) * floor))
+                rows.append((len(words), len(known), float(gains[known].sum()) - len(words) * floor,
+                             automaton.walk(ids) - outside * floor))
             n, known, base, walked = (list(c) for c in zip(*rows))
             outside = pa.ListArray.from_arrays(
                 pa.array(ends, pa.int32()),

@@ -72,19 +72,18 @@ def _repeat_words(words: Column) -> Column:
         hit = F.filter(F.transform(ordered, same), lambda s: s.isNotNull())
         return _let(F.array_sort(hit), covered)
 
-    def windows(w: Column) -> Column:
-        at = F.sequence(F.lit(0), F.greatest(F.size(w) - 3, F.lit(0)))
-        return F.array_sort(
-            F.transform(
-                at,
-                lambda i: F.struct(
-                    F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)).alias("h"),
-                    i.alias("i"),
-                ),
-            )
+    def counted(hashes: Column) -> Column:
+        """Most texts repeat no window: only the others are sorted."""
+        placed = F.transform(hashes, lambda h, i: F.struct(h.alias("h"), i.alias("i")))
+        return F.when(F.size(F.array_distinct(hashes)) == F.size(hashes), F.lit(0)).otherwise(
+            _let(F.array_sort(placed), repeated)
         )
 
-    return _let(windows(words), repeated)
+    at = F.sequence(F.lit(0), F.greatest(F.size(words) - 3, F.lit(0)))
+    windows = F.transform(
+        at, lambda i: F.xxhash64(F.get(words, i), F.get(words, i + 1), F.get(words, i + 2))
+    )
+    return _let(windows, counted)
 
 
 def text_counts(text: Column) -> Column:
@@ -273,19 +272,23 @@ def with_verdict(
     coverage: float = COVERAGE,
     steps: int = STEPS,
     tail: float = TAIL,
+    carry: list[str] | None = None,
 ) -> DataFrame:
-    """All rows of ``docs`` as struct ``doc`` with the five counts, ``base_failed`` and ``kept``.
+    """Columns ``carry`` (all) of ``docs`` as struct ``doc``, the five counts, ``base_failed``, ``kept``.
 
-    Texts are read twice and never moved: once for the vectors of the estimates (a narrow staged
-    table), once for the verdict, which meets one small row per group.
+    Texts are counted once, into a staged table that holds what is carried; the estimates read
+    its counts only, and the verdict meets one small row per group.
     """
-    named = whole_rows(
-        docs,
+    rows = whole_rows(
+        docs if carry is None else docs.select(text, lang, source, *carry),
         lang=F.col(lang).cast("string"),
         source=F.col(source).cast("string"),
         c=text_counts(F.col(text)),
     )
-    counted = named.select("doc", "lang", "source", "c.*").withColumn("base_failed", base_failed())
+    if carry is not None:
+        rows = rows.withColumn("doc", F.struct(*(F.col("doc").getField(c).alias(c) for c in carry)))
+    counted = stage(rows, "counted").select("doc", "lang", "source", "c.*")
+    counted = counted.withColumn("base_failed", base_failed())
     vectors = stage(
         counted.filter(~F.col("base_failed")).select(
             "lang", "source", *(v.alias(x) for x, v in zip(_X, _vector()))

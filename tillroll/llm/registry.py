@@ -50,8 +50,8 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = documents(spark, sf_dir).select("doc_id", "text", "lang", "source")
-    return quality.with_verdict(docs).select("doc.doc_id", *quality.BASE, "base_failed", "kept")
+    found = quality.with_verdict(documents(spark, sf_dir), carry=["doc_id"])
+    return found.select("doc.doc_id", *quality.BASE, "base_failed", "kept")
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
