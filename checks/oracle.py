@@ -6,7 +6,7 @@ its own terms; nothing is shared with the Spark side but names and fixed values.
 
 from __future__ import annotations
 
-from checks.queries import COUNTRIES, CUTOFF, FILTERS, LAST_MONTH, MATCH_DAYS, YEARS
+from checks.queries import COUNTRIES, CUTOFF, FILTERS, MATCH_DAYS, YEARS
 from checks.star import RAW_SQL, RULES
 from tillroll.operators.audit import PROBE_WORDS
 from tillroll.rules import BUSINESS_KEY
@@ -489,10 +489,6 @@ FROM fact""",
 
 def _slices() -> dict[str, str]:
     in_countries = f"country IN ({_quoted(COUNTRIES)})"
-    pivot = ", ".join(
-        f"max(retention) FILTER (WHERE month_number = {n}) AS m{n:02d}"
-        for n in range(LAST_MONTH + 1)
-    )
     pct = "round({0} * 100, 1)"
     return {
         "summary": f"""{GOODS}, bills AS (
@@ -543,7 +539,8 @@ FROM fact WHERE line_type <> 'sale' GROUP BY 1 ORDER BY value, reason LIMIT 12""
         ),
         "purchase_gap_days":
             f"{MOMENT_GAPS} SELECT customer_id, gap_days FROM gaps WHERE gap_days IS NOT NULL",
-        "cohort_pivot": f"{COHORT} SELECT cohort, {pivot} FROM retention GROUP BY 1",
+        "cohort_pivot": _wide("retention"),
+        "cohort_pivot_active": _wide("active_customers"),
         "repeat_stats": f"""{GOODS}, p AS (
   SELECT customer_id, count(DISTINCT invoice_date) AS n,
          date_sub('day', min(invoice_date), max(invoice_date)) AS days FROM known GROUP BY 1
@@ -721,6 +718,15 @@ WHERE nth = 1""",
     }
 
 
+def _wide(value: str) -> str:
+    """Cells as columns, one per month from 0 to the last month of any cohort."""
+    return f"""{COHORT}, cells AS (
+  SELECT cohort, month_number AS n, {value} AS v FROM retention
+  UNION ALL SELECT NULL, unnest(range((SELECT max(month_number) FROM retention) + 1)), NULL
+), named AS (SELECT cohort, 'm' || lpad(n::VARCHAR, 2, '0') AS month, v FROM cells)
+SELECT * FROM (PIVOT named ON month USING max(v) GROUP BY cohort) WHERE cohort IS NOT NULL"""
+
+
 def all_sql() -> dict[str, str]:
     """No twin for ``write_marts``: it reports what lies on disk after the write."""
     groups = (_cleaning(), _base(), _marts(), _slices(), _audits(), _reports())

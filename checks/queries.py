@@ -32,7 +32,6 @@ FILTERS = {
 COUNTRIES = ["NATION_0", "NATION_2", "NATION_5"]
 YEARS = (1997, 1998)
 CUTOFF = "12-09"
-LAST_MONTH = 79
 MATCH_DAYS = 365
 LINE = ["src_ord", "row_ord"]
 
@@ -163,8 +162,9 @@ SLICES: dict[str, Callable[[Workspace], DataFrame]] = {
         w.slice().concentration("0.5", "0.8", "1.0"), "share_of_customers"
     ),
     "purchase_gap_days": lambda w: w.slice().purchase_gap_days(),
-    "cohort_pivot": lambda w: reports.cohort_pivot(
-        marts.cohort_retention(w.context), "retention", LAST_MONTH
+    "cohort_pivot": lambda w: reports.cohort_pivot(marts.cohort_retention(w.context)),
+    "cohort_pivot_active": lambda w: reports.cohort_pivot(
+        marts.cohort_retention(w.context), "active_customers"
     ),
     "repeat_stats": lambda w: even(
         w.slice(identified_only=True).repeat_stats(),

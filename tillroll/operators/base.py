@@ -39,27 +39,30 @@ def snapshot(fact: DataFrame) -> DataFrame:
 def apply_filters(
     fact: DataFrame,
     *,
-    period: tuple[dt.date, dt.date] | None = None,
+    period: tuple[dt.date | str, dt.date | str] | None = None,
     countries: Sequence[str] | None = None,
     merchandise_only: bool = True,
     include_bulk: bool = True,
     identified_only: bool = False,
 ) -> DataFrame:
-    """Cut a slice of the fact; the last day of ``period`` counts whole.
+    """Cut a slice of the fact.
+
+    ``period`` runs from its first moment to one day after its second, that one left out: a bare
+    date is its midnight, so the last day counts whole; a time of day is kept.
 
     The implied month range is added so that a fact stored by month is pruned by
     folder; the rest reaches the Parquet scan as pushed filters.
     """
     out = fact
     if period is not None:
-        start, end = (dt.date.fromisoformat(str(day)[:10]) for day in period)
+        start, end = (dt.datetime.fromisoformat(str(moment)) for moment in period)
+        end += dt.timedelta(days=1)
         out = out.filter(
-            F.col("month_start").between(F.lit(start.replace(day=1)), F.lit(end.replace(day=1)))
-            & (F.col("invoice_date") >= F.lit(start).cast("timestamp_ntz"))
-            & (
-                F.col("invoice_date")
-                < F.lit(end + dt.timedelta(days=1)).cast("timestamp_ntz")
+            F.col("month_start").between(
+                F.lit(start.date().replace(day=1)), F.lit(end.date().replace(day=1))
             )
+            & (F.col("invoice_date") >= F.lit(str(start)).cast("timestamp_ntz"))
+            & (F.col("invoice_date") < F.lit(str(end)).cast("timestamp_ntz"))
         )
     if countries:
         out = out.filter(F.col("country").isin(list(countries)))

@@ -18,10 +18,14 @@ def cohort_pivot(
 ) -> DataFrame:
     """Long cohort table -> one row per cohort, columns ``m00, m01, ...``.
 
-    With ``last_month`` the schema is fixed and no extra job runs.
+    The width is that of the cells. With ``last_month`` the schema is fixed beforehand; cells
+    beyond it are an error, never left out.
     """
+    reaches = cells.agg(F.max("month_number")).first()[0] or 0
     if last_month is None:
-        last_month = cells.agg(F.max("month_number")).first()[0] or 0
+        last_month = reaches
+    if reaches > last_month:
+        raise ValueError(f"cells reach month {reaches}, beyond the declared {last_month}")
     cell = {
         f"m{n:02d}": F.max(F.when(F.col("month_number") == n, F.col(value)))
         for n in range(last_month + 1)

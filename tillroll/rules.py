@@ -45,12 +45,11 @@ UNSPECIFIED_COUNTRY: str = "Unspecified"
 
 # --- fixed values: export countries of Europe and the Middle East ---------------
 LISTED_EXPORT: tuple[str, ...] = (
-    "Austria", "Bahrain", "Belgium", "Channel Islands", "Cyprus", "Czech Republic",
-    "Denmark", "European Community", "Finland", "France", "Germany", "Greece",
-    "Hungary", "Ireland", "Isle of Man", "Israel", "Italy", "Lebanon", "Malta",
-    "Netherlands", "Norway", "Oman", "Poland", "Portugal", "Qatar", "Romania",
-    "Sardinia", "Saudi Arabia", "Spain", "Sweden", "Switzerland",
-    "United Arab Emirates",
+    "Germany", "France", "Spain", "Italy", "Netherlands", "Belgium", "Portugal",
+    "Sweden", "Switzerland", "Austria", "Denmark", "Finland", "Norway", "Ireland",
+    "Poland", "Czech Republic", "Greece", "Cyprus", "Malta", "Hungary", "Romania",
+    "Sardinia", "European Community", "United Arab Emirates", "Saudi Arabia",
+    "Lebanon", "Bahrain", "Qatar", "Oman", "Israel", "Channel Islands", "Isle of Man",
 )
 
 # --- fixed values: a line's identity for de-duplication -------------------------

@@ -12,11 +12,15 @@ from tillroll.rules import HEADER_ALIASES
 from tillroll.schema import ORIGIN_COLUMNS, RAW_COLUMNS
 
 
-def read_csv(spark: SparkSession, path: str) -> DataFrame:
-    """Delimited source with a header row; every column stays text until cleaning."""
+def read_csv(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
+    """Delimited source with a header row; every column stays text until cleaning.
+
+    Files are split between tasks. ``multi_line`` is for values with line breaks inside; each
+    file is then read by one task.
+    """
     return (
         spark.read.option("header", True)
-        .option("multiLine", True)
+        .option("multiLine", multi_line)
         .option("escape", '"')
         .csv(path)
     )
