@@ -6,7 +6,7 @@ its own terms; nothing is shared with the Spark side but names and fixed values.
 
 from __future__ import annotations
 
-from checks.queries import COUNTRIES, CUTOFF, FILTERS, MATCH_DAYS, YEARS
+from checks.queries import COUNTRIES, CUTOFF, FILTERS, MATCH_DAYS, SAMPLE, YEARS
 from checks.star import RAW_SQL, RULES
 from tillroll.operators.audit import PROBE_WORDS
 from tillroll.rules import BUSINESS_KEY
@@ -217,13 +217,14 @@ def _usual(lines: str, code: str = "stock_code") -> str:
     return _USUAL.format(lines=lines, code=code)
 
 
-def _slice_monthly(where: str, unrestricted: bool = False) -> str:
+def _slice_monthly(where: str, unrestricted: bool = False, own_history: bool = False) -> str:
+    seen = where if own_history else "true"
     link = "" if unrestricted else (
         "WHERE EXISTS (SELECT 1 FROM cut c WHERE c.customer_id = f.customer_id"
         " AND c.month_start = f.month_start)"
     )
     return f"""{GOODS}, firsts AS (
-  SELECT customer_id, min(month_start) AS month_start FROM known GROUP BY 1
+  SELECT customer_id, min(month_start) AS month_start FROM known WHERE {seen} GROUP BY 1
 ), cut AS (SELECT * FROM sold WHERE {where}), back AS (
   SELECT month_start, sum(line_revenue) AS reversed FROM undone WHERE {where} GROUP BY 1
 ), fresh AS (
@@ -381,8 +382,9 @@ def _cleaning() -> dict[str, str]:
   count(DISTINCT customer_id) FILTER (WHERE is_merchandise AND line_type = 'sale') AS customers,
   CAST(min(invoice_date) AS DATE) AS first_day, CAST(max(invoice_date) AS DATE) AS last_day
 FROM fact""",
-        "write_fact": f"""{FACT} SELECT month_start, count(*) AS lines,
-  {_d('sum(line_revenue)')} AS revenue FROM fact GROUP BY 1""",
+        "write_fact": f"{FACT} SELECT {_MONEY_FACT} FROM fact",
+        "write_change_log": _change_log(),
+        "normalize_types_csv": f"{TYPED} SELECT {typed} FROM typed",
     }
 
 
@@ -489,6 +491,8 @@ FROM fact""",
 
 def _slices() -> dict[str, str]:
     in_countries = f"country IN ({_quoted(COUNTRIES)})"
+    start, end = FILTERS["period"]
+    in_period = f"day BETWEEN DATE '{start}' AND DATE '{end}'"
     pct = "round({0} * 100, 1)"
     return {
         "summary": f"""{GOODS}, bills AS (
@@ -509,6 +513,15 @@ FROM c""",
         "monthly": _slice_monthly("true"),
         "monthly_in_countries": _slice_monthly(in_countries),
         "monthly_unrestricted": _slice_monthly(in_countries, unrestricted=True),
+        "monthly_own_history": _slice_monthly(in_period, own_history=True),
+        "monthly_kpi_calendar": f"""{MONTHLY} SELECT k.month, k.month_start,
+  {_round('k.cash', 2)} AS revenue, k.orders, k.customers, k.units, k.new_customers,
+  k.customers - k.new_customers AS returning_customers,
+  {_round(_share('k.cash', 'k.orders'), 2)} AS aov,
+  {_round(_share('k.cash', 'k.customers'), 2)} AS revenue_per_customer,
+  {_d('p.cash')} AS revenue_prev_month, {_d('y.cash')} AS revenue_same_month_last_year
+FROM kpi k LEFT JOIN kpi p ON p.month_start = k.month_start - INTERVAL 1 MONTH
+LEFT JOIN kpi y ON y.month_start = k.month_start - INTERVAL 12 MONTH""",
         "country_rollup": f"""{_COUNTRY} SELECT * REPLACE (round(revenue_share, 6) AS revenue_share,
   round(repeat_rate, 6) AS repeat_rate) FROM ({_ROLLUP})""",
         "region_monthly": f"""{GOODS} SELECT {_REGION} AS region, month,
@@ -516,6 +529,7 @@ FROM c""",
   count(DISTINCT customer_id) AS customers FROM sold GROUP BY 1, 2""",
         "top_products": _top_products("cash"),
         "top_products_by_units": _top_products("units"),
+        "top_products_by_orders": _top_products("orders"),
         "cancellations_monthly": f"""{GOODS} SELECT month_start, u.month, cancellations, returns,
   {_d('off')} AS reversal_value, {_d('cash')} AS revenue,
   {_round(_share('-off', 'cash'), 6)} AS share_of_sales
@@ -578,7 +592,7 @@ FROM gaps WHERE gap_days IS NOT NULL GROUP BY 1, 2""",
 SELECT segment, 'customers' AS metric, customers_share AS share FROM segments
 UNION ALL SELECT segment, 'revenue', revenue_share FROM segments""",
         "rfm_sample": f"""{RFM} SELECT customer_id, recency_days, monetary, segment FROM rfm
-ORDER BY md5('7:' || customer_id), customer_id LIMIT 4000""",
+ORDER BY md5('7:' || customer_id), customer_id LIMIT {SAMPLE}""",
         "top_reversed": f"{GOODS} {_REVERSED_TOP % 10}",
         "fact_extent": f"""{FACT} SELECT CAST(min(invoice_date) AS DATE) AS first_day,
   CAST(max(invoice_date) AS DATE) AS last_day, count(*) AS lines,
@@ -594,10 +608,13 @@ def _audits() -> dict[str, str]:
     in_window = """CAST(invoice_date AS DATE) BETWEEN
     (SELECT CAST(max(a) AS DATE) FROM span) AND (SELECT CAST(min(b) AS DATE) FROM span)"""
     words = " UNION ALL ".join(f"SELECT '{w}' AS word" for w in PROBE_WORDS)
-    nulls = " UNION ALL ".join(
-        f"""SELECT '{c}' AS column_name, count(*) - count({c}) AS nulls,
-  {_round(_share(f'(count(*) - count({c})) * 100', 'count(*)'), 1)} AS percent FROM typed"""
-        for c in full.split(", ")
+    raw_nulls, typed_nulls = (
+        " UNION ALL ".join(
+            f"""SELECT '{c}' AS column_name, count(*) - count({c}) AS nulls,
+  {_round(_share(f'(count(*) - count({c})) * 100', 'count(*)'), 1)} AS percent FROM {table}"""
+            for c in full.split(", ")
+        )
+        for table in ("raw", "typed")
     )
     return {
         "source_profile": f"""{RAW_SQL} SELECT {source}, count(*) AS rows,
@@ -614,16 +631,16 @@ def _audits() -> dict[str, str]:
   SELECT *, count(*) OVER (PARTITION BY {key}) AS same_key,
          count(*) OVER (PARTITION BY {full}) AS same_line FROM raw)
 WHERE same_key > 1 AND same_line = 1""",
-        "negative_split": f"""{TYPED} SELECT count(*) FILTER (WHERE quantity < 0) AS negative_lines,
+        "negative_split": f"""{RAW_SQL} SELECT count(*) FILTER (WHERE quantity < 0) AS negative_lines,
   count(*) FILTER (WHERE quantity < 0 AND invoice_no LIKE 'C%') AS in_cancelled_invoices,
   count(*) FILTER (WHERE quantity < 0 AND invoice_no NOT LIKE 'C%') AS in_normal_invoices,
-  count(*) FILTER (WHERE invoice_no LIKE 'C%') AS cancelled_lines FROM typed""",
-        "positive_cancellations": f"""{TYPED} SELECT invoice_no, stock_code, description, quantity,
-  {_d('unit_price')} AS unit_price FROM typed WHERE invoice_no LIKE 'C%' AND quantity > 0""",
-        "return_price_audit": f"""{TYPED} SELECT count(*) AS return_lines,
+  count(*) FILTER (WHERE invoice_no LIKE 'C%') AS cancelled_lines FROM raw""",
+        "positive_cancellations": f"""{RAW_SQL} SELECT invoice_no, stock_code, description, quantity,
+  unit_price FROM raw WHERE invoice_no LIKE 'C%' AND quantity > 0""",
+        "return_price_audit": f"""{RAW_SQL} SELECT count(*) AS return_lines,
   count(*) FILTER (WHERE unit_price = 0) AS zero_price_lines,
-  {_d('sum(quantity * unit_price)')} AS value, CAST(sum(quantity) AS BIGINT) AS units
-FROM typed WHERE quantity < 0 AND invoice_no NOT LIKE 'C%'""",
+  {_d(f'sum({cents})')} AS value, CAST(sum(quantity) AS BIGINT) AS units
+FROM raw WHERE quantity < 0 AND invoice_no NOT LIKE 'C%'""",
         "nonstandard_codes": rf"""{RAW_SQL}, odd AS (
   SELECT *, {cents} AS cents FROM raw WHERE NOT regexp_matches(stock_code, '^\d{{5,6}}$')
 ), named AS (SELECT * FROM odd WHERE description IS NOT NULL)
@@ -641,7 +658,8 @@ LEFT JOIN {_usual('named')} USING (stock_code)""",
   description, n AS description_lines FROM probe LEFT JOIN best USING (word)""",
         "numeric_descriptions":
             rf"{RAW_SQL} SELECT {full} FROM raw WHERE regexp_matches(description, '^\d+$')",
-        "null_profile": f"{TYPED} SELECT * FROM ({nulls}) WHERE nulls > 0",
+        "null_profile": f"{RAW_SQL} SELECT * FROM ({raw_nulls}) WHERE nulls > 0",
+        "null_profile_typed": f"{TYPED} SELECT * FROM ({typed_nulls}) WHERE nulls > 0",
         "country_audit": f"""{RAW_SQL} SELECT country, count(*) AS lines,
   (SELECT count(DISTINCT country) FROM raw) AS countries_in_feed
 FROM raw WHERE country IN ('OLD_2', 'NATION_0', 'Unspecified') GROUP BY 1""",
@@ -665,13 +683,42 @@ UNION ALL SELECT 'cleaned', count(*),
     }
 
 
-def _reports() -> dict[str, str]:
+def _matched(days: int) -> str:
+    return f"""{FACT}, undo AS (
+  SELECT customer_id, stock_code, abs(quantity) AS units, invoice_date AS cancelled_at,
+         max(invoice_no) AS cancellation_no, count(*) AS cancelled_lines
+  FROM fact WHERE line_type = 'cancellation' AND quantity < 0 AND customer_id IS NOT NULL
+  GROUP BY ALL
+) SELECT customer_id, stock_code, units, cancellation_no, cancelled_at, cancelled_lines,
+  invoice_no AS sale_no, invoice_date AS sold_at,
+  date_sub('minute', invoice_date, cancelled_at) AS minutes
+FROM (SELECT u.*, f.invoice_no, f.invoice_date, row_number() OVER (
+        PARTITION BY u.customer_id, u.stock_code, u.units, u.cancelled_at
+        ORDER BY f.invoice_date DESC, f.invoice_no DESC) AS nth
+      FROM undo u JOIN fact f ON f.customer_id = u.customer_id AND f.stock_code = u.stock_code
+        AND f.quantity = u.units AND f.line_type = 'sale' AND f.invoice_date <= u.cancelled_at
+        AND f.invoice_date >= u.cancelled_at - INTERVAL {days} DAY)
+WHERE nth = 1"""
+
+
+def _region_yoy(cutoff: str | None) -> str:
     old, new = YEARS
+    until = f"AND strftime(day, '%m-%d') <= '{cutoff}'" if cutoff else ""
     by_year = ", ".join(
         f"""{_d(f'sum(line_revenue) FILTER (WHERE year(day) = {y})')} AS revenue_{when},
   count(DISTINCT invoice_no) FILTER (WHERE year(day) = {y}) AS orders_{when}"""
         for when, y in (("earlier", old), ("later", new))
     )
+    return f"""{GOODS}, t AS (
+  SELECT {_REGION} AS region, {by_year} FROM sold WHERE year(day) IN ({old}, {new}) {until} GROUP BY 1
+) SELECT region, revenue_earlier, revenue_later, orders_earlier, orders_later,
+  round((revenue_later / revenue_earlier - 1) * 100, 1) AS revenue_change_pct,
+  round(({_d('orders_later')} / orders_earlier - 1) * 100, 1) AS orders_change_pct,
+  round(((revenue_later / orders_later) / (revenue_earlier / orders_earlier) - 1) * 100, 1)
+    AS aov_change_pct FROM t"""
+
+
+def _reports() -> dict[str, str]:
     return {
         "yearly_totals": f"""{MONTHLY} SELECT left(month, 4) AS year,
   {_d('sum(cash)')} AS revenue, CAST(sum(orders) AS BIGINT) AS orders,
@@ -683,21 +730,8 @@ def _reports() -> dict[str, str]:
   {_round(_share('sum(CAST(revenue_share AS DECIMAL(18,4)))', 'count(*)'), 4)} AS revenue_share
 FROM earning WHERE month_number < 24 GROUP BY 1""",
         "pareto_head": f"{BY_MONEY} {_PARETO} WHERE rank <= 8",
-        "matched_cancellations": f"""{FACT}, undo AS (
-  SELECT customer_id, stock_code, abs(quantity) AS units, invoice_date AS cancelled_at,
-         max(invoice_no) AS cancellation_no, count(*) AS cancelled_lines
-  FROM fact WHERE line_type = 'cancellation' AND quantity < 0 AND customer_id IS NOT NULL
-  GROUP BY ALL
-) SELECT customer_id, stock_code, units, cancellation_no, cancelled_at, cancelled_lines,
-  invoice_no AS sale_no, invoice_date AS sold_at,
-  date_sub('minute', invoice_date, cancelled_at) AS minutes
-FROM (SELECT u.*, f.invoice_no, f.invoice_date, row_number() OVER (
-        PARTITION BY u.customer_id, u.stock_code, u.units, u.cancelled_at
-        ORDER BY f.invoice_date DESC, f.invoice_no DESC) AS nth
-      FROM undo u JOIN fact f ON f.customer_id = u.customer_id AND f.stock_code = u.stock_code
-        AND f.quantity = u.units AND f.line_type = 'sale' AND f.invoice_date <= u.cancelled_at
-        AND f.invoice_date >= u.cancelled_at - INTERVAL {MATCH_DAYS} DAY)
-WHERE nth = 1""",
+        "matched_cancellations": _matched(MATCH_DAYS),
+        "matched_cancellations_one_day": _matched(1),
         "score_group_sizes": f"{RFM} SELECT f_score, count(*) AS customers FROM rfm GROUP BY 1",
         "customer_coverage": f"""{FACT}, p AS (
   SELECT customer_id, count(*) FILTER (WHERE is_merchandise AND line_type = 'sale') AS goods_sales,
@@ -708,13 +742,8 @@ WHERE nth = 1""",
   count(*) FILTER (WHERE goods_sales = 0) AS without_goods_sales,
   count(*) FILTER (WHERE goods_lines = 0) AS only_non_goods,
   count(*) FILTER (WHERE sale_lines = 0) AS only_reversals FROM p""",
-        "region_yoy": f"""{GOODS}, t AS (
-  SELECT {_REGION} AS region, {by_year} FROM sold WHERE year(day) IN ({old}, {new}) GROUP BY 1
-) SELECT region, revenue_earlier, revenue_later, orders_earlier, orders_later,
-  round((revenue_later / revenue_earlier - 1) * 100, 1) AS revenue_change_pct,
-  round(({_d('orders_later')} / orders_earlier - 1) * 100, 1) AS orders_change_pct,
-  round(((revenue_later / orders_later) / (revenue_earlier / orders_earlier) - 1) * 100, 1)
-    AS aov_change_pct FROM t""",
+        "region_yoy": _region_yoy(None),
+        "region_yoy_cutoff": _region_yoy(CUTOFF),
     }
 
 
@@ -728,6 +757,9 @@ SELECT * FROM (PIVOT named ON month USING max(v) GROUP BY cohort) WHERE cohort I
 
 
 def all_sql() -> dict[str, str]:
-    """No twin for ``write_marts``: it reports what lies on disk after the write."""
     groups = (_cleaning(), _base(), _marts(), _slices(), _audits(), _reports())
-    return {name: f"WITH {sql}" for group in groups for name, sql in group.items()}
+    found = {name: f"WITH {sql}" for group in groups for name, sql in group.items()}
+    found["write_marts"] = " UNION ALL ".join(
+        f"SELECT '{name}' AS mart, count(*) AS rows FROM ({found[name]})" for name in _marts()
+    )
+    return found

@@ -13,13 +13,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from checks import star
 from checks.workspace import Workspace, workspace
 from tillroll.functions import columns as C
 from tillroll.operators import audit, base, clean, marts, reports
 from tillroll.plans.staging import new_path
 from tillroll.schema import FACT_COLUMNS
 from tillroll.sources import tables
-from tillroll.sources.feed import ingest_log, source_profile
+from tillroll.sources.feed import ingest, ingest_log, source_profile
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -33,6 +34,7 @@ COUNTRIES = ["NATION_0", "NATION_2", "NATION_5"]
 YEARS = (1997, 1998)
 CUTOFF = "12-09"
 MATCH_DAYS = 365
+SAMPLE = 100  # fewer than the customers of any table size, so that the sample is one
 LINE = ["src_ord", "row_ord"]
 
 
@@ -59,11 +61,19 @@ def _backfilled(w: Workspace) -> DataFrame:
 def _write_fact(w: Workspace) -> DataFrame:
     path = new_path(w.spark, "fact-sink")
     tables.write_fact(w.fact, path)
-    return (
-        tables.load_fact(w.spark, path)
-        .groupBy("month_start")
-        .agg(F.count("*").alias("lines"), F.sum("line_revenue").alias("revenue"))
-    )
+    return tables.load_fact(w.spark, path)
+
+
+def _write_change_log(w: Workspace) -> DataFrame:
+    fact, log = new_path(w.spark, "run-fact"), new_path(w.spark, "run-log")
+    tables.write_run(w.cleaning(), fact, log)
+    return w.spark.read.parquet(log)
+
+
+def _from_csv(w: Workspace) -> DataFrame:
+    lines = star.feed_lines(w.spark, w.sf_dir)
+    raw = ingest(star.csv_sources(lines, new_path(w.spark, "csv-feeds")))
+    return clean.normalize_types(raw, w.rules).drop("file_ord", "source")
 
 
 def _write_marts(w: Workspace) -> DataFrame:
@@ -116,7 +126,9 @@ CLEANING: dict[str, Callable[[Workspace], DataFrame]] = {
     "dq_change_log": lambda w: w.cleaning().change_log(),
     "fact_summary": lambda w: clean.fact_summary(w.fact),
     "write_fact": _write_fact,
+    "write_change_log": _write_change_log,
     "write_marts": _write_marts,
+    "normalize_types_csv": _from_csv,
 }
 
 BASE: dict[str, Callable[[Workspace], DataFrame]] = {
@@ -148,12 +160,17 @@ SLICES: dict[str, Callable[[Workspace], DataFrame]] = {
     "monthly_unrestricted": lambda w: even(
         w.slice(countries=COUNTRIES).monthly(_first_month(w), unrestricted=True), *_GROWTH
     ),
+    "monthly_own_history": lambda w: even(w.slice(period=FILTERS["period"]).monthly(), *_GROWTH),
+    "monthly_kpi_calendar": lambda w: marts.monthly_kpi(w.context, calendar_lag=True),
     "country_rollup": lambda w: even(w.slice().country_rollup(), "revenue_share", "repeat_rate"),
     "region_monthly": lambda w: w.slice().region_monthly(),
     "top_products": lambda w: even(w.slice().top_products(), "avg_price", "revenue_share"),
     "top_products_by_units": lambda w: even(
         w.slice().top_products(by="units"), "avg_price", "revenue_share"
     ),
+    "top_products_by_orders": lambda w: even(
+        w.slice().top_products(by="orders"), "avg_price", "revenue_share"
+    ),
     "cancellations_monthly": lambda w: even(w.slice().cancellations_monthly(), "share_of_sales"),
     "reversal_reasons": lambda w: w.slice(merchandise_only=False).reversal_reasons(),
     "customer_revenue": lambda w: w.slice().customer_revenue(),
@@ -181,7 +198,7 @@ SLICES: dict[str, Callable[[Workspace], DataFrame]] = {
     "gap_quantiles": lambda w: w.slice().gap_quantiles(),
     "gap_histogram": lambda w: w.slice().gap_histogram(),
     "segment_share_long": lambda w: reports.segment_share_long(marts.rfm_segments(w.context)),
-    "rfm_sample": lambda w: reports.rfm_sample(marts.rfm(w.context)),
+    "rfm_sample": lambda w: reports.rfm_sample(marts.rfm(w.context), SAMPLE),
     "top_reversed": lambda w: reports.top_reversed(w.context),
     "fact_extent": lambda w: w.slice(merchandise_only=False).extent(),
 }
@@ -191,13 +208,14 @@ AUDITS: dict[str, Callable[[Workspace], DataFrame]] = {
     "overlap_by_day": lambda w: audit.overlap_by_day(w.raw),
     "duplicate_counts": lambda w: audit.duplicate_counts(w.raw),
     "conflicting_duplicates": lambda w: audit.conflicting_duplicates(w.raw),
-    "negative_split": lambda w: audit.negative_split(_typed(w)),
-    "positive_cancellations": lambda w: audit.positive_cancellations(_typed(w)),
-    "return_price_audit": lambda w: audit.return_price_audit(_typed(w)),
+    "negative_split": lambda w: audit.negative_split(w.raw),
+    "positive_cancellations": lambda w: audit.positive_cancellations(w.raw),
+    "return_price_audit": lambda w: audit.return_price_audit(w.raw),
     "nonstandard_codes": lambda w: audit.nonstandard_codes(w.raw),
     "word_audit": lambda w: audit.word_audit(w.raw),
     "numeric_descriptions": lambda w: audit.numeric_descriptions(w.raw),
-    "null_profile": lambda w: audit.null_profile(clean.normalize_types(w.raw, w.rules)),
+    "null_profile": lambda w: audit.null_profile(w.raw),
+    "null_profile_typed": lambda w: audit.null_profile(_typed(w)),
     "country_audit": lambda w: audit.country_audit(w.raw, ("OLD_2", "NATION_0", "Unspecified")),
     "code_type_profile": lambda w: audit.code_type_profile(w.raw),
     "price_noise": lambda w: audit.price_noise(w.raw),
@@ -219,9 +237,11 @@ REPORTS: dict[str, Callable[[Workspace], DataFrame]] = {
         w.slice().pareto_head(), "share", "cum_share", "customer_share"
     ),
     "matched_cancellations": lambda w: reports.matched_cancellations(w.fact, MATCH_DAYS),
+    "matched_cancellations_one_day": lambda w: reports.matched_cancellations(w.fact),
     "score_group_sizes": lambda w: reports.score_group_sizes(marts.rfm(w.context)),
     "customer_coverage": lambda w: reports.customer_coverage(w.fact),
     "region_yoy": lambda w: reports.region_yoy(w.context, YEARS),
+    "region_yoy_cutoff": lambda w: reports.region_yoy(w.context, YEARS, CUTOFF),
 }
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tillroll.rules import NON_GOODS_CODES, Rules
+from tillroll.sources.feed import read_csv
 
 RULES = Rules(
     home_country="NATION_0",
@@ -60,6 +61,9 @@ def feed_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     returned = c("l_returnflag") == "R"
     cancelled = returned & (c("l_linestatus") == "F") & (c("o_orderstatus") == "F")
     sent_back = returned & (c("l_linestatus") == "O")
+    # some sales are undone by a cancellation of their own, hours or days later
+    undone = (c("l_returnflag") != "R") & (c("l_linenumber") == 1) & (c("l_partkey") % 37 == 0)
+    undo = c("undo") == 1
     units = c("l_quantity").cast("int")
     part_no = c("l_partkey").cast("string")
     order_no = c("l_orderkey").cast("string")
@@ -77,16 +81,24 @@ def feed_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         .join(placed.hint("merge"), c("l_orderkey") == c("o_orderkey"))
         .join(parts, c("l_partkey") == c("p_partkey"))
         .withColumn("src_ord", F.explode(sources))
+        .withColumn(
+            "undo", F.explode(F.when(undone, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0))))
+        )
         .select(
             "src_ord",
             c("l_linenumber").alias("row_ord"),
-            F.when(cancelled, F.concat(F.lit("c"), order_no)).otherwise(order_no).alias("invoice_no"),
+            F.when(undo, F.concat(F.lit("C"), order_no, F.lit("U")))
+            .when(cancelled & (c("l_orderkey") % 2 == 0), F.concat(F.lit("C"), order_no))
+            .when(cancelled, F.concat(F.lit("c"), order_no))
+            .otherwise(order_no)
+            .alias("invoice_no"),
             F.when((c("p_type") == "PROMO") & (c("p_size") <= 5), "POST")
             .when(c("l_partkey") % 200 == 7, "TEST001")
             .when(c("l_linenumber") % 2 == 0, F.concat(part_no, F.lit("b")))
             .otherwise(F.concat(F.lit(" "), part_no, F.lit("B")))
             .alias("stock_code"),
             F.when((c("l_linenumber") == 7) & (c("l_partkey") % 10 == 0), None)
+            .when((c("l_linenumber") == 2) & (c("l_partkey") % 70 == 6), part_no)
             .when(c("l_partkey") % 40 == 3, "BLACK  CARRIAGE CLOCK ")
             .when(c("l_partkey") % 50 == 4, F.concat(F.lit("Damaged "), "p_name"))
             .when(c("l_partkey") % 60 == 5, "Carriage charge")
@@ -95,18 +107,22 @@ def feed_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
             .otherwise(title)
             .alias("description"),
             F.when(cancelled & (c("l_partkey") % 97 == 0), units)
-            .when(cancelled | sent_back, -units)
+            .when(cancelled | sent_back | undo, -units)
             .otherwise(units)
             .alias("quantity"),
             (
                 c("o_orderdate")
-                + F.make_dt_interval(F.lit(0), F.lit(0), (c("o_orderkey") % 1440).cast("int"))
+                + F.make_dt_interval(
+                    F.lit(0),
+                    F.lit(0),
+                    (c("o_orderkey") % 1440 + c("undo") * (180 + c("o_orderkey") % 3 * 1440)).cast("int"),
+                )
             ).alias("invoice_date"),
             F.when(sent_back, F.lit(0.0))
             .when(c("l_linenumber") == 2, c("l_extendedprice") + F.lit(0.0000001))
             .otherwise(c("l_extendedprice"))
             .alias("unit_price"),
-            F.when(c("o_orderpriority") == "5-LOW", "n/a")
+            F.when((c("o_orderpriority") == "5-LOW") | (c("n_name") == "NATION_23"), "n/a")
             .otherwise(c("o_custkey").cast("string"))
             .alias("customer_id"),
             F.when(c("n_name") == "NATION_1", " NATION_1  ")
@@ -118,6 +134,15 @@ def feed_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def csv_sources(lines: DataFrame, folder: str) -> list[tuple[str, DataFrame]]:
+    """The feed written as delimited files and read back, every value text."""
+    lines.write.partitionBy("src_ord").option("header", True).csv(folder)
+    return [
+        (name, read_csv(lines.sparkSession, f"{folder}/src_ord={i}").withColumnsRenamed(headers))
+        for i, (name, headers) in enumerate(zip(("first", "second"), HEADERS))
+    ]
+
+
 def write_feeds(spark: SparkSession, sf_dir: str, folder: str) -> None:
     """One join, two feeds on disk: one folder per source."""
     feed_lines(spark, sf_dir).write.partitionBy("src_ord").option("compression", "zstd").parquet(
@@ -149,15 +174,24 @@ j AS (
   SELECT 0 AS src_ord, j.* FROM j WHERE o_orderdate <  TIMESTAMP '1998-06-10 00:00:00'
   UNION ALL
   SELECT 1 AS src_ord, j.* FROM j WHERE o_orderdate >= TIMESTAMP '1998-06-01 00:00:00'
+), u AS (
+  SELECT s.*, 0 AS undo FROM s
+  UNION ALL
+  SELECT s.*, 1 AS undo FROM s
+  WHERE l_returnflag <> 'R' AND l_linenumber = 1 AND l_partkey % 37 = 0
 ), raw AS (
 SELECT src_ord,
        CAST(l_linenumber AS BIGINT) AS row_ord,
-       CASE WHEN is_c THEN concat('c', CAST(l_orderkey AS STRING)) ELSE CAST(l_orderkey AS STRING) END AS invoice_no,
+       CASE WHEN undo = 1 THEN concat('C', CAST(l_orderkey AS STRING), 'U')
+            WHEN is_c AND l_orderkey % 2 = 0 THEN concat('C', CAST(l_orderkey AS STRING))
+            WHEN is_c THEN concat('c', CAST(l_orderkey AS STRING))
+            ELSE CAST(l_orderkey AS STRING) END AS invoice_no,
        CASE WHEN p_type = 'PROMO' AND p_size <= 5 THEN 'POST'
             WHEN l_partkey % 200 = 7 THEN 'TEST001'
             WHEN l_linenumber % 2 = 0 THEN concat(CAST(l_partkey AS STRING), 'b')
             ELSE concat(' ', CAST(l_partkey AS STRING), 'B') END AS stock_code,
        CASE WHEN l_linenumber = 7 AND l_partkey % 10 = 0 THEN NULL
+            WHEN l_linenumber = 2 AND l_partkey % 70 = 6 THEN CAST(l_partkey AS STRING)
             WHEN l_partkey % 40 = 3 THEN 'BLACK  CARRIAGE CLOCK '
             WHEN l_partkey % 50 = 4 THEN concat('Damaged ', p_name)
             WHEN l_partkey % 60 = 5 THEN 'Carriage charge'
@@ -165,16 +199,18 @@ SELECT src_ord,
             WHEN l_linenumber % 3 = 0 THEN concat(upper(p_name), ' SET')
             ELSE upper(p_name) END AS description,
        CASE WHEN is_c AND l_partkey % 97 = 0 THEN CAST(l_quantity AS INT)
-            WHEN is_c OR is_r THEN -CAST(l_quantity AS INT)
+            WHEN is_c OR is_r OR undo = 1 THEN -CAST(l_quantity AS INT)
             ELSE CAST(l_quantity AS INT) END AS quantity,
-       o_orderdate + INTERVAL '1' MINUTE * (o_orderkey % 1440) AS invoice_date,
+       o_orderdate + INTERVAL '1' MINUTE *
+         (o_orderkey % 1440 + undo * (180 + o_orderkey % 3 * 1440)) AS invoice_date,
        CASE WHEN is_r THEN CAST(0 AS DOUBLE)
             WHEN l_linenumber = 2 THEN l_extendedprice + CAST(0.0000001 AS DOUBLE)
             ELSE l_extendedprice END AS unit_price,
-       CASE WHEN o_orderpriority = '5-LOW' THEN 'n/a' ELSE CAST(o_custkey AS STRING) END AS customer_id,
+       CASE WHEN o_orderpriority = '5-LOW' OR n_name = 'NATION_23' THEN 'n/a'
+            ELSE CAST(o_custkey AS STRING) END AS customer_id,
        CASE WHEN n_name = 'NATION_1' THEN ' NATION_1  '
             WHEN n_name = 'NATION_2' THEN 'OLD_2'
             WHEN n_name = 'NATION_24' THEN 'Unspecified'
             ELSE n_name END AS country
-FROM s
+FROM u
 )"""

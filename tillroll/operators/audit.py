@@ -7,12 +7,13 @@ only trimmed or cased where an audit says so.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tillroll.functions import columns as C
-from tillroll.operators.scale import most_common, salted_semi_join
+from tillroll.operators.scale import most_common
 from tillroll.rules import BUSINESS_KEY
 from tillroll.schema import MONEY, RAW_COLUMNS
 from tillroll.sources.feed import source_profile
@@ -73,10 +74,10 @@ def conflicting_duplicates(raw: DataFrame) -> DataFrame:
         .filter("lines > 1")
         .drop("lines")
     )
-    single = copies.filter("copies = 1").drop("copies")
-    return salted_semi_join(
-        single, shared, list(BUSINESS_KEY), spread=["description", "customer_id", "country"]
-    )
+    single = copies.filter("copies = 1").drop("copies").alias("l")
+    # a semi join's left side may be cut: adaptive execution splits a key it finds skewed
+    same = [F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}")) for k in BUSINESS_KEY]
+    return single.join(shared.alias("r"), reduce(Column.__and__, same), "left_semi")
 
 
 def negative_split(raw: DataFrame) -> DataFrame:

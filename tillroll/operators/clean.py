@@ -153,8 +153,10 @@ class Cleaning:
 
     @cached_property
     def _repaired(self) -> DataFrame:
+        """Staged: the log, the fact and the samples of a range split repair nothing twice."""
         kept = drop_test_rows(self.unique, self.rules)
-        return derive_measures(fill_sentinel(backfill_description(kept), self.rules))
+        filled = derive_measures(fill_sentinel(backfill_description(kept), self.rules))
+        return stage(filled.select(*FACT_COLUMNS, "is_backfilled"), "repaired-lines")
 
     @property
     def fact(self) -> DataFrame:
@@ -162,7 +164,7 @@ class Cleaning:
         return self._repaired.select(*FACT_COLUMNS)
 
     def change_log(self) -> DataFrame:
-        """``(rule, rows, note)``: one scan of the raw lines, two of the staged ones."""
+        """``(rule, rows, note)``: two scans of the raw lines, one of each staged table."""
         rules = self.rules
         country = C.clean_text(F.col("country"))
         before = self.raw.agg(

@@ -1,7 +1,8 @@
 """Measures on any filtered slice of the fact.
 
-``Slice.of(fact, rules, period=..., countries=...)`` cuts the lines; every method
-returns a lazy frame. Unlike the marts, ratios are not rounded here.
+``Slice.of(fact, rules, period=..., countries=...)`` cuts the lines; every method returns a
+frame. What several steps of a method read, such as the orders of the slice, is staged while
+the frame is built. Unlike the marts, ratios are not rounded here.
 """
 
 from __future__ import annotations
@@ -21,6 +22,7 @@ from tillroll.operators.scale import (
     running_total,
     share_of_total,
 )
+from tillroll.plans.staging import stage
 from tillroll.rules import Rules
 
 
@@ -43,15 +45,18 @@ class Slice:
 
     @cached_property
     def _orders(self) -> DataFrame:
-        return base.order_rollup(self.sales)
+        """One row per order and customer, staged once per slice."""
+        return stage(base.order_rollup(self.sales), "slice-orders")
 
     # ------------------------------------------------------------ one-row cards
     def summary(self) -> DataFrame:
         """KPI card (D1). An empty slice has AOV 0 and no guest share."""
         money = F.col("line_revenue")
         is_sale = F.col("line_type") == C.SALE
-        invoices = self.lines.groupBy(
-            F.when(is_sale, F.col("invoice_no")).alias("invoice_no")
+        # one row per order and customer: the only scan of the lines
+        per_order = self.lines.groupBy(
+            F.when(is_sale, F.col("invoice_no")).alias("invoice_no"),
+            F.when(is_sale, F.col("customer_id")).alias("customer_id"),
         ).agg(
             F.sum(F.when(is_sale, money)).alias("sold"),
             F.sum(F.when(~is_sale, money)).alias("reversed"),
@@ -61,9 +66,12 @@ class Slice:
             F.count_if(F.col("line_type") == C.CANCELLATION).alias("cancellations"),
             F.count_if(F.col("line_type") == C.RETURN).alias("returns"),
         )
+        per_order = stage(per_order, "slice-summary")
+        added = ("sold", "reversed", "lines", "guest_lines", "units", "cancellations", "returns")
+        invoices = per_order.groupBy("invoice_no").agg(*(F.sum(n).alias(n) for n in added))
         orders = invoices.filter("invoice_no IS NOT NULL")
         median = exact_quantiles(orders, "sold", [0.5]).scalar()[0]
-        customers = self.sales.agg(F.count_distinct("customer_id")).scalar()
+        customers = per_order.agg(F.count_distinct("customer_id")).scalar()
         zero = F.lit(0)
         return invoices.agg(
             F.coalesce(F.sum("sold"), zero).alias("sold"),

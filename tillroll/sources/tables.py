@@ -7,6 +7,7 @@ from concurrent.futures import ThreadPoolExecutor
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tillroll.operators.clean import Cleaning
 from tillroll.operators.marts import MART_ORDER, REGISTRY
 from tillroll.plans.context import Context
 from tillroll.schema import FACT_COLUMNS, FACT_SCHEMA
@@ -35,6 +36,12 @@ def write_fact(fact: DataFrame, path: str, max_records_per_file: int = 20_000_00
     )
 
 
+def write_run(cleaning: Cleaning, fact_path: str, log_path: str) -> None:
+    """Write the fact and the change log of one cleaning run; lines are repaired once."""
+    write_fact(cleaning.fact, fact_path)
+    write_table(cleaning.change_log(), log_path)
+
+
 def load_fact(spark: SparkSession, path: str) -> DataFrame:
     """The written fact with its fixed schema; no schema inference job."""
     return spark.read.schema(FACT_SCHEMA).parquet(path).select(*FACT_COLUMNS)
