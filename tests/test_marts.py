@@ -39,6 +39,10 @@ def test_monthly_agrees_with_slice(work, mart):
 def test_country_agrees_with_slice(work, mart):
     ours = work.slice().country_rollup().toPandas().set_index("country").sort_index()
     theirs = mart("country_stats").set_index("country").sort_index()
+    # a country of guests only has turnover but no repeat rate: the mart leaves it out
+    guests = ours.index[ours.repeat_rate.isna()]
+    assert guests.tolist() == ["NATION_23"]
+    ours = ours.drop(index=guests)
     assert (ours.revenue == theirs.revenue).all()
     assert ours.repeat_rate.round(4).tolist() == theirs.repeat_rate.tolist()
     assert theirs.revenue_share.sum() == pytest.approx(1, abs=1e-3)
