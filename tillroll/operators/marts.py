@@ -1,6 +1,6 @@
 """The sixteen marts (C1-C16): whole-history tables derived from one fact.
 
-Each function takes a :class:`~tillroll.plans.context.Context` and returns a lazy
+Each function takes a :class:`~tillroll.plans.context.Context` and returns a
 frame. Rows are not ordered here; ``MART_ORDER`` names the unique sort key that the
 sink applies.
 """
