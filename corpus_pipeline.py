@@ -33,9 +33,9 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def drop_boilerplate_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines on too many pages of a source go; documents stay."""
+    """Lines on too many pages of a source go; documents stay. Copies are one page."""
     prepare(spark)
-    return _measured(line_dedup.drop_boilerplate(docs))
+    return _measured(line_dedup.drop_boilerplate(docs, distinct=True))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

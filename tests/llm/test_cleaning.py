@@ -44,6 +44,22 @@ def test_lines_on_too_many_pages_go(corpus, ratio):
     assert got.filter("kept <> 'my kept'").count() == 0
 
 
+@pytest.mark.parametrize("ratio", [0.02, 0.1])
+def test_copies_are_one_page(corpus, ratio):
+    got = line_dedup.drop_boilerplate(corpus, max_ratio=ratio, distinct=True)
+    pages = {(r[3], r[1]): r for r in ALL}.values()
+    on, total = defaultdict(Counter), Counter(r[3] for r in pages)
+    for r in pages:
+        on[r[3]].update({x.strip(" \t\r") for x in (r[1] or "").split("\n")} - {""})
+
+    def kept(r):
+        seen = [(x, on[r[3]][x.strip(" \t\r")]) for x in r[1].split("\n")]
+        return "\n".join(x for x, n in seen if not (n >= 3 and n > ratio * total[r[3]]))
+
+    want = as_counter((r[0], r[3], None if r[1] is None else kept(r)) for r in ALL)
+    assert as_counter(got.select("doc_id", "source", "text").collect()) == want
+
+
 def plain_counts(text):
     words = [w for w in re.split(r"[\x20\x09-\x0D]+", text or "") if w]
     lines = [x for x in (text or "").split("\n") if re.sub(r"[\x20\x09-\x0D]", "", x)]

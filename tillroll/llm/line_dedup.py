@@ -5,8 +5,8 @@ Per host, the pages that contain a line are divided by all pages of the host; li
 
 Cases: a null or empty text is a page without lines and stays as it is; blank lines are never
 boilerplate; lines are compared without spaces, tabs and carriage returns at their ends; a line
-repeated inside one page counts once; null hosts form one host; equal rows are separate pages;
-an empty table gives an empty table; other columns pass through untouched, whatever their names.
+repeated inside one page counts once; null hosts form one host; equal rows are separate pages,
+with ``distinct`` rows of one host and equal text are one page; an empty table gives an empty table; other columns pass through untouched, whatever their names.
 """
 
 from __future__ import annotations
@@ -39,17 +39,25 @@ def boilerplate(
     text: str = "text",
     max_ratio: float = 0.02,
     min_pages: int = 3,
+    distinct: bool = False,
 ) -> DataFrame:
     """(host, boiler): per host the keys of its boilerplate lines.
 
+    ``distinct`` counts a page once per host and text, in the lines and in the host's total: a
+    text with many copies is then no boilerplate. Only line keys travel, copies combined first.
+
     A host has at most (mean lines per page) / ``max_ratio`` of them. Counting is a plain
     aggregate with map-side combine, so a hot host or a line on every page costs one row per
     map task.
     """
     pages = docs.select(F.col(host).alias("host"), F.col(text).alias("text"))
-    totals = pages.groupBy("host").agg(F.count("*").alias("pages"))
     bare = F.filter(F.transform(_lines(F.col("text")), _bare), lambda x: x != "")
     keys = F.transform(F.array_distinct(bare), _key)
+    if distinct:
+        once = pages.select("host", _key(F.col("text")).alias("page"), keys.alias("keys"))
+        pages = stage(once.dropDuplicates(["host", "page"]).select("host", "keys"), "pages")
+        keys = F.col("keys")
+    totals = pages.groupBy("host").agg(F.count("*").alias("pages"))
     counted = (
         pages.select("host", F.explode(keys).alias("key"))
         .groupBy("host", "key")
@@ -73,6 +81,7 @@ def drop_boilerplate(
     max_ratio: float = 0.02,
     min_pages: int = 3,
     counts: tuple[str, str] | None = None,
+    distinct: bool = False,
 ) -> DataFrame:
     """``docs`` with its boilerplate lines cut out of ``text``; no row goes.
 
@@ -80,7 +89,7 @@ def drop_boilerplate(
     key lists are staged, so the optimiser sees their size: under its limit they are broadcast,
     beyond it both sides shuffle by host and adaptive execution splits the hot host.
     """
-    found = stage(boilerplate(docs, host, text, max_ratio, min_pages), "boilerplate")
+    found = stage(boilerplate(docs, host, text, max_ratio, min_pages, distinct), "boilerplate")
     listed = found.withColumnRenamed("host", "of")
     rows = whole_rows(docs, host=F.col(host), text=F.col(text))
     joined = rows.join(listed, F.col("host").eqNullSafe(F.col("of")), "left")
