@@ -1,5 +1,6 @@
 """Line dedup, quality rules, mixing: against plain Python over the same rows."""
 
+import random
 import re
 from collections import Counter, defaultdict
 
@@ -92,6 +93,15 @@ def test_junk_goes_and_clean_text_stays(spark, corpus):
     assert kept.columns == docs.columns
 
 
+def test_a_third_of_junk_copies_goes(spark):
+    rng = random.Random(9)
+    clean = [(i, cases.prose(rng, 120), "en", "site", 1) for i in range(100)]
+    text = " ".join(w + "#$%" for w in cases.prose(rng, 120).split())
+    junk = [(1000 + i, text, "en", "site", 1) for i in range(50)]
+    kept = quality.keep_quality(cases.table(spark, clean + junk)).select("doc_id").collect()
+    assert {r["doc_id"] for r in kept} == {r[0] for r in clean}
+
+
 def test_chi_square_and_steps():
     assert quality.chi2_quantile(0.975, 4) == pytest.approx(11.1433, abs=1e-3)
     assert quality.chi2_quantile(0.5, 4) == pytest.approx(3.35669, abs=1e-4)

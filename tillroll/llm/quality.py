@@ -32,7 +32,10 @@ SYMBOLS = "#*$%&|<>"
 
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
+#: share of the registered query and its SQL twin: breaks down at a quarter of junk
 COVERAGE = 0.75
+#: share of the operator: holds against junk of almost half a group
+HALF = 0.5
 STEPS = 3
 #: upper 1e-9 tail of chi-square with four degrees of freedom, about 48: clean texts stay
 TAIL = 1e-9
@@ -233,7 +236,7 @@ def _nearest(rows: DataFrame, distance: str, share: float) -> DataFrame:
 
 
 def group_estimates(
-    vectors: DataFrame, coverage: float = COVERAGE, steps: int = STEPS
+    vectors: DataFrame, coverage: float = HALF, steps: int = STEPS
 ) -> DataFrame:
     """The reweighted MCD estimate of every (lang, source) of ``vectors`` (lang, source, x0..)."""
     shift = {f"c{i}": F.floor(F.col(x) * 1000) for i, x in enumerate(_X)}
@@ -269,7 +272,7 @@ def with_verdict(
     text: str = "text",
     lang: str = "lang",
     source: str = "source",
-    coverage: float = COVERAGE,
+    coverage: float = HALF,
     steps: int = STEPS,
     tail: float = TAIL,
     carry: list[str] | None = None,
