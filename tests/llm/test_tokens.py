@@ -4,6 +4,7 @@ import math
 import random
 import zlib
 from collections import Counter, defaultdict
+from functools import lru_cache
 
 import cases
 import numpy as np
@@ -180,3 +181,50 @@ def test_every_state_sums_to_one(corpus):
             at = automaton.fail[at]
         total = sum(step(state, w) for w in range(known)) + others * 10**weight
         assert total == pytest.approx(1.0, abs=1e-9), state
+
+
+def plain_scores(rows, held, order=3, discount=0.5):
+    """Backoff without bounds: every word and every n-gram seen twice."""
+    seen = Counter()
+    for r in rows:
+        words = lm.tokens_of(r[1])
+        if not held(r):
+            seen.update(tuple(words[i - k : i + 1]) for i in range(len(words)) for k in range(min(order, i + 1)))
+    total = sum(n for g, n in seen.items() if len(g) == 1)
+    floor = total + sum(len(g) == 1 for g in seen) + 1
+    after = defaultdict(list)
+    for g, n in seen.items():
+        if len(g) > 1 and n >= 2:
+            after[g[:-1]].append(g)
+
+    def p(g):
+        if len(g) == 1:
+            return (seen[g] + 1) / floor
+        if seen[g] >= 2:
+            return (seen[g] - discount) / seen[g[:-1]]
+        return backoff(g[:-1]) * p(g[1:])
+
+    @lru_cache(None)
+    def backoff(context):
+        own = sum((seen[g] - discount) / seen[context] for g in after[context])
+        return (1 - own) / (1 - sum(p(g[1:]) for g in after[context]))
+
+    def score(words):
+        return sum(math.log10(p(tuple(words[max(0, i - order + 1) : i + 1]))) for i in range(len(words)))
+
+    return Counter((r[0], round(score(lm.tokens_of(r[1])), 6)) for r in rows)
+
+
+def test_scores_of_the_whole_model(spark):
+    rng = random.Random(11)
+    names = [f"w{i}" for i in range(9000)] + ["x" * 70 + str(i) for i in range(20)]
+    twice = names * 2  # each follows the same word twice: more contexts than a bounded model has
+    rows = ALL + [(20000 + i, " ".join(twice[i * 60 : i * 60 + 63]), "en", "names", 1) for i in range(301)]
+    rows += [(30000 + i, " ".join(rng.choices(names[8990:], k=80)), "en", "names", 1) for i in range(9)]
+    held = fold_of(F.col("doc_id"), 7) == 2
+    got = lm.score_held_out(cases.table(spark, rows).repartition(4), held, ["doc_id"]).collect()
+
+    def plain_held(r):
+        return zlib.crc32(("" if r[0] is None else str(r[0])).encode()) % 7 == 2
+
+    assert Counter((r["doc_id"], round(r["score"], 6)) for r in got) == plain_scores(rows, plain_held)

@@ -1,5 +1,8 @@
 """Language-model scoring with a weighted backoff automaton.
 
+``score_held_out`` scores with the whole model, whose n-grams stay tables (``lm_tables``). Only a
+caller who names ``vocabulary``, ``context`` or ``states`` gets the bounded automaton below.
+
 Counts: every word of every training text, as a table that stays distributed. The words of the
 highest counts (``VOCABULARY`` at most, ties at the border left out together) get a number, and
 n-grams over the first ``CONTEXT`` of them are counted for each order in turn, prefixes first; per
@@ -34,6 +37,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tillroll.llm import lm_tables
 from tillroll.llm.tokens import slices
 from tillroll.plans.staging import stage
 
@@ -386,11 +390,21 @@ def score(docs: DataFrame, model: Trained, keep: list[str], text: str = "text")
 
 
 def score_held_out(
-    docs: DataFrame, held_out: Column, keep: list[str], text: str = "text", **options
+    docs: DataFrame,
+    held_out: Column,
+    keep: list[str],
+    text: str = "text",
+    order: int = ORDER,
+    discount: float = DISCOUNT,
+    **bounds: int,
 ) -> DataFrame:
-    """Learn from the rows that are not held out, score all."""
-    model = train(docs.filter(~held_out), text, **options)
+    """Learn from the rows that are not held out, score all; ``bounds`` as for :func:`train`."""
     marked = docs.withColumn("held_out", held_out)
-    return score(marked, model, [*keep, "held_out"], text).withColumn(
-        "train_tokens", F.lit(model.total).cast("bigint")
-    )
+    if bounds:
+        model = train(docs.filter(~held_out), text, order=order, discount=discount, **bounds)
+        scored, total = score(marked, model, [*keep, "held_out"], text), model.total
+    else:
+        scored, total = lm_tables.score_all(
+            marked, ~F.col("held_out"), [*keep, "held_out"], text, order, discount
+        )
+    return scored.withColumn("train_tokens", F.lit(total).cast("bigint"))
