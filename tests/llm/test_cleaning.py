@@ -102,6 +102,25 @@ def test_a_third_of_junk_copies_goes(spark):
     assert {r["doc_id"] for r in kept} == {r[0] for r in clean}
 
 
+def test_concentration_ends_when_no_determinant_falls(spark):
+    rng = random.Random(4)
+
+    def vector(i):
+        at = 0.0 if i % 2 else 2.5
+        return ("en", "s", *(at + rng.gauss(0, 0.9 if at else 1.2) for _ in range(quality.P)))
+
+    rows = [vector(i) for i in range(600)]
+    names = ", ".join(f"x{i} double" for i in range(quality.P))
+    vectors = spark.createDataFrame(rows, f"lang string, source string, {names}").cache()
+
+    def centre(steps):
+        return quality.group_estimates(vectors, steps=steps).first()["m0"]
+
+    ended = centre(None)
+    assert ended == pytest.approx(centre(40), abs=1e-9)
+    assert ended != pytest.approx(centre(quality.STEPS), abs=1e-3)
+
+
 def test_chi_square_and_steps():
     assert quality.chi2_quantile(0.975, 4) == pytest.approx(11.1433, abs=1e-3)
     assert quality.chi2_quantile(0.5, 4) == pytest.approx(3.35669, abs=1e-4)

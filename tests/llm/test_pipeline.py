@@ -70,12 +70,13 @@ def _nearest(d2):
 
 
 def _distances(x, subset, share):
-    """Of all rows from the estimate over ``subset``, the nearest ``share`` of its group."""
+    """Of all rows from the estimate over ``subset``, and the root of its determinant."""
     inside, floors = x[subset], np.array(quality.FLOORS)
     mean = inside.mean(axis=0)
     scatter = (inside.T @ inside / len(inside) - np.outer(mean, mean)) * quality._consistency(share)
     scatter[np.diag_indices(quality.P)] = np.maximum(np.diag(scatter), 0) + floors**2
-    return (np.linalg.solve(np.linalg.cholesky(scatter), (x - mean).T) ** 2).sum(axis=0)
+    root = np.linalg.cholesky(scatter)
+    return (np.linalg.solve(root, (x - mean).T) ** 2).sum(axis=0), np.diag(root).prod()
 
 
 def plain_quality(rows):
@@ -91,9 +92,12 @@ def plain_quality(rows):
         centre = np.array([_border(c, 0.5) for c in bins.T])
         spread = np.array([_border(c, 0.5) for c in abs(bins - centre).T])
         d2 = (((x - centre / 1000) / np.maximum(spread * 0.0014826, quality.FLOORS)) ** 2).sum(axis=1)
-        for _ in range(quality.STEPS + 1):
-            d2 = _distances(x, _nearest(d2), quality.HALF)
-        d2 = _distances(x, d2 <= quality.chi2_quantile(0.975, quality.P), 0.975)
+        d2, _ = _distances(x, _nearest(d2), quality.HALF)
+        least, fell = np.inf, True
+        while fell:
+            d2, det = _distances(x, _nearest(d2), quality.HALF)
+            fell, least = det < least * (1 - quality.FALL), min(det, least)
+        d2, _ = _distances(x, d2 <= quality.chi2_quantile(0.975, quality.P), 0.975)
         near = d2 <= quality.chi2_quantile(1 - quality.TAIL, quality.P)
         out += [r for (r, _), ok in zip(found, near) if ok]
     return out

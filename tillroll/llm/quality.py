@@ -4,7 +4,7 @@ Every text gives counts of words, characters in words, symbols, repeated lines a
 words. Texts that fail a base rule go. The others become vectors of transformed rates, and for
 each (lang, source) the minimum-covariance-determinant estimate gives centre and scatter: start
 from the half nearest to the group's median and spread, then concentrate - estimate, measure, keep
-the nearest ``coverage`` share - until the step count is reached; a last estimate over all rows
+the nearest ``coverage`` share - until no group's determinant falls; a last estimate over all rows
 inside the 97.5 % ellipse sharpens it. A text beyond ``cut`` (squared Mahalanobis distance) goes.
 
 Native throughout. A group is never gathered: medians and the border of the nearest share come
@@ -36,7 +36,10 @@ MAX_REPEAT_PERCENT = 50
 COVERAGE = 0.75
 #: share of the operator: holds against junk of almost half a group
 HALF = 0.5
+#: steps of the registered query and its SQL twin
 STEPS = 3
+#: a determinant falls if it loses this share of its least value so far
+FALL = 1e-6
 #: upper 1e-9 tail of chi-square with four degrees of freedom, about 48: clean texts stay
 TAIL = 1e-9
 #: least scale of each transformed statistic
@@ -235,10 +238,29 @@ def _nearest(rows: DataFrame, distance: str, share: float) -> DataFrame:
     return _on_group(rows, stage(border, "nearest")).filter(_bin(F.col(distance)) <= F.col("top"))
 
 
+def _least(estimate: DataFrame, before: DataFrame | None) -> DataFrame:
+    """(lang, source, det, fell): least root of the determinant so far, and whether it fell now."""
+    det = F.col("l00")
+    for i in range(1, P):
+        det = det * F.col(f"l{i}{i}")
+    now = estimate.select("lang", "source", det.alias("det"))
+    if before is None:
+        return now.withColumn("fell", F.lit(True))
+    both = _on_group(now, before.select("lang", "source", F.col("det").alias("was")))
+    return both.select(
+        "lang", "source", F.least("det", "was").alias("det"),
+        (F.col("det") < F.col("was") * (1 - FALL)).alias("fell"),
+    )
+
+
 def group_estimates(
-    vectors: DataFrame, coverage: float = HALF, steps: int = STEPS
+    vectors: DataFrame, coverage: float = HALF, steps: int | None = None
 ) -> DataFrame:
-    """The reweighted MCD estimate of every (lang, source) of ``vectors`` (lang, source, x0..)."""
+    """The reweighted MCD estimate of every (lang, source) of ``vectors`` (lang, source, x0..).
+
+    ``steps`` fixes the number of concentration steps; without it they end when no group's
+    determinant falls below its least so far, which floors bound from below.
+    """
     shift = {f"c{i}": F.floor(F.col(x) * 1000) for i, x in enumerate(_X)}
     centre = stage(_borders(vectors, 0.5, shift), "medians")
     centred = _on_group(vectors, centre)
@@ -258,11 +280,16 @@ def group_estimates(
     first = _on_group(centred, spread).withColumn("d2", start).select("lang", "source", *_X, "d2")
     subset = _nearest(first, "d2", 0.5)
     scale = _consistency(0.5)
-    for _ in range(steps):
-        estimate = stage(_estimate(subset, scale), "mcd")
+    estimate, done, least = stage(_estimate(subset, scale), "mcd"), 0, None
+    while done != steps:
         subset = _nearest(_with_distance(vectors, estimate), "d2", coverage)
         scale = _consistency(coverage)
-    estimate = stage(_estimate(subset, scale), "mcd")
+        estimate = stage(_estimate(subset, scale), "mcd")
+        done += 1
+        if steps is None:
+            least = stage(_least(estimate, least), "determinants")
+            if least.filter("fell").isEmpty():
+                break
     inside = _with_distance(vectors, estimate).filter(F.col("d2") <= chi2_quantile(0.975, P))
     return stage(_estimate(inside, _consistency(0.975)), "mcd")
 
@@ -273,7 +300,7 @@ def with_verdict(
     lang: str = "lang",
     source: str = "source",
     coverage: float = HALF,
-    steps: int = STEPS,
+    steps: int | None = None,
     tail: float = TAIL,
     carry: list[str] | None = None,
 ) -> DataFrame:

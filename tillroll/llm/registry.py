@@ -50,9 +50,9 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # the coverage of the SQL twin
+    # coverage and steps of the SQL twin
     found = quality.with_verdict(
-        documents(spark, sf_dir), coverage=quality.COVERAGE, carry=["doc_id"]
+        documents(spark, sf_dir), coverage=quality.COVERAGE, steps=quality.STEPS, carry=["doc_id"]
     )
     return found.select("doc.doc_id", *quality.BASE, "base_failed", "kept")
 
