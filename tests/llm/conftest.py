@@ -5,7 +5,7 @@ import pytest
 
 sys.path.insert(0, str(Path(__file__).resolve().parent))
 
-import cases  # noqa: E402
+import corpus_rows as cases  # noqa: E402
 
 
 @pytest.fixture(scope="session")

@@ -4,7 +4,7 @@ import random
 import re
 from collections import Counter, defaultdict
 
-import cases
+import corpus_rows as cases
 import pytest
 from pyspark.sql import functions as F
 

@@ -4,7 +4,7 @@ import hashlib
 import random
 from collections import Counter, defaultdict
 
-import cases
+import corpus_rows as cases
 import numpy as np
 import pytest
 import xxhash

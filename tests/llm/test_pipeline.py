@@ -6,7 +6,7 @@ import sys
 from collections import Counter, defaultdict
 from pathlib import Path
 
-import cases
+import corpus_rows as cases
 import numpy as np
 import pytest
 from pyspark.sql import functions as F

@@ -6,7 +6,7 @@ import zlib
 from collections import Counter, defaultdict
 from functools import lru_cache
 
-import cases
+import corpus_rows as cases
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
