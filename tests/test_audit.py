@@ -3,7 +3,7 @@
 import datetime as dt
 
 import pytest
-from conftest import FIRST_HEADERS, build_fact
+from retail_rows import FIRST_HEADERS, build_fact
 
 from tillroll.operators import audit, reports
 from tillroll.operators.clean import Cleaning
@@ -14,8 +14,8 @@ from tillroll.sources import feed
 ODD = [
     ("1", "20725", "Red bag", 2, "2010-01-01 10:00", 1.25, 1.0, "EIRE"),
     ("1", "20725", "Red bag", 2, "2010-01-01 10:00", 1.25, 1.0, "EIRE"),
-    ("2", "20725", "BUNTING , SPOTTY", 1, "2010-01-01 11:00", 4.0, 2.0, "France"),
-    ("2", "20725", "SPOTTY BUNTING", 1, "2010-01-01 11:00", 4.0, 2.0, "France"),
+    ("2", "20725", "SMALL LACQUER TRAY", 1, "2010-01-01 11:00", 4.0, 2.0, "France"),
+    ("2", "20725", "LACQUER TRAY, SMALL", 1, "2010-01-01 11:00", 4.0, 2.0, "France"),
     ("C3", "M", "Manual", 1, "2010-01-02 10:00", 373.57, None, "France"),
     ("C4", "M", "Manual", -1, "2010-01-02 10:00", 500.0, None, "France"),
     ("5", "gift", None, -3, "2010-01-02 10:00", 0.0, None, "Unspecified"),
@@ -55,7 +55,7 @@ def test_duplicates(odd, raw):
     counts = audit.duplicate_counts(odd).first()
     assert (counts.by_all_columns, counts.by_business_key) == (1, 2)
     conflicts = audit.conflicting_duplicates(odd).collect()
-    assert {r.description for r in conflicts} == {"BUNTING , SPOTTY", "SPOTTY BUNTING"}
+    assert {r.description for r in conflicts} == {"SMALL LACQUER TRAY", "LACQUER TRAY, SMALL"}
     counts = audit.duplicate_counts(raw).first()
     assert (counts.by_all_columns, counts.by_business_key) == (2, 2)
 

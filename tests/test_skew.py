@@ -5,7 +5,7 @@ import datetime as dt
 import random
 
 import pytest
-from conftest import build_fact
+from retail_rows import build_fact
 
 from tillroll.operators import base, marts, reports
 from tillroll.operators.clean import Cleaning
