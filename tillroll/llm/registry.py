@@ -1,4 +1,4 @@
-"""The corpus operators as registered queries, each over the whole documents table."""
+"""The corpus operators as registered queries, each over its whole table."""
 
 from __future__ import annotations
 
@@ -13,15 +13,17 @@ from tillroll.llm import (
     line_dedup,
     lm,
     mixing,
+    negatives,
     packing,
     phrases,
     quality,
     quality_sql,
+    resample,
     simhash,
     suffixes,
     token_files,
 )
-from tillroll.llm.common import documents, fold_of
+from tillroll.llm.common import documents, fold_of, table
 from tillroll.plans.staging import new_path
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
@@ -83,11 +85,24 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.with_fingerprints(documents(spark, sf_dir))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    turned = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.mine(rows, F.col("id") % 100 == 0, label=turned)
+
+
+def op12_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    found = resample.resample(docs, table(spark, sf_dir, "benchmark"), carry=["doc_id"])
+    return found.select("doc.doc_id", "n_features", "weight", "score", "rank")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_line_dedup, op2_language_id, op3_suffix_dedup, op4_simhash, op5_quality,
         op6_mixing, op7_token_files, op8_lm_score, op9_packing, op10_fingerprints,
+        op11_hard_negatives, op12_resample,
     )
 }
 
@@ -95,4 +110,6 @@ ORACLE_SQL: dict[str, str] = {
     "op1_line_dedup": line_dedup.ORACLE,
     "op5_quality": quality_sql.oracle(),
     "op6_mixing": mixing.ORACLE,
+    "op11_hard_negatives": negatives.ORACLE,
+    "op12_resample": resample.oracle(),
 }
