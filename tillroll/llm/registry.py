@@ -22,6 +22,7 @@ from tillroll.llm import (
     simhash,
     suffixes,
     token_files,
+    wrapper,
 )
 from tillroll.llm.common import documents, fold_of, table
 from tillroll.plans.staging import new_path
@@ -97,12 +98,17 @@ def op12_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc.doc_id", "n_features", "weight", "score", "rank")
 
 
+def op13_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = wrapper.extract(table(spark, sf_dir, "pages"), carry=["page_id", "url"])
+    return found.select("page.page_id", "page.url", "text", "n_chars")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_line_dedup, op2_language_id, op3_suffix_dedup, op4_simhash, op5_quality,
         op6_mixing, op7_token_files, op8_lm_score, op9_packing, op10_fingerprints,
-        op11_hard_negatives, op12_resample,
+        op11_hard_negatives, op12_resample, op13_html_text,
     )
 }
 
