@@ -20,6 +20,11 @@ LEAF = 8
 _EXACT = 2.0**52
 
 
+def _whole(points: np.ndarray) -> np.ndarray:
+    """As Python integers, exact at any size."""
+    return np.array([int(x) for x in points.ravel()], object).reshape(points.shape)
+
+
 @dataclass
 class Window:
     """The ``k`` best of the scores from ``low`` to ``high``; ties by id (none last), then row."""
@@ -99,7 +104,7 @@ class CoverTree:
         x = self.points.astype(np.float64)
         norm = (x * x).sum(axis=1)
         self.most = float(norm.max(initial=0.0))
-        self.exact = x if self.most < _EXACT else self.points.astype(object)
+        self.exact = x if self.most < _EXACT else _whole(self.points)
         self.centres = self.exact[self.node]
         kinds = self.labels[self.order]
         n = len(self.node)
@@ -142,9 +147,9 @@ class CoverTree:
             return
         wide = query.astype(np.float64)
         own = float(wide @ wide)
-        use = wide if max(self.most, own) < _EXACT else query.astype(object)
-        points = self.exact if use is wide else self.points.astype(object)
-        centres = self.centres if use is wide else points[self.node]
+        use = wide if max(self.most, own) < _EXACT else _whole(query)
+        points = self.exact if use is wide or self.most >= _EXACT else _whole(self.points)
+        centres = points[self.node] if points is not self.exact else self.centres
         both, slack = own + self.most, 1e-6 * (own + self.most) + 1e-6
 
         def bounds(a: int, b: int):

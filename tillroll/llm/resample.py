@@ -37,8 +37,8 @@ PERCENT = 10
 SEED = 2024
 #: the sketch brackets the cut by this share of the rows on both sides at first
 MARGIN = 0.002
-_PIECE = 4 << 20
-_SLICE = 1 << 20
+_PIECE = 256 << 10
+_SLICE = 256 << 10
 
 #: A-Z in lower case; every other ASCII character but 0-9 and a-z ends a word
 _PLAIN = bytes(
@@ -64,13 +64,12 @@ def feature_buckets(raw: bytes, longest: int, buckets: int) -> Iterator[tuple[in
     """(words, buckets of the features that end in them) for each piece of a text."""
     before: list[bytes] = []
     for piece in _pieces(raw):
-        words = [w for w in piece if w]
-        features = list(words)
-        both = before + words
+        features = words = [w for w in piece if w]
+        both = before + words if longest > 1 else words
         for n in range(2, longest + 1):
             first = max(0, len(before) - n + 1)
             runs = zip(*(both[first + k :] for k in range(n)))
-            features += map(b" ".join, runs)
+            features = [*features, *map(b" ".join, runs)]
         before = both[len(both) - longest + 1 :] if longest > 1 else []
         codes = np.fromiter(map(zlib.crc32, features), np.int64, len(features))
         yield len(words), codes % buckets

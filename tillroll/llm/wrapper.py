@@ -7,8 +7,7 @@ named by its tag path). A text that most pages of the host repeat in one slot is
 template; slots whose text varies are content. Page furniture that the markup names (menus, adverts
 and so on) never is, and where a page marks its article, slots outside are not its text.
 
-A page counts once per different longest block, so copies of one article do not turn its text into
-template. All counts are over all pages and pre-aggregated per task; a host sends back only its
+Pages of equal blocks count once, so copies of one article do not turn its text into template. All counts are over all pages and pre-aggregated per task; a host sends back only its
 constant texts, of which a page has at most as many as blocks. No host is gathered in one task.
 
 Cases: null or empty html: empty text; null url, or one without a host: no host to compare with,
@@ -30,7 +29,8 @@ from tillroll.llm.html_tree import Matcher, Page
 from tillroll.llm.tokens import slices
 from tillroll.plans.staging import stage
 
-#: a text is constant on this share of the pages that fill its slot, and on LEAST pages
+#: a text is constant if it is on as many pages as this share of those that fill its slot, on LEAST
+#: at least, and on half of the latter in the slot itself
 CONSTANT = 0.8
 LEAST = 3
 _SLICE = 2 << 20
@@ -66,7 +66,7 @@ def parsed(pages: DataFrame, carry: list[str], url: str, html: str) -> DataFrame
                 # in a page that marks no article, blocks of links alone are menus
                 blocks = [b for b in page.blocks if (b[2] if marked else not b[3])]
                 texts = [b[1] for b in blocks]
-                key = _hash(max(texts, key=len)) if texts else 0
+                key = _hash("\0".join(texts))
                 out.append((skeleton, key, [place[b[0]] for b in blocks], [_hash(t) for t in texts], texts))
             types = [pa.string(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.string())]
             made = (pa.array(c, t) for c, t in zip(zip(*out), types))
@@ -136,13 +136,16 @@ def templates(
     fields = pages.join(references, "host").select("host", "skeleton", "key", "nodes", "hashes", "reference")
     seen = fields.mapInArrow(run, "host string, slot bigint, text bigint, key bigint")
     seen = stage(seen.distinct(), "slot-texts")
-    filled = (
-        seen.select("host", "slot", "key").distinct()
-        .groupBy("host", "slot").agg(F.count("*").alias("pages"))
-    )
-    repeated = seen.groupBy("host", "slot", "text").agg(F.count("*").alias("n"))
-    same = repeated.filter(F.col("n") >= least).join(filled, ["host", "slot"])
-    same = same.filter(F.col("n") >= constant * F.col("pages"))
+    filled = seen.select("host", "slot", "key").distinct()
+    filled = filled.groupBy("host", "slot").agg(F.count("*").alias("pages"))
+    # a text may stand in other slots on pages of another layout: those pages count too
+    anywhere = seen.select("host", "text", "key").distinct()
+    anywhere = anywhere.groupBy("host", "text").agg(F.count("*").alias("n")).filter(F.col("n") >= least)
+    here = seen.groupBy("host", "slot", "text").agg(F.count("*").alias("here"))
+    same = here.join(anywhere, ["host", "text"]).join(filled, ["host", "slot"])
+    same = same.filter(
+        (F.col("n") >= constant * F.col("pages")) & (2 * F.col("here") >= F.col("pages"))
+    )
     return stage(same.groupBy("host").agg(F.collect_list(F.struct("slot", "text")).alias("constant")), "templates")
 
 
