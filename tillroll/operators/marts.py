@@ -8,6 +8,7 @@ sink applies.
 from __future__ import annotations
 
 from collections.abc import Callable
+from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -21,6 +22,7 @@ from tillroll.operators.scale import (
     running_total,
     share_of_total,
 )
+from tillroll.operators.selection import leaders
 from tillroll.plans.context import Context
 
 
@@ -167,22 +169,26 @@ def rfm_segments(ctx: Context) -> DataFrame:
     )
 
 
-def customer_concentration(ctx: Context) -> DataFrame:
-    """How many top customers reach half and 80 % of known revenue."""
-    ranked = running_total(
-        ctx.customer_base.select("customer_id", "monetary"),
-        [F.desc("monetary"), F.asc("customer_id")],
-        "monetary",
-    )
+_REACHED = ("customers_for_half_of_revenue", "customers_for_80_of_revenue", "total_customers")
 
-    def reached(tenths: int):
-        return F.min(F.when(F.col("cum") * 10 >= F.col("total") * tenths, F.col("rank")))
 
-    return ranked.agg(
-        reached(5).alias("customers_for_half_of_revenue"),
-        reached(8).alias("customers_for_80_of_revenue"),
-        F.max("rows").alias("total_customers"),
-    ).select(
+def customer_concentration(ctx: Context) -> DataFrame:
+    """How many top customers reach half and 80 % of known revenue."""
+    money = ctx.customer_base.select("customer_id", "monetary")
+    found = leaders(money, "monetary", [Decimal("0.5"), Decimal("0.8")])
+    if found is None:  # the sum of all is negative: look along the whole ranking
+        ranked = running_total(money, [F.desc("monetary"), F.asc("customer_id")], "monetary")
+
+        def reached(tenths: int):
+            return F.min(F.when(F.col("cum") * 10 >= F.col("total") * tenths, F.col("rank")))
+
+        counts = ranked.agg(reached(5), reached(8), F.max("rows")).toDF(*_REACHED)
+    else:
+        row = (*found.needed, found.rows) if found.rows else (None, None, None)
+        counts = money.sparkSession.createDataFrame(
+            [row], ", ".join(f"{name} bigint" for name in _REACHED)
+        )
+    return counts.select(
         "*",
         C.rounded(
             C.ratio(F.col("customers_for_half_of_revenue"), F.col("total_customers")), 4

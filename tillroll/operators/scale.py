@@ -1,10 +1,10 @@
 """Building blocks for steps that plain Spark would pull into one task.
 
 * :func:`running_total` - global rank and running sum without a one-partition sort
-* :func:`exact_quantiles` - interpolated quantiles by rank, any number of values
+* :func:`exact_quantiles` - interpolated quantiles, any number of values, no sort
 * :func:`compact_quantiles` - the same for days and counts, in one aggregate
 * :func:`most_common` - mode per key from counts, safe for hot keys
-* :func:`salted_left_join`, :func:`salted_semi_join` - lookups whose big side may hold a hot key
+* :func:`salted_left_join` - lookups whose big side may hold a hot key
 * :func:`share_of_total` - share of a whole-table total without an empty window
 """
 
@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tillroll.functions import columns as C
+from tillroll.operators import selection
 from tillroll.plans.staging import stage
 
 SALTS = 32
@@ -87,10 +88,20 @@ def exact_quantiles(
 ) -> DataFrame:
     """One row ``quantiles array<double>``: linear interpolation between ranks.
 
-    Works on (value, count) pairs, so memory never depends on the number of rows,
-    and finds the two neighbours of each position by rank, so it does not depend on
-    the number of distinct values either. Nulls are ignored; no values -> null.
+    Money and whole numbers are found by refining histograms (``selection``): no sort, and
+    neither rows nor distinct values have to fit anywhere. Other numbers are ranked as
+    (value, count) pairs. Nulls are ignored; no values -> null.
     """
+    if selection.places(df.schema[value].dataType) is None:
+        return _ranked_quantiles(df, value, probabilities, weight)
+    found = selection.quantiles(df, value, probabilities, weight)
+    cuts = F.array(*(F.lit(x) for x in found)) if found else F.lit(None)
+    return df.sparkSession.range(1).select(cuts.cast("array<double>").alias("quantiles"))
+
+
+def _ranked_quantiles(
+    df: DataFrame, value: str, probabilities: Sequence[float], weight: str | None
+) -> DataFrame:
     ranked = running_total(_value_counts(df, value, weight), [F.col("_value")], "_n")
 
     def near(p: float, edge) -> Column:
@@ -143,52 +154,29 @@ def most_common(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     return counted.groupBy(*keys).agg(best.alias(value))
 
 
-def _salted_join(
+def salted_left_join(
     left: DataFrame,
     right: DataFrame,
     keys: Sequence[str],
     spread: Sequence[str],
-    how: str,
-    salts: int,
+    salts: int = SALTS,
 ) -> DataFrame:
-    """Join big ``left`` to ``right`` (one row per key) with every key cut into ``salts``.
+    """Look up ``right`` (one row per key) for every row of ``left``; one key may hold most of it.
 
-    Left rows of a key are spread by the hash of ``spread``; each right row is
+    Left rows of a key are spread by the hash of ``spread`` over ``salts``; each right row is
     repeated once per salt. Null keys match each other.
     """
     salted = left.withColumn("_salt", F.pmod(F.xxhash64(*spread), F.lit(salts))).alias("l")
     every = F.sequence(F.lit(0).cast("bigint"), F.lit(salts - 1).cast("bigint"))
     repeated = right.withColumn("_salt", F.explode(every)).alias("r")
     same = [F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}")) for k in [*keys, "_salt"]]
-    joined = salted.join(repeated, reduce(Column.__and__, same), how)
-    extra = [] if how == "left_semi" else [c for c in right.columns if c not in keys]
+    joined = salted.join(repeated, reduce(Column.__and__, same), "left")
+    extra = [c for c in right.columns if c not in keys]
     return joined.select(
         *(F.col(f"l.{c}") for c in left.columns), *(F.col(f"r.{c}") for c in extra)
     )
 
 
-def salted_left_join(
-    left: DataFrame,
-    right: DataFrame,
-    keys: Sequence[str],
-    spread: Sequence[str],
-    salts: int = SALTS,
-) -> DataFrame:
-    """Look up ``right`` for every row of ``left``; one key may hold most of ``left``."""
-    return _salted_join(left, right, keys, spread, "left", salts)
-
-
-def salted_semi_join(
-    left: DataFrame,
-    right: DataFrame,
-    keys: Sequence[str],
-    spread: Sequence[str],
-    salts: int = SALTS,
-) -> DataFrame:
-    """Rows of ``left`` whose key is in ``right``; one key may hold most of ``left``."""
-    return _salted_join(left, right, keys, spread, "left_semi", salts)
-
-
 def share_of_total(df: DataFrame, part: str) -> Column:
     """``part`` over its whole-table sum; the sum is a scalar subquery, one value."""
     return C.ratio(F.col(part), df.agg(F.sum(part)).scalar())

@@ -7,9 +7,11 @@ the frame is built. Unlike the marts, ratios are not rounded here.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+from decimal import Decimal
 from functools import cached_property
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tillroll.functions import columns as C
@@ -22,6 +24,7 @@ from tillroll.operators.scale import (
     running_total,
     share_of_total,
 )
+from tillroll.operators.selection import leaders
 from tillroll.plans.staging import stage
 from tillroll.rules import Rules
 
@@ -68,7 +71,9 @@ class Slice:
         )
         per_order = stage(per_order, "slice-summary")
         added = ("sold", "reversed", "lines", "guest_lines", "units", "cancellations", "returns")
-        invoices = per_order.groupBy("invoice_no").agg(*(F.sum(n).alias(n) for n in added))
+        invoices = stage(
+            per_order.groupBy("invoice_no").agg(*(F.sum(n).alias(n) for n in added)), "slice-invoices"
+        )
         orders = invoices.filter("invoice_no IS NOT NULL")
         median = exact_quantiles(orders, "sold", [0.5]).scalar()[0]
         customers = per_order.agg(F.count_distinct("customer_id")).scalar()
@@ -350,7 +355,11 @@ class Slice:
 
     def pareto(self) -> DataFrame:
         """Customers by falling revenue with cumulative shares."""
-        return self._by_money().select(
+        return self._shares(self._by_money())
+
+    @staticmethod
+    def _shares(ranked: DataFrame) -> DataFrame:
+        return ranked.select(
             "customer_id",
             C.dbl(F.col("revenue")).alias("revenue"),
             C.ratio(F.col("revenue"), F.col("total")).alias("share"),
@@ -360,16 +369,36 @@ class Slice:
         )
 
     def pareto_head(self, limit: int = 8) -> DataFrame:
-        """The first rows of the Pareto table."""
-        return self.pareto().orderBy("rank").limit(limit)
+        """The first rows of the Pareto table (N19): only ``limit`` of them are ranked."""
+        money = stage(self._customer_money(), "customer-money")
+        whole = money.agg(F.sum("revenue"), F.count("*"))
+        total, rows = (whole.select(F.col(c)).scalar() for c in whole.columns)
+        order = [F.desc("revenue"), F.asc("customer_id")]
+        first = Window.orderBy(*order)  # over the rows kept by the limit
+        head = money.orderBy(*order).limit(limit).withColumns(
+            {
+                "rank": F.row_number().over(first).cast("bigint"),
+                "cum": F.sum("revenue").over(first.rowsBetween(Window.unboundedPreceding, 0)),
+                "total": total,
+                "rows": rows,
+            }
+        )
+        return self._shares(head)
 
     def concentration(self, *targets: str) -> DataFrame:
         """Share of customers that holds each target share of revenue.
 
         Targets are decimal texts such as ``"0.8"``: they are compared exactly.
         """
-        ranked = self._by_money()
         wanted = targets or ("0.8",)
+        money = self._customer_money()
+        found = leaders(money, "revenue", [Decimal(t) for t in wanted])
+        if found is None:  # the sum of all is negative: count along the whole ranking
+            return self._ranked_concentration(wanted)
+        rows = [(float(t), n / found.rows if found.rows else None) for t, n in zip(wanted, found.needed)]
+        return money.sparkSession.createDataFrame(rows, "target double, share_of_customers double")
+
+    def _ranked_concentration(self, wanted: Sequence[str]) -> DataFrame:
         below = [
             F.count_if(F.col("cum") < F.col("total") * F.lit(t).cast("decimal(9,6)"))
             for t in wanted
@@ -382,7 +411,7 @@ class Slice:
             )
             for t, n in zip(wanted, needed)
         ]
-        return ranked.agg(F.array(*rows).alias("_rows")).select(F.inline("_rows"))
+        return self._by_money().agg(F.array(*rows).alias("_rows")).select(F.inline("_rows"))
 
     # ------------------------------------------------------------ between purchases
     def gap_counts(self) -> DataFrame:
