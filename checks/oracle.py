@@ -6,7 +6,7 @@ its own terms; nothing is shared with the Spark side but names and fixed values.
 
 from __future__ import annotations
 
-from checks.queries import COUNTRIES, CUTOFF, FILTERS, MATCH_DAYS, SAMPLE, YEARS
+from checks.queries import COUNTRIES, CUTOFF, FILTERS, LAST_MONTH, MATCH_DAYS, SAMPLE, YEARS
 from checks.star import RAW_SQL, RULES
 from tillroll.operators.audit import PROBE_WORDS
 from tillroll.rules import BUSINESS_KEY
@@ -359,6 +359,12 @@ def _cleaning() -> dict[str, str]:
   {_collapsed('country')} AS country FROM raw""",
         "normalize_types": f"{TYPED} SELECT {typed} FROM typed",
         "map_country": f"{TYPED} SELECT country, count(*) AS lines FROM typed GROUP BY 1",
+        "map_country_lookup": f"""{RAW_SQL}, entries AS (
+  SELECT 'OLD_2' AS value, 'NATION_2' AS mapped
+  UNION ALL SELECT n_name, 'REGION_' || n_regionkey FROM nation WHERE n_nationkey % 3 = 1
+), lines AS (SELECT {_collapsed('country')} AS country FROM raw)
+SELECT coalesce(mapped, country) AS country, count(*) AS lines
+FROM lines LEFT JOIN entries ON country = value GROUP BY 1""",
         "tag_line_type": f"{TAGGED} SELECT {line}, invoice_no, quantity, line_type FROM tagged",
         "tag_merchandise":
             f"{TAGGED} SELECT {line}, stock_code, description, is_merchandise FROM tagged",
@@ -748,18 +754,77 @@ FROM earning WHERE month_number < 24 GROUP BY 1""",
 
 
 def _wide(value: str) -> str:
-    """Cells as columns, one per month from 0 to the last month of any cohort."""
-    return f"""{COHORT}, cells AS (
-  SELECT cohort, month_number AS n, {value} AS v FROM retention
-  UNION ALL SELECT NULL, unnest(range((SELECT max(month_number) FROM retention) + 1)), NULL
-), named AS (SELECT cohort, 'm' || lpad(n::VARCHAR, 2, '0') AS month, v FROM cells)
-SELECT * FROM (PIVOT named ON month USING max(v) GROUP BY cohort) WHERE cohort IS NOT NULL"""
+    """Cells as columns, one per month from 0 to the declared last month."""
+    months = ", ".join(
+        f"max({value}) FILTER (WHERE month_number = {n}) AS m{n:02d}" for n in range(LAST_MONTH + 1)
+    )
+    return f"{COHORT} SELECT cohort, {months} FROM retention GROUP BY cohort"
+
+
+#: columns of the marts in the order of their names; ``:d`` marks doubles
+MART_FIELDS = {
+    "monthly_kpi": (
+        "aov:d customers month month_start new_customers orders returning_customers "
+        "revenue:d revenue_per_customer:d revenue_prev_month:d "
+        "revenue_same_month_last_year:d units"
+    ),
+    "cohort_retention": "active_customers cohort cohort_month cohort_size month_number retention:d",
+    "cohort_revenue": "cohort month_number revenue:d revenue_share:d",
+    "rfm": (
+        "avg_order_value:d customer_id f_score first_purchase frequency last_purchase "
+        "m_score monetary:d r_score recency_days rfm_score segment"
+    ),
+    "rfm_segments": (
+        "avg_orders:d avg_recency_days:d avg_revenue_per_customer:d customers "
+        "customers_share:d revenue:d revenue_share:d segment"
+    ),
+    "country_stats": "aov:d country customers orders repeat_rate:d revenue:d revenue_share:d",
+    "region_stats": "customers month orders region revenue:d",
+    "product_stats": (
+        "avg_unit_price:d buyers cum_revenue_share:d description orders revenue:d "
+        "revenue_share:d stock_code units"
+    ),
+    "customer_concentration": (
+        "customers_for_80_of_revenue customers_for_half_of_revenue share_for_50pct:d "
+        "share_for_80pct:d total_customers"
+    ),
+    "purchase_gaps": (
+        "avg_gap_days:d gaps_observed median_gap_days:d p25_gap_days:d p75_gap_days:d "
+        "share_gaps_over_180d:d share_gaps_up_to_30d:d"
+    ),
+    "weekday_profile": "aov:d dow orders revenue:d weekday",
+    "reversal_monthly": (
+        "cancellation_lines month month_start return_lines reversal_share:d "
+        "reversal_value:d sales_value:d"
+    ),
+    "reversal_breakdown": "kind line_type lines value:d",
+    "reversed_products": "description reversal_lines reversal_value:d stock_code units_back",
+    "non_merchandise_breakdown": "description lines sales_value:d stock_code value:d",
+    "data_quality": (
+        "bulk_lines cancellation_lines country_unspecified customers description_missing "
+        "first_day guest_lines invoices last_day lines_total non_merchandise_lines "
+        "return_lines"
+    ),
+}
+
+
+def _as_text(mart: str) -> str:
+    """One text per row, as ``queries.as_text`` writes it."""
+    parts = []
+    for field in MART_FIELDS[mart].split():
+        name, _, double = field.partition(":")
+        value = f'CAST("{name}" AS DECIMAL(38,4))' if double else f'"{name}"'
+        parts.append(f"coalesce(CAST({value} AS VARCHAR), '~')")
+    return f"concat_ws('|', {', '.join(parts)})"
 
 
 def all_sql() -> dict[str, str]:
     groups = (_cleaning(), _base(), _marts(), _slices(), _audits(), _reports())
     found = {name: f"WITH {sql}" for group in groups for name, sql in group.items()}
+    # a fact that grew source by source is the fact of one run
+    found["clean_fact_appended"] = found["clean_fact"]
+    found["change_log_appended"] = found["dq_change_log"]
     found["write_marts"] = " UNION ALL ".join(
-        f"SELECT '{name}' AS mart, count(*) AS rows FROM ({found[name]})" for name in _marts()
+        f"SELECT '{name}' AS mart, {_as_text(name)} AS row FROM ({found[name]})" for name in _marts()
     )
     return found

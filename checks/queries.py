@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -34,6 +34,7 @@ COUNTRIES = ["NATION_0", "NATION_2", "NATION_5"]
 YEARS = (1997, 1998)
 CUTOFF = "12-09"
 MATCH_DAYS = 365
+LAST_MONTH = 83  # the feed spans seven calendar years; a longer cohort raises
 SAMPLE = 100  # fewer than the customers of any table size, so that the sample is one
 LINE = ["src_ord", "row_ord"]
 
@@ -76,15 +77,41 @@ def _from_csv(w: Workspace) -> DataFrame:
     return clean.normalize_types(raw, w.rules).drop("file_ord", "source")
 
 
+def as_text(df: DataFrame) -> Column:
+    """One text per row, columns by name; doubles to four places, absent values as ``~``."""
+    parts = [
+        F.coalesce(
+            F.col(name).cast("decimal(38,4)" if kind == "double" else kind).cast("string"), F.lit("~")
+        )
+        for name, kind in sorted(plain(df).dtypes)
+    ]
+    return F.concat_ws("|", *parts)
+
+
 def _write_marts(w: Workspace) -> DataFrame:
+    """Every row of every mart, as read back from the written version."""
     folder = new_path(w.spark, "marts-sink")
-    sizes = [
-        tables.load_mart(w.spark, folder, name).agg(
-            F.lit(name).alias("mart"), F.count("*").alias("rows")
-        )
+    written = [
+        plain(tables.load_mart(w.spark, folder, name))
         for name in tables.write_marts(w.context, folder)
     ]
-    return reduce(DataFrame.unionByName, sizes)
+    rows = [
+        df.select(F.lit(name).alias("mart"), as_text(df).alias("row"))
+        for name, df in zip(marts.REGISTRY, written)
+    ]
+    return reduce(DataFrame.unionByName, rows)
+
+
+def _by_lookup(w: Workspace) -> DataFrame:
+    """Countries mapped by a table: the feed's old spelling, and nations as their region's."""
+    nation = w.spark.read.parquet(f"{w.sf_dir}/nation.parquet")
+    old = nation.filter("n_name = 'NATION_2'").select(F.lit(" OLD_2").alias("spelling"), "n_name")
+    odd = nation.filter("n_nationkey % 3 = 1").select(
+        "n_name", F.concat(F.lit("REGION_"), F.col("n_regionkey").cast("string"))
+    )
+    lookup = clean.country_lookup(old.union(odd), "spelling", "n_name")
+    mapped = clean.map_country(clean.normalize_text(w.raw), w.rules, lookup)
+    return mapped.groupBy("country").agg(F.count("*").alias("lines"))
 
 
 CLEANING: dict[str, Callable[[Workspace], DataFrame]] = {
@@ -98,6 +125,7 @@ CLEANING: dict[str, Callable[[Workspace], DataFrame]] = {
     "map_country": lambda w: clean.map_country(clean.normalize_text(w.raw), w.rules)
     .groupBy("country")
     .agg(F.count("*").alias("lines")),
+    "map_country_lookup": _by_lookup,
     "tag_line_type": lambda w: clean.tag_line_type(_typed(w)).select(
         *LINE, "invoice_no", "quantity", "line_type"
     ),
@@ -128,6 +156,8 @@ CLEANING: dict[str, Callable[[Workspace], DataFrame]] = {
     "write_fact": _write_fact,
     "write_change_log": _write_change_log,
     "write_marts": _write_marts,
+    "clean_fact_appended": lambda w: w.store.fact(),
+    "change_log_appended": lambda w: w.store.change_log(),
     "normalize_types_csv": _from_csv,
 }
 
@@ -179,9 +209,11 @@ SLICES: dict[str, Callable[[Workspace], DataFrame]] = {
         w.slice().concentration("0.5", "0.8", "1.0"), "share_of_customers"
     ),
     "purchase_gap_days": lambda w: w.slice().purchase_gap_days(),
-    "cohort_pivot": lambda w: reports.cohort_pivot(marts.cohort_retention(w.context)),
+    "cohort_pivot": lambda w: reports.cohort_pivot(
+        marts.cohort_retention(w.context), last_month=LAST_MONTH
+    ),
     "cohort_pivot_active": lambda w: reports.cohort_pivot(
-        marts.cohort_retention(w.context), "active_customers"
+        marts.cohort_retention(w.context), "active_customers", LAST_MONTH
     ),
     "repeat_stats": lambda w: even(
         w.slice(identified_only=True).repeat_stats(),

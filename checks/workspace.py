@@ -13,6 +13,7 @@ from tillroll.operators.slices import Slice
 from tillroll.plans.context import Context
 from tillroll.plans.staging import new_path
 from tillroll.sources.feed import ingest
+from tillroll.sources.store import FactStore
 from tillroll.sources.tables import load_fact, write_fact
 
 
@@ -40,6 +41,16 @@ class Workspace:
         write_fact(self.cleaning().fact, path)
         return load_fact(self.spark, path)
 
+    @cached_property
+    def store(self) -> FactStore:
+        """The same feeds appended one after the other."""
+        folder = new_path(self.spark, "feeds")
+        star.write_feeds(self.spark, self.sf_dir, folder)
+        grown = FactStore(self.spark, new_path(self.spark, "store"), self.rules)
+        for name, lines in star.feed_sources(self.spark, folder):
+            grown.append(name, lines)
+        return grown
+
     @cached_property
     def context(self) -> Context:
         return Context(self.fact, self.rules)

@@ -160,15 +160,18 @@ def salted_left_join(
     keys: Sequence[str],
     spread: Sequence[str],
     salts: int = SALTS,
+    hint: str | None = None,
 ) -> DataFrame:
     """Look up ``right`` (one row per key) for every row of ``left``; one key may hold most of it.
 
     Left rows of a key are spread by the hash of ``spread`` over ``salts``; each right row is
-    repeated once per salt. Null keys match each other.
+    repeated once per salt. Null keys match each other. A large ``right`` needs a join ``hint``:
+    its estimated size leaves the repetition out.
     """
     salted = left.withColumn("_salt", F.pmod(F.xxhash64(*spread), F.lit(salts))).alias("l")
     every = F.sequence(F.lit(0).cast("bigint"), F.lit(salts - 1).cast("bigint"))
     repeated = right.withColumn("_salt", F.explode(every)).alias("r")
+    repeated = repeated.hint(hint) if hint else repeated
     same = [F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}")) for k in [*keys, "_salt"]]
     joined = salted.join(repeated, reduce(Column.__and__, same), "left")
     extra = [c for c in right.columns if c not in keys]

@@ -87,11 +87,16 @@ def source_profile(raw: DataFrame) -> DataFrame:
     )
 
 
-def ingest_log(raw: DataFrame) -> DataFrame:
-    """One change-log line per source: rows read and the days they span (A3)."""
+def source_lines(profile: DataFrame) -> DataFrame:
+    """One change-log line per source of a :func:`source_profile`."""
     day = lambda name: F.date_format(F.to_date(name), "yyyy-MM-dd")
-    return source_profile(raw).select(
+    return profile.select(
         F.concat(F.lit("source "), "source", F.lit(" read")).alias("rule"),
         "rows",
         F.concat_ws(" - ", day("first_moment"), day("last_moment")).alias("note"),
     )
+
+
+def ingest_log(raw: DataFrame) -> DataFrame:
+    """One change-log line per source: rows read and the days they span (A3)."""
+    return source_lines(source_profile(raw))

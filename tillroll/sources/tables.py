@@ -11,23 +11,26 @@ from tillroll.operators.clean import Cleaning
 from tillroll.operators.marts import MART_ORDER, REGISTRY
 from tillroll.plans.context import Context
 from tillroll.schema import FACT_COLUMNS, FACT_SCHEMA
+from tillroll.sources import versions
 
 
-def write_fact(fact: DataFrame, path: str, max_records_per_file: int = 20_000_000) -> None:
-    """Write the fact as zstd Parquet, one folder per month, lines in date order.
+def in_date_order(fact: DataFrame) -> DataFrame:
+    """Lines range-split and sorted by month, moment, invoice and code.
 
-    Range-splitting on month, moment, invoice and code gives every task one slice of
-    the order: a hot month is split over many tasks, a task touches few months, and
-    min/max statistics in the files follow the date. Quantity and price complete the
-    business key, so even one invoice and code can be split.
+    Every task gets one slice of the order: a hot month is split over many tasks, a task
+    touches few months, and min/max statistics in the files follow the date. Quantity and
+    price complete the business key, so even one invoice and code can be split.
     """
     order = [
         "month_start", "invoice_date", "invoice_no", "stock_code", "quantity", "unit_price",
     ]
+    return fact.repartitionByRange(*order).sortWithinPartitions(*order)
+
+
+def write_fact(fact: DataFrame, path: str, max_records_per_file: int = 20_000_000) -> None:
+    """Write the fact as zstd Parquet, one folder per month, lines in date order."""
     (
-        fact.select(*FACT_COLUMNS)
-        .repartitionByRange(*order)
-        .sortWithinPartitions(*order)
+        in_date_order(fact.select(*FACT_COLUMNS))
         .write.mode("overwrite")
         .option("compression", "zstd")
         .option("maxRecordsPerFile", max_records_per_file)
@@ -54,9 +57,12 @@ def write_table(df: DataFrame, path: str) -> None:
 def write_marts(ctx: Context, folder: str, at_once: int = 4) -> list[str]:
     """Write all sixteen marts, each in its unique order; returns their names.
 
-    What several marts read is staged first. The marts are then independent jobs;
-    a few run side by side so that one mart's last small stage leaves no cluster idle.
+    They go into a new version of ``folder``, which readers get once all are written. What several
+    marts read is staged first. The marts are then independent jobs; a few run side by side so
+    that one mart's last small stage leaves no cluster idle.
     """
+    spark = ctx.fact.sparkSession
+    version = versions.begin(spark, folder)
     _ = ctx.orders, ctx.customer_base, ctx.rfm
 
     def write(name: str) -> None:
@@ -65,12 +71,14 @@ def write_marts(ctx: Context, folder: str, at_once: int = 4) -> list[str]:
             for key in MART_ORDER.get(name, [])
         ]
         mart = REGISTRY[name](ctx)
-        write_table(mart.orderBy(*order) if order else mart, f"{folder}/{name}")
+        write_table(mart.orderBy(*order) if order else mart, f"{version}/{name}")
 
     with ThreadPoolExecutor(at_once) as pool:
         list(pool.map(write, REGISTRY))
+    versions.commit(spark, version)
     return list(REGISTRY)
 
 
 def load_mart(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{name}")
+    """A mart of the last complete version."""
+    return spark.read.parquet(f"{versions.current(spark, folder)}/{name}")
