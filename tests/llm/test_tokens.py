@@ -1,6 +1,7 @@
 """Token files, packing, language ids, scoring: round trips, brute force, held-out accuracy."""
 
 import math
+import pickle
 import random
 import zlib
 from collections import Counter, defaultdict
@@ -8,11 +9,12 @@ from functools import lru_cache
 
 import corpus_rows as cases
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from tillroll.llm import langid, lm, packing, token_files
+from tillroll.llm import langid, lm, lm_tables, packing, token_files
 from tillroll.llm.common import fold_of
 from tillroll.plans.staging import new_path
 
@@ -138,7 +140,7 @@ def test_no_training_text(spark, empty):
 
 def test_base_scores(corpus):
     held = fold_of(F.col("doc_id"), 7) == 2
-    got = lm.score_held_out(corpus, held, ["doc_id"], vocabulary=40, context=20, states=30)
+    got = lm.score_held_out(corpus, held, ["doc_id"])
     counts = Counter()
     for r in ALL:
         if zlib.crc32(("" if r[0] is None else str(r[0])).encode()) % 7 != 2:
@@ -159,30 +161,66 @@ def test_base_scores(corpus):
 
 
 def test_every_state_sums_to_one(corpus):
-    model = lm.train(corpus, vocabulary=60, context=25, states=60)
-    automaton = lm.Automaton(*model.parts)
-    assert max(automaton.fail) > 0 and len(automaton.fail) > 26
+    """The whole automaton of a corpus of one chunk."""
+    chunks = lm_tables.chunked(
+        corpus.coalesce(1), [F.col("doc_id")], "text", F.col("doc_id") % 5 != 0, lm.END
+    )
+    learned = lm_tables.learn(chunks, 3, 0.5)
+
+    def send(chunks, answers):
+        return pa.table({"data": chunks.column("data"), "n": [answers.num_rows]})
+
+    assert learned.pairs.applyInArrow(send, "data binary, n bigint").first().n == 2 * 64
+
+    def keep(chunks, answers):
+        out = lm.Automaton(lm_tables.told(chunks.column("data")[0].as_py(), answers, 3), learned.floor, 0.5)
+        parts = [out.words, out.unseen, out.fail, out.backoff, out.weight, out.target, list(out.arcs)]
+        return pa.table({"model": pa.array([pickle.dumps(parts)], pa.binary())})
+
+    told = pickle.loads(learned.pairs.applyInArrow(keep, "model binary").first().model)
+    words, unseen, fail, backoff, weight, target, arcs = told
+    arcs = dict(zip(arcs, range(len(arcs))))
+    assert len(fail) > 100 and max(target) < len(fail)
 
     def step(state, w):
         total = 0.0
         while True:
-            arc = automaton.arcs.get(state << 20 | w)
-            if arc:
-                return 10 ** (total + arc[0])
-            total += automaton.backoff[state]
-            state = automaton.fail[state]
-
-    known = len(automaton.number)
-    others = 1 - sum(step(0, w) for w in range(known))  # words outside the vocabulary, at the root
-    for state in range(len(automaton.fail)):
-        weight, at = 0.0, state
+            arc = arcs.get(state * words + w)
+            if arc is not None or not state:
+                return 10 ** (total + (unseen if arc is None else weight[arc]))
+            total += backoff[state]
+            state = fail[state]
+
+    others = 1 - sum(step(0, w) for w in range(words) if w in arcs)  # words not learned, at the root
+    for state in range(0, len(fail), 7):
+        handed, at = 0.0, state
         while at:
-            weight += automaton.backoff[at]
-            at = automaton.fail[at]
-        total = sum(step(state, w) for w in range(known)) + others * 10**weight
+            handed += backoff[at]
+            at = fail[at]
+        total = sum(step(state, w) for w in range(words) if w in arcs) + others * 10**handed
         assert total == pytest.approx(1.0, abs=1e-9), state
 
 
+def test_a_table_with_columns_named_like_results(corpus):
+    held = fold_of(F.col("doc_id"), 7) == 2
+    clash = corpus.withColumns({"held_out": F.lit("mine"), "score": F.lit(3)})
+    got = lm.score_held_out(clash, held, ["doc_id", "held_out"])
+    assert got.filter("held_out_in = 'mine' AND held_out IN (true, false)").count() == len(ALL)
+    got = langid.identify_held_out(clash, held, ["doc_id", "held_out", "score"])
+    assert got.filter("held_out_in = 'mine' AND score_in = 3 AND held_out IN (true, false)").count() == len(ALL)
+
+
+@pytest.mark.parametrize("n", [0, 1, 2, 1000])
+def test_packed_names_and_counts(n):
+    rng = np.random.default_rng(n)
+    names = np.unique(rng.integers(0, 2**64, n, np.uint64))
+    assert (lm_tables._unpack_names(lm_tables._pack_names(names)) == names).all()
+    near = np.unique(np.uint64(2**64 - 1) - rng.integers(0, 3 * n + 1, n).astype(np.uint64))
+    assert (lm_tables._unpack_names(lm_tables._pack_names(near)) == near).all()
+    counts = rng.integers(0, 2**40, n)
+    assert (lm_tables._unpack_counts(lm_tables._pack_counts(counts)) == counts).all()
+
+
 def plain_scores(rows, held, order=3, discount=0.5):
     """Backoff without bounds: every word and every n-gram seen twice."""
     seen = Counter()

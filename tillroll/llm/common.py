@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import zipfile
+from collections.abc import Iterator
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -61,6 +63,33 @@ def words_of(text: Column) -> Column:
     return F.filter(F.split(one_space, " "), lambda w: w != "")
 
 
+#: remove a query's shuffle files when it has ended, not when the driver collects its garbage
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextlib.contextmanager
+def cleaning_shuffles(spark: SparkSession) -> Iterator[None]:
+    """For operators of several large exchanges, each of which ends in a staged table."""
+    before = spark.conf.get(_CLEAN, None)
+    spark.conf.set(_CLEAN, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(_CLEAN)
+        else:
+            spark.conf.set(_CLEAN, before)
+
+
+def drop_staged(tables: list[DataFrame]) -> None:
+    """Remove staged tables that nothing reads any more."""
+    for table_ in tables:
+        spark = table_.sparkSession
+        for folder in {file.rsplit("/", 1)[0] for file in table_.inputFiles()}:
+            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def word_count(text: Column) -> Column:
     return F.size(words_of(text)).cast("bigint")
 

@@ -8,7 +8,8 @@ numpy: the buckets of a batch are looked up and summed per text.
 
 Cases: null text, or a text without a letter: `und`, score 0; no training text at all: `und` for
 every text; null labels are not learned from, and text without letters teaches nothing; ties go
-to the smaller label; equal rows are scored alike; other columns are not read.
+to the smaller label; equal rows are scored alike; other columns are not read, and a kept column
+named like a result gets ``_in`` behind its name.
 """
 
 from __future__ import annotations
@@ -175,10 +176,21 @@ def train(
     return Model([labels[i] for i in order], table, tuple(sizes))
 
 
-def identify(docs: DataFrame, model: Model, keep: list[str], text: str = "text") -> DataFrame:
-    """Columns ``keep`` of ``docs`` with ``lang_pred`` and ``score``."""
+_RESULTS = ("held_out", "lang_pred", "score")
+
+
+def _named(keep: list[str]) -> list[Column]:
+    return [F.col(f"`{c}`").alias(f"{c}_in" if c in _RESULTS else c) for c in keep]
+
+
+def identify(
+    docs: DataFrame, model: Model, keep: list[str], text: str = "text", held_out: Column | None = None
+) -> DataFrame:
+    """Columns ``keep`` of ``docs`` with ``lang_pred`` and ``score``, and ``held_out`` if given."""
     sent = docs.sparkSession.sparkContext.broadcast((model.labels, model.table, model.sizes))
-    chosen = docs.select(F.struct(*keep).alias("kept"), F.col(text).alias("text"))
+    more = [] if held_out is None else [held_out.alias("held_out")]
+    kept = F.struct(*_named(keep), *more).alias("kept")
+    chosen = docs.select(kept, F.col(f"`{text}`").alias("text"))
     kind = chosen.schema["kept"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -199,5 +211,4 @@ def identify_held_out(
 ) -> DataFrame:
     """Learn from the rows that are not held out, predict all."""
     model = train(docs.filter(~held_out), text, lang, **options)
-    marked = docs.withColumn("held_out", held_out)
-    return identify(marked, model, [*keep, "held_out"], text)
+    return identify(docs, model, keep, text, held_out)

@@ -1,36 +1,25 @@
 """Language-model scoring with a weighted backoff automaton.
 
-``score_held_out`` scores with the whole model, whose n-grams stay tables (``lm_tables``). Only a
-caller who names ``vocabulary``, ``context`` or ``states`` gets the bounded automaton below.
+Model: every word and every n-gram that the training rows have twice or more, counted over all of
+them (``lm_tables``). Absolute discounting gives n-grams their probability; the backoff weight of a
+context spreads what is left over the words it was not seen with, so every context sums to one; the
+add-one unigram is below, whose unseen words share one part.
 
-Counts: every word of every training text, as a table that stays distributed. The words of the
-highest counts (``VOCABULARY`` at most, ties at the border left out together) get a number, and
-n-grams over the first ``CONTEXT`` of them are counted for each order in turn, prefixes first; per
-order those of the highest counts (``STATES`` at most, count two or more) become states. The three
-bounds make the automaton small enough to broadcast whatever the corpus; counting covers it all.
-
-Automaton: a state is an n-gram (the root: no context). An arc reads a word and leads to the state
-of the longest suffix; a state without an arc for the word hands over to the state without its
-first word, at the cost of its backoff weight. Absolute discounting gives arcs their probability;
-the backoff weight spreads what is left over the words without an arc, so every state's
-probabilities sum to one, with the add-one unigram at the root, whose unseen words share one part.
-
-Scoring: one pass from left to right carries the state and adds log10 probabilities. A word
-outside the vocabulary leads to the root; its unigram term needs its exact count, and so do the
-base score and the number of known words. Those words leave the task as (row, word, times), meet
-the count table in a join, and come back as one sum per row.
+Automaton: a state is a kept n-gram shorter than the order (the root: no context). An arc reads a
+word and leads to the state of the longest kept suffix; a state without an arc for the word hands
+over to the state of its own longest suffix, its failure arc, at the cost of its backoff weight.
+A chunk of texts builds the part of the automaton that its own n-grams can reach, and reads each
+text once from left to right, carrying the state and adding log10 probabilities.
 
 Cases: null text is the end token alone; the end is a token like a word; no training text: counts
-zero, all words unknown; null ids count as empty text for the fold; equal rows are scored each;
-an empty table gives an empty table; other columns are not read.
+zero, all words unknown; a null training mark: not learned from; null ids count as empty text for
+the fold; equal rows are scored each; an empty table gives an empty table; other columns are not
+read, and a kept column named like a result gets ``_in`` behind its name.
 """
 
 from __future__ import annotations
 
 import math
-import uuid
-from collections import Counter
-from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -38,355 +27,126 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tillroll.llm import lm_tables
-from tillroll.llm.tokens import slices
+from tillroll.llm.common import cleaning_shuffles, drop_staged
+from tillroll.llm.lm_tables import Chunk
 from tillroll.plans.staging import stage
 
-VOCABULARY = 1 << 18
-CONTEXT = 1 << 13
-STATES = 1 << 17
 ORDER = 3
 DISCOUNT = 0.5
 #: the end token: no word has white space in it
 END = b"\n"
-#: longer words never enter the vocabulary, so its bytes are bounded too
-LONGEST = 64
-_BITS = 20
-_FLUSH = 200_000
+_RESULTS = ("held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
 def tokens_of(text: str | None) -> list[bytes]:
     """Words with A-Z in lower case, then the end."""
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    words.append(END)
-    return words
-
-
-def word_counts(texts: DataFrame) -> DataFrame:
-    """(word, n) of column ``text``; the end counts as a word."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: Counter[bytes] = Counter()
-
-        def out() -> pa.RecordBatch:
-            batch = pa.RecordBatch.from_arrays(
-                [pa.array(list(seen.keys()), pa.binary()), pa.array(list(seen.values()), pa.int64())],
-                names=["word", "n"],
-            )
-            seen.clear()
-            return batch
-
-        for batch in slices(batches, 0):
-            for text in batch.column(0).to_pylist():
-                seen.update(tokens_of(text))
-                if len(seen) > _FLUSH:
-                    yield out()
-        if seen:
-            yield out()
-
-    counted = texts.select("text").mapInArrow(run, "word binary, n bigint")
-    return counted.groupBy("word").agg(F.sum("n").alias("n"))
-
-
-def _at_most(counted: DataFrame, bound: int) -> int:
-    """The least count such that at most ``bound`` rows have it or more."""
-    n = F.col("n")
-    # counts below 1,024 stay apart, larger ones share 64 steps per doubling
-    step = F.when(n < 1024, n).otherwise(F.floor(64 * F.log2("n")) + 384).cast("bigint")
-    steps = counted.groupBy(step.alias("step")).agg(F.count("*").alias("rows"), F.min("n").alias("n"))
-    total, least = 0, 0
-    for row in steps.orderBy(F.desc("step")).collect():  # some thousand rows
-        total += row["rows"]
-        if total > bound:
-            return least or row["n"] + 1
-        least = row["n"]
-    return least
+    return lm_tables.tokens_of(text, END)
 
 
 class Automaton:
-    """States by number: 0 is the root. An arc key is state << 20 | word number."""
-
-    def __init__(self, words: list[bytes], keys: np.ndarray, weights: np.ndarray,
-                 targets: np.ndarray, backoff: np.ndarray, fail: np.ndarray):
-        self.number = {w: i for i, w in enumerate(words)}
-        self.arcs = dict(zip(keys.tolist(), zip(weights.tolist(), targets.tolist())))
-        self.backoff, self.fail = backoff.tolist(), fail.tolist()
-
-    def walk(self, ids: list[int | None]) -> float:
-        """log10 probability, without the unigram term of words that have no number."""
+    """The states and arcs that the n-grams of one chunk reach. State 0 is the root.
+
+    ``arcs`` maps state * words + word to an arc's number; ``weight`` and ``target`` are by arc,
+    ``fail`` and ``backoff`` by state. ``unseen`` is the root's weight for words never seen.
+    """
+
+    def __init__(self, chunk: Chunk, floor: int, discount: float):
+        order = len(chunk.names)
+        self.words = max(1, len(chunk.names[0]))
+        self.unseen = -math.log10(floor)
+        chance = chunk.chances(floor, discount)
+        # states of every level, in order; an n-gram that is not kept has none
+        state, size = [], 1
+        for counts in chunk.counts[: order - 1]:
+            kept = counts > 0
+            state.append(np.where(kept, size + np.cumsum(kept) - 1, 0))
+            size += int(kept.sum())
+        fail, backoff = np.zeros(size, np.int64), np.zeros(size)
+        keys, weights, targets = [], [], []
+        for k, counts in enumerate(chunk.counts):
+            kept = np.flatnonzero(counts > 0)
+            below = state[k - 1] if k else None
+            source = below[chunk.context(k)[kept]] if k else np.zeros(len(kept), np.int64)
+            suffix = below[chunk.suffix(k)[kept]] if k else np.zeros(len(kept), np.int64)
+            if k < order - 1:
+                own = state[k][kept]
+                fail[own], backoff[own] = suffix, chunk.backoff[k][kept]
+            else:
+                own = suffix
+            keys.append(source * self.words + chunk.ids[chunk.first[k][kept]])
+            weights.append(np.log10(chance[k][kept]))
+            targets.append(own)
+        self.fail, self.backoff = fail.tolist(), backoff.tolist()
+        self.weight, self.target = np.concatenate(weights).tolist(), np.concatenate(targets).tolist()
+        self.arcs = dict(zip(np.concatenate(keys).tolist(), range(len(self.weight))))
+
+    def walk(self, words: list[int]) -> float:
+        """log10 probability of a text."""
         total, state = 0.0, 0
-        arc_of, backoff, fail = self.arcs.get, self.backoff, self.fail
-        for w in ids:
-            if w is None:
-                while state:
-                    total += backoff[state]
-                    state = fail[state]
-                continue
-            arc = arc_of(state << _BITS | w)
-            while arc is None:  # the root has an arc for every word of the vocabulary
+        arc_of, size, backoff, fail = self.arcs.get, self.words, self.backoff, self.fail
+        weight, target, unseen = self.weight, self.target, self.unseen
+        for w in words:
+            arc = arc_of(state * size + w)
+            while arc is None and state:
                 total += backoff[state]
                 state = fail[state]
-                arc = arc_of(state << _BITS | w)
-            total += arc[0]
-            state = arc[1]
+                arc = arc_of(state * size + w)
+            if arc is None:
+                total += unseen
+            else:
+                total += weight[arc]
+                state = target[arc]
         return total
 
 
-class Counts:
-    """Training totals, vocabulary with counts, and kept n-grams per order."""
-
-    def __init__(self, total: int, distinct: int, words: list[bytes], counts: np.ndarray, context: int):
-        self.total, self.distinct, self.words, self.counts = total, distinct, words, counts
-        self.context = context
-        #: per order from 2: rows (prefix state, word number, count)
-        self.orders: list[np.ndarray] = []
-
-
-def _build(c: Counts, discount: float, last: bool) -> tuple:
-    """Arguments of :class:`Automaton`; ``last``: the highest order gets arcs, not states."""
-    v = c.context
-    floor = c.total + c.distinct + 1
-    unigram_p = (c.counts + 1) / floor
-    # states: root, one per vocabulary word, one per kept n-gram below the top order
-    size = 1 + v
-    fail = [np.zeros(1, np.int64), np.zeros(v, np.int64)]
-    occurs = [np.zeros(1), c.counts[:v].astype(float)]
-    p_of: dict[int, float] = {}
-    target: dict[int, int] = {}
-    for w in range(len(c.words)):
-        p_of[w] = float(unigram_p[w])
-        target[w] = 1 + w if w < v else 0
-    weights: dict[int, float] = {k: math.log10(p) for k, p in p_of.items()}
-    backoff = np.zeros(size)
-    all_fail = np.concatenate(fail)
-    all_occurs = np.concatenate(occurs)
-
-    def probability(state: int, w: int) -> float:
-        """P(w | state) through failure arcs, for states already finished."""
-        p = 1.0
-        while True:
-            own = p_of.get(state << _BITS | w)
-            if own is not None:
-                return p * own
-            p *= 10.0 ** backoff[state]
-            state = int(all_fail[state])
-
-    for k, rows in enumerate(c.orders):
-        top = last and k == len(c.orders) - 1
-        order = np.lexsort((rows[:, 1], rows[:, 0])) if len(rows) else np.zeros(0, np.int64)
-        rows = rows[order]
-        begins = np.flatnonzero(np.diff(rows[:, 0], prepend=-1)) if len(rows) else []
-        ends = np.append(begins[1:], len(rows)) if len(rows) else []
-        new_p: dict[int, float] = {}
-        new_backoff: dict[int, float] = {}
-        for a, b in zip(begins, ends):
-            state = int(rows[a, 0])
-            lower = int(all_fail[state])
-            context = all_occurs[state]
-            own = (rows[a:b, 2] - discount) / context
-            below = sum(probability(lower, int(w)) for w in rows[a:b, 1])
-            left = max(1.0 - float(own.sum()), 1e-12)
-            new_backoff[state] = math.log10(left / max(1.0 - below, 1e-12))
-            for w, p in zip(rows[a:b, 1].tolist(), own.tolist()):
-                new_p[state << _BITS | w] = p
-        # the state a kept n-gram leads to: itself, or at the top order its longest known suffix
-        first = size
-        for i, (state, w, n) in enumerate(rows.tolist()):
-            key = state << _BITS | w
-            suffix = _follow(target, all_fail, int(all_fail[state]), w)
-            target[key] = suffix if top else first + i
-            weights[key] = math.log10(new_p[key])
-            if not top:
-                fail.append(np.array([suffix]))
-                occurs.append(np.array([float(n)]))
-        size = first + (0 if top else len(rows))
-        all_fail, all_occurs = np.concatenate(fail), np.concatenate(occurs)
-        backoff = np.concatenate([backoff, np.zeros(size - len(backoff))])
-        for state, value in new_backoff.items():
-            backoff[state] = value
-        p_of |= new_p
-    keys = np.fromiter(weights.keys(), np.int64, len(weights))
-    return (
-        c.words, keys,
-        np.fromiter(weights.values(), np.float64, len(weights)),
-        np.fromiter((target[k] for k in weights), np.int64, len(weights)),
-        backoff, all_fail,
-    )
-
-
-def _follow(target: dict[int, int], fail: np.ndarray, state: int, w: int) -> int:
-    """The state reached from ``state`` by ``w`` through failure arcs."""
-    while True:
-        found = target.get(state << _BITS | w)
-        if found is not None:
-            return found
-        if not state:
-            return 0
-        state = int(fail[state])
-
-
-_HELD: dict[str, Automaton] = {}
-
-
-def _local(sent) -> Automaton:
-    """One automaton per worker process and broadcast."""
-    key, parts = sent.value
-    if key not in _HELD:
-        _HELD.clear()
-        _HELD[key] = Automaton(*parts)
-    return _HELD[key]
-
-
-def _send(spark, parts: tuple):
-    return spark.sparkContext.broadcast((uuid.uuid4().hex, parts))
-
-
-def _next_words(texts: DataFrame, parts: tuple, order: int, context: int) -> DataFrame:
-    """(key, n): how often a word follows a state of ``order`` - 1 words; key as for arcs."""
-    sent = _send(texts.sparkSession, parts)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = _local(sent)
-        number, arcs, none = model.number, model.arcs, (0.0, -1)
-        for batch in slices(batches, 0):
-            lists = [tokens_of(t) for t in batch.column(0).to_pylist()]
-            size = np.fromiter(map(len, lists), np.int64, len(lists))
-            ids = np.fromiter(
-                (number.get(w, context) for words in lists for w in words), np.int64, int(size.sum())
-            )
-            inside = ids < context
-            # a state before an end token is not followed by anything
-            follows = inside[1:].copy()
-            follows[(np.cumsum(size) - 1)[:-1]] = False
-            state = np.where(inside, ids + 1, -1)
-            for _ in range(order - 2):
-                at = np.flatnonzero(follows & (state[:-1] > 0))
-                keys = (state[at] << _BITS) | ids[at + 1]
-                state = np.full(len(ids), -1, np.int64)
-                state[at + 1] = [arcs.get(k, none)[1] for k in keys.tolist()]
-            at = np.flatnonzero(follows & (state[:-1] > 0))
-            keys, n = np.unique((state[at] << _BITS) | ids[at + 1], return_counts=True)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(keys, pa.int64()), pa.array(n, pa.int64())], names=["key", "n"]
-            )
-
-    found = texts.select("text").mapInArrow(run, "key bigint, n bigint")
-    return found.groupBy("key").agg(F.sum("n").alias("n"))
-
-
-class Trained:
-    """The automaton's parts, the exact counts of all words, and the training totals."""
-
-    def __init__(self, parts: tuple, counts: DataFrame, vocabulary: np.ndarray, total: int, distinct: int):
-        self.parts, self.counts, self.vocabulary = parts, counts, vocabulary
-        self.total, self.distinct = total, distinct
-
-    @property
-    def floor(self) -> int:
-        return self.total + self.distinct + 1
-
-
-def train(
+def score(
     docs: DataFrame,
+    train: Column,
+    keep: list[Column],
     text: str = "text",
     order: int = ORDER,
-    vocabulary: int = VOCABULARY,
-    context: int = CONTEXT,
-    states: int = STATES,
     discount: float = DISCOUNT,
-) -> Trained:
-    """Learn from every row of ``docs``."""
-    if context > vocabulary or 1 + context + (order - 1) * states >= 1 << _BITS:
-        raise ValueError("too many states for an arc key")
-    texts = docs.select(F.col(text).alias("text"))
-    counts = stage(word_counts(texts), "word-counts")
-    sums = counts.agg(F.sum("n").alias("total"), F.count("*").alias("distinct")).first()
-    short = counts.filter(F.length("word") <= LONGEST)
-    # at most `vocabulary` rows
-    common = short.filter(F.col("n") >= _at_most(short, vocabulary)).toArrow()
-    words, n = common.column("word").to_pylist(), common.column("n").to_pylist()
-    ranked = sorted(zip(words, n), key=lambda x: (-x[1], x[0]))
-    learned = Counts(
-        sums["total"] or 0, sums["distinct"], [w for w, _ in ranked],
-        np.array([k for _, k in ranked], np.int64), min(context, len(ranked)),
-    )
-    for k in range(2, order + 1):
-        parts = _build(learned, discount, last=False)
-        follow = stage(
-            _next_words(texts, parts, k, learned.context).filter("n >= 2"), f"next-words-{k}"
-        )
-        # at most `states` rows
-        kept = follow.filter(F.col("n") >= _at_most(follow, states)).toArrow()
-        key = kept.column("key").to_numpy()
-        learned.orders.append(
-            np.stack([key >> _BITS, key & ((1 << _BITS) - 1), kept.column("n").to_numpy()], axis=1)
-        )
-    return Trained(
-        _build(learned, discount, last=True), counts, learned.counts, learned.total, learned.distinct
-    )
-
-
-def score(docs: DataFrame, model: Trained, keep: list[str], text: str = "text") -> DataFrame:
-    """Columns ``keep`` of ``docs`` with n_tokens, n_known, base_score, score."""
-    spark = docs.sparkSession
-    chosen = docs.select(F.struct(*keep).alias("kept"), F.col(text).alias("text"))
-    kind = chosen.schema["kept"].dataType.simpleString()
-    sent = _send(spark, model.parts)
-    gain = spark.sparkContext.broadcast(np.log10(model.vocabulary + 1))
-    floor = math.log10(model.floor)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        automaton, gains = _local(sent), gain.value
-        number = automaton.number
-        for batch in slices(batches, 1):
-            rows, lists, times, ends = [], [], [], [0]
-            for text in batch.column(1).to_pylist():
-                words = tokens_of(text)
-                ids = list(map(number.get, words))
-                known = [w for w in ids if w is not None]
-                outside = len(words) - len(known)
-                if outside:
-                    seen = Counter(w for w, i in zip(words, ids) if i is None)
-                    lists.extend(seen.keys())
-                    times.extend(seen.values())
-                ends.append(len(lists))
-                rows.append((len(words), len(known), float(gains[known].sum()) - len(words) * floor,
-                             automaton.walk(ids) - outside * floor))
-            n, known, base, walked = (list(c) for c in zip(*rows))
-            outside = pa.ListArray.from_arrays(
-                pa.array(ends, pa.int32()),
-                pa.StructArray.from_arrays(
-                    [pa.array(lists, pa.binary()), pa.array(times, pa.int64())], ["word", "times"]
-                ),
-            )
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(n, pa.int64()), pa.array(known, pa.int64()),
-                 pa.array(base, pa.float64()), pa.array(walked, pa.float64()), outside],
-                names=["kept", "n_tokens", "in_vocabulary", "base", "walked", "outside"],
-            )
-
-    walked = chosen.mapInArrow(
-        run,
-        f"kept {kind}, n_tokens bigint, in_vocabulary bigint, base double, walked double, "
-        "outside array<struct<word: binary, times: bigint>>",
-    )
-    walked = stage(walked.withColumn("row", F.monotonically_increasing_id()), "walked")
-    asked = walked.select("row", F.explode("outside").alias("o")).select("row", "o.word", "o.times")
-    met = (
-        asked.join(model.counts, "word")  # unknown words add log10(1) = 0 and are not known
-        .groupBy("row")
-        .agg(
-            F.sum("times").alias("known"),
-            F.sum(F.col("times") * F.log10(F.col("n") + 1)).alias("gain"),
+) -> DataFrame:
+    """Learn from the rows where ``train``, score all.
+
+    Columns ``keep`` with n_tokens, n_known, train_tokens, base_score and score, staged; tables
+    needed on the way are removed.
+    """
+    with cleaning_shuffles(docs.sparkSession):
+        chunks = lm_tables.chunked(docs, keep, text, train, END)
+        kind = chunks.schema["kept"].dataType.elementType.simpleString()
+        learned = lm_tables.learn(chunks, order, discount)
+        floor = learned.floor
+
+        def run(chunks: pa.Table, answers: pa.Table) -> pa.Table:
+            parts = []
+            for kept, data in zip(chunks.column("kept").combine_chunks(), chunks.column("data")):
+                chunk = lm_tables.told(data.as_py(), answers, order)
+                automaton = Automaton(chunk, floor, discount)
+                ends = np.cumsum(chunk.sizes)
+                starts = ends - chunk.sizes
+                known = (chunk.counts[0] > 0)[chunk.ids]
+                base = np.log10((chunk.counts[0] + 1) / floor)[chunk.ids]
+                ids = chunk.ids.tolist()
+                total = [automaton.walk(ids[a:b]) for a, b in zip(starts.tolist(), ends.tolist())]
+                parts.append(pa.table({
+                    "kept": kept.values,
+                    "n_tokens": pa.array(chunk.sizes, pa.int64()),
+                    "n_known": np.add.reduceat(known.astype(np.int64), starts),
+                    "base_score": np.add.reduceat(base, starts),
+                    "score": pa.array(total, pa.float64()),
+                }))
+            return pa.concat_tables(parts)
+
+        scored = learned.pairs.applyInArrow(
+            run, f"kept {kind}, n_tokens bigint, n_known bigint, base_score double, score double"
         )
-    )
-    more = F.coalesce("gain", F.lit(0.0))
-    return walked.drop("outside").join(met, "row", "left").select(
-        "kept.*",
-        "n_tokens",
-        (F.col("in_vocabulary") + F.coalesce("known", F.lit(0))).cast("bigint").alias("n_known"),
-        (F.col("base") + more).alias("base_score"),
-        (F.col("walked") + more).alias("score"),
-    )
+        scored = stage(scored, "scores")
+        drop_staged(learned.staged)
+    return scored.select(
+        "kept.*", "n_tokens", "n_known", F.lit(learned.tokens).cast("bigint").alias("train_tokens"),
+        "base_score", "score",
+    )
 
 
 def score_held_out(
@@ -396,15 +156,8 @@ def score_held_out(
     text: str = "text",
     order: int = ORDER,
     discount: float = DISCOUNT,
-    **bounds: int,
 ) -> DataFrame:
-    """Learn from the rows that are not held out, score all; ``bounds`` as for :func:`train`."""
-    marked = docs.withColumn("held_out", held_out)
-    if bounds:
-        model = train(docs.filter(~held_out), text, order=order, discount=discount, **bounds)
-        scored, total = score(marked, model, [*keep, "held_out"], text), model.total
-    else:
-        scored, total = lm_tables.score_all(
-            marked, ~F.col("held_out"), [*keep, "held_out"], text, order, discount
-        )
-    return scored.withColumn("train_tokens", F.lit(total).cast("bigint"))
+    """Learn from the rows that are not ``held_out``, score all: columns ``keep``, then those
+    of :func:`score` and ``held_out``."""
+    named = [F.col(f"`{c}`").alias(f"{c}_in" if c in _RESULTS else c) for c in keep]
+    return score(docs, ~held_out, [*named, held_out.alias("held_out")], text, order, discount)

@@ -1,304 +1,440 @@
-"""The language model without bounds: n-grams of every order as staged, hash-partitioned tables.
-
-The model is that of :mod:`tillroll.llm.lm` with every word in the vocabulary and every n-gram of
-count two or more kept: absolute discounting, backoff weights that make every context sum to one,
-the add-one unigram below. Nothing of the model is broadcast or gathered.
-
-Names: a word is 64 bits of its BLAKE2b hash, an n-gram the mixed hash of its context (the n-gram
-without its last word) and that word. Two n-grams of one hash would share a count; among the some
-10^9 n-grams of 30 GB of text less than one such pair is expected.
-
-Texts are staged in chunks of about ``_CHUNK`` bytes. A chunk names each of its n-grams once, in
-blocks by bucket of the hash, so a frequent n-gram costs a bucket one entry per chunk. Buckets
-add up the counts of the training rows; joins by context and by suffix turn kept counts into
-probabilities and backoff weights; buckets answer each chunk with what is kept of its n-grams. A
-chunk then meets its answers and follows the failure arcs order by order, on whole arrays.
+"""What the chunks of a corpus learn from each other about their n-grams.
+
+Texts become chunks of about ``_CHUNK`` bytes: token numbers and 64-bit word names, staged once. A
+chunk lists each of its n-grams once, as sorted names, and sends slices of that list to buckets of
+the name space. A bucket adds up what the training rows of all chunks count and answers every chunk
+in the order it asked, so answers hold no names: a bit for kept or not, counts of what is kept, and
+a bit that makes one chunk the owner of a kept n-gram. Owners add up, per context, what the model
+needs for backoff weights; the buckets of the contexts merge those sums and answer likewise. So an
+n-gram's name travels once per chunk, in about six bytes, whatever its count.
+
+Nothing is kept of n-grams that the training rows have only once, and nothing else is left out. A
+word's name is its XXH3 hash, an n-gram's the mixed name of its context and its last word: among
+the some 10^9 n-grams of 30 GB of text less than one pair that shares a name is expected.
 """
 
 from __future__ import annotations
 
-import hashlib
-import math
 from collections.abc import Iterator
-from itertools import chain
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
 import pyspark
+import xxhash
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tillroll.llm.tokens import slices
 from tillroll.plans.staging import stage
 
-_CHUNK = 4 << 20
-#: buckets for every so many chunks
+_CHUNK = 8 << 20
+_SLICE = 1 << 20
+#: buckets for every so many chunks: a bucket holds some ten megabytes of names
 _GROUP, _BUCKETS = 256, 64
-#: n-grams of a block at most: readers hold some thousand blocks at once
-_BLOCK = 256
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xD6E8FEB86659FD93)
+_TINY = 1e-12
 
 
-def _word_hash(word: bytes) -> int:
-    return int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
+# ---------------------------------------------------------------- packing
+def _frame(parts: list[bytes]) -> bytes:
+    return np.array([len(parts), *map(len, parts)], "<u4").tobytes() + b"".join(parts)
 
 
-def _grams(texts: list[str | None], order: int) -> tuple[list[np.ndarray], np.ndarray]:
-    """Per order the n-gram that ends at each token, and each text's number of tokens.
+def _unframe(data: bytes) -> list[bytes]:
+    n = int(np.frombuffer(data, "<u4", 1)[0])
+    ends = 4 * (n + 1) + np.cumsum(np.frombuffer(data, "<u4", n, 4), dtype=np.int64)
+    return [data[a:b] for a, b in zip([4 * (n + 1), *ends], ends)]
 
-    A token with less than n - 1 words of its text before it ends no n-gram; its entry is void.
-    """
-    from tillroll.llm.lm import tokens_of
-
-    lists = [tokens_of(t) for t in texts]
-    sizes = np.fromiter(map(len, lists), np.int64, len(lists))
-    coded = pa.array(list(chain.from_iterable(lists)), pa.large_binary()).dictionary_encode()
-    named = np.array([_word_hash(w) for w in coded.dictionary.to_pylist()], np.uint64)
-    words = named[coded.indices.to_numpy()]
-    found = [words]
-    for _ in range(order - 1):
-        context = np.roll(found[-1], 1)
-        key = context * _ODD + words
-        key ^= key >> np.uint64(32)
-        key *= _MIX
-        found.append(key ^ (key >> np.uint64(29)))
-    return found, sizes
-
-
-def _places(sizes: np.ndarray) -> np.ndarray:
-    """Every token's place in its text."""
-    ends = np.cumsum(sizes)
-    return np.arange(ends[-1]) - np.repeat(ends - sizes, sizes)
-
-
-def _chunked(docs: DataFrame, keep: list[str], text: str, train: Column) -> DataFrame:
-    """(kept, text, train, chunk): chunks never span two tasks."""
+
+def _pack_names(names: np.ndarray) -> bytes:
+    """Sorted 64-bit names as the bytes that their gaps need."""
+    if not len(names):
+        return b""
+    gaps = np.diff(names)
+    width = (int(gaps.max(initial=0)).bit_length() + 7) // 8
+    body = gaps.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width]
+    return np.array([width], np.uint8).tobytes() + names[:1].astype("<u8").tobytes() + body.tobytes()
+
+
+def _unpack_names(data: bytes) -> np.ndarray:
+    if not data:
+        return np.zeros(0, np.uint64)
+    width, first = data[0], np.frombuffer(data, "<u8", 1, 1)
+    if not width:  # a single name, as names differ
+        return first.copy()
+    body = np.frombuffer(data, np.uint8, offset=9).reshape(-1, width)
+    gaps = np.zeros((len(body), 8), np.uint8)
+    gaps[:, :width] = body
+    return np.cumsum(np.concatenate([first, gaps.view("<u8").ravel()]), dtype=np.uint64)
+
+
+def _pack_counts(n: np.ndarray) -> bytes:
+    """Byte planes, compressed: small counts leave the upper planes empty."""
+    planes = np.ascontiguousarray(n.astype("<u8").view(np.uint8).reshape(-1, 8).T)
+    return zstandard.compress(np.array([len(n)], "<u8").tobytes() + planes.tobytes(), 1)
+
+
+def _unpack_counts(data: bytes) -> np.ndarray:
+    raw = zstandard.decompress(data)
+    n = int(np.frombuffer(raw, "<u8", 1)[0])
+    planes = np.frombuffer(raw, np.uint8, offset=8).reshape(8, n)
+    return np.ascontiguousarray(planes.T).view("<u8").ravel().astype(np.int64)
+
+
+def _pack_bits(bits: np.ndarray) -> bytes:
+    return np.packbits(bits).tobytes()
+
+
+def _unpack_bits(data: bytes, n: int) -> np.ndarray:
+    return np.unpackbits(np.frombuffer(data, np.uint8), count=n).astype(bool)
+
+
+# ---------------------------------------------------------------- chunks
+def tokens_of(text: str | None, end: bytes) -> list[bytes]:
+    """Words with A-Z in lower case, then the end."""
+    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    words.append(end)
+    return words
+
+
+def chunked(docs: DataFrame, keep: list[Column], text: str, train: Column, end: bytes) -> DataFrame:
+    """(chunk, kept array, data): chunks of whole texts that never span two tasks. Staged."""
     chosen = docs.select(
-        F.struct(*keep).alias("kept"), F.col(text).alias("text"),
+        F.struct(*keep).alias("kept"), F.col(f"`{text}`").alias("text"),
         F.coalesce(train, F.lit(False)).alias("train"),
-    )
+    )
     kind = chosen.schema["kept"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        chunk, held = pyspark.TaskContext.get().partitionId() << 32, 0
-        for batch in slices(batches, 1, _CHUNK // 4):
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array(np.full(len(batch), chunk), pa.int64())],
-                names=["kept", "text", "train", "chunk"],
+        chunk = pyspark.TaskContext.get().partitionId() << 32
+        kept, sizes, train, numbers, known, held = [], [], [], [], {}, 0
+
+        def out() -> pa.RecordBatch:
+            names = np.fromiter(map(xxhash.xxh3_64_intdigest, known), np.uint64, len(known))
+            turn = np.argsort(names)
+            place = np.empty(len(turn), np.int64)
+            place[turn] = np.arange(len(turn))
+            ids = place[np.concatenate(numbers)]
+            data = _frame(
+                [_pack_names(names[turn]), _pack_counts(ids), _pack_counts(np.array(sizes)),
+                 _pack_bits(np.array(train, bool))]
+            )
+            rows = pa.concat_arrays(kept)
+            lists = pa.ListArray.from_arrays(pa.array([0, len(rows)], pa.int32()), rows)
+            return pa.RecordBatch.from_arrays(
+                [pa.array([chunk], pa.int64()), lists, pa.array([data], pa.binary())],
+                names=["chunk", "kept", "data"],
             )
+
+        for batch in slices(batches, 1, _SLICE):
+            kept.append(batch.column(0))
+            train += batch.column(2).to_pylist()
+            for value in batch.column(1).to_pylist():
+                words = tokens_of(value, end)
+                sizes.append(len(words))
+                numbers.append(
+                    np.fromiter((known.setdefault(w, len(known)) for w in words), np.int64, len(words))
+                )
             held += batch.column(1).nbytes
             if held >= _CHUNK:
-                chunk, held = chunk + 1, 0
+                yield out()
+                chunk += 1
+                kept, sizes, train, numbers, known, held = [], [], [], [], {}, 0
+        if kept:
+            yield out()
 
     return stage(
-        chosen.mapInArrow(run, f"kept {kind}, text string, train boolean, chunk bigint"), "chunks"
+        chosen.mapInArrow(run, f"chunk bigint, kept array<{kind}>, data binary"), "chunks"
     )
 
 
-def _asked(chunks: DataFrame, order: int, buckets: int) -> DataFrame:
-    """(bucket, chunk, key, n, context, suffix, level): blocks of the n-grams of a chunk.
+@dataclass
+class Chunk:
+    """Tokens of some texts and their n-grams; per order, from 1 on:
 
-    ``n`` counts the training rows alone; it is zero for what only other rows have.
+    ``names`` sorted, ``at`` the n-gram that ends at each token (-1: none), ``first`` a token
+    where each n-gram ends. ``counts`` are those of the training rows (0: not kept), ``own`` whose
+    sums this chunk adds up, ``backoff`` the log10 weights of contexts.
     """
 
-    def block(chunk: int, texts: list, train: list) -> Iterator[pa.RecordBatch]:
-        grams, sizes = _grams(texts, order)
-        place, learned = _places(sizes), np.repeat(np.array(train, bool), sizes)
-        parts = []
-        for k, keys in enumerate(grams):
-            at = np.flatnonzero(place >= k)
-            key, first, inverse = np.unique(keys[at], return_index=True, return_inverse=True)
-            n = np.bincount(inverse, weights=learned[at], minlength=len(key)).astype(np.int64)
-            where = at[first]
-            none = np.zeros(len(key), np.uint64)
-            context = grams[k - 1][where - 1] if k else none
-            suffix = grams[k - 1][where] if k else none
-            parts.append((key, n, context, suffix, np.full(len(key), k + 1, np.uint8)))
-        columns = [np.concatenate(c) for c in zip(*parts)]
-        bucket = (columns[0] % np.uint64(buckets)).astype(np.int64)
-        turn = np.argsort(bucket, kind="stable")
-        columns, bucket = [c[turn] for c in columns], bucket[turn]
-        # the context and suffix of what is only asked for are not needed
-        for i in (2, 3):
-            columns[i] = np.where(columns[1] > 0, columns[i], np.uint64(0))
-        borders = np.flatnonzero(np.diff(bucket, prepend=-1))
-        since = np.arange(len(bucket)) - np.repeat(borders, np.diff([*borders, len(bucket)]))
-        begins = np.flatnonzero(since % _BLOCK == 0)
-        ends = [*begins[1:], len(bucket)]
-        blobs = [
-            pa.array([c[a:b].tobytes() for a, b in zip(begins, ends)], pa.binary()) for c in columns
-        ]
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(bucket[begins], pa.int64()),
-             pa.array(np.full(len(begins), chunk), pa.int64()), *blobs],
-            names=["bucket", "chunk", "key", "n", "context", "suffix", "level"],
-        )
-
+    sizes: np.ndarray
+    train: np.ndarray
+    ids: np.ndarray
+    names: list[np.ndarray]
+    at: list[np.ndarray]
+    first: list[np.ndarray]
+    counts: list[np.ndarray] = field(default_factory=list)
+    own: list[np.ndarray] = field(default_factory=list)
+    backoff: list[np.ndarray] = field(default_factory=list)
+
+    @classmethod
+    def read(cls, data: bytes, order: int) -> Chunk:
+        packed, ids, sizes, train = _unframe(data)
+        words, ids, sizes = _unpack_names(packed), _unpack_counts(ids), _unpack_counts(sizes)
+        ends = np.cumsum(sizes)
+        place = np.arange(len(ids)) - np.repeat(ends - sizes, sizes)
+        names, at, gram = [words], [ids], words[ids]
+        for k in range(1, order):
+            gram = np.roll(gram, 1) * _ODD + words[ids]
+            gram ^= gram >> np.uint64(32)
+            gram *= _MIX
+            gram ^= gram >> np.uint64(29)
+            inside = np.flatnonzero(place >= k)
+            own, inverse = np.unique(gram[inside], return_inverse=True)
+            where = np.full(len(ids), -1, np.int64)
+            where[inside] = inverse
+            names.append(own)
+            at.append(where)
+        first = []
+        for own, where in zip(names, at):
+            token = np.zeros(len(own), np.int64)
+            inside = np.flatnonzero(where >= 0)
+            token[where[inside]] = inside
+            first.append(token)
+        return cls(sizes, _unpack_bits(train, len(sizes)), ids, names, at, first)
+
+    def context(self, k: int) -> np.ndarray:
+        """Of every n-gram of level ``k`` (from 1) the number of its context, a level lower."""
+        return self.at[k - 1][self.first[k] - 1]
+
+    def suffix(self, k: int) -> np.ndarray:
+        return self.at[k - 1][self.first[k]]
+
+    def chances(self, floor: int, discount: float) -> list[np.ndarray]:
+        """Probability of every n-gram after its context; 0 where it is not kept."""
+        found = [(self.counts[0] + 1) / floor]
+        for k in range(1, len(self.names)):
+            n = self.counts[k]
+            times = np.maximum(self.counts[k - 1][self.context(k)], 1)
+            found.append(np.where(n > 0, (n - discount) / times, 0.0))
+        return found
+
+
+def _edges(buckets: int) -> np.ndarray:
+    return np.array([(i << 64) // buckets for i in range(1, buckets)], np.uint64)
+
+
+def _slices(names: np.ndarray, buckets: int) -> np.ndarray:
+    return np.concatenate([[0], np.searchsorted(names, _edges(buckets)), [len(names)]])
+
+
+_SENT = "bucket int, chunk bigint, data binary"
+
+
+def _sent(chunk: int, parts: list[bytes]) -> pa.RecordBatch:
+    """One row per bucket."""
+    return pa.RecordBatch.from_arrays(
+        [pa.array(np.arange(len(parts)), pa.int32()), pa.array(np.full(len(parts), chunk), pa.int64()),
+         pa.array(parts, pa.binary())],
+        names=["bucket", "chunk", "data"],
+    )
+
+
+def _rows(table: pa.Table) -> list[tuple[int, list[bytes]]]:
+    """(chunk, frames) of the rows of a bucket, by chunk."""
+    pairs = zip(table.column("chunk").to_pylist(), table.column("data").to_pylist())
+    return sorted((c, _unframe(d)) for c, d in pairs)
+
+
+# ---------------------------------------------------------------- counts
+def _ask_counts(chunks: DataFrame, order: int, buckets: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        chunk, texts, train = None, [], []
-        for batch in slices(batches, 0, _CHUNK // 4):
-            ids = batch.column(2).to_numpy()
-            cuts = [0, *(np.flatnonzero(np.diff(ids)) + 1), len(ids)]
-            for a, b in zip(cuts, cuts[1:]):
-                if texts and ids[a] != chunk:
-                    yield from block(chunk, texts, train)
-                    texts, train = [], []
-                chunk = int(ids[a])
-                texts += batch.column(0).slice(a, b - a).to_pylist()
-                train += batch.column(1).slice(a, b - a).to_pylist()
-        if texts:
-            yield from block(chunk, texts, train)
-
-    return chunks.select("text", "train", "chunk").mapInArrow(
-        run,
-        "bucket bigint, chunk bigint, key binary, n binary, context binary, suffix binary, level binary",
-    )
+        for batch in batches:
+            for chunk, data in zip(batch.column(0).to_pylist(), batch.column(1)):
+                own = Chunk.read(data.as_py(), order)
+                learned = np.repeat(own.train, own.sizes)
+                parts: list[list[bytes]] = [[] for _ in range(buckets)]
+                for names, at in zip(own.names, own.at):
+                    inside = learned & (at >= 0)
+                    n = np.bincount(at[inside], minlength=len(names))
+                    cuts = _slices(names, buckets)
+                    for part, a, b in zip(parts, cuts, cuts[1:]):
+                        part += [_pack_names(names[a:b]), _pack_counts(n[a:b])]
+                yield _sent(chunk, [_frame(p) for p in parts])
 
+    return chunks.select("chunk", "data").mapInArrow(run, _SENT)
 
-def _joined(column: pa.ChunkedArray, kind) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), kind)
 
+def _merge_counts(asked: DataFrame, order: int) -> DataFrame:
+    """(bucket, chunk, data, words, tokens): answers; totals of the bucket in its first row."""
+
+    def merge(table: pa.Table) -> pa.Table:
+        rows, answers, totals = _rows(table), [], (0, 0)
+        answers = [[] for _ in rows]
+        for k in range(order):
+            lists = [_unpack_names(parts[2 * k]) for _, parts in rows]
+            names, first, inverse = np.unique(
+                np.concatenate(lists), return_index=True, return_inverse=True
+            )
+            told = np.concatenate([_unpack_counts(parts[2 * k + 1]) for _, parts in rows])
+            n = np.zeros(len(names), np.int64)
+            np.add.at(n, inverse, told)
+            kept = n >= (1 if k == 0 else 2)
+            owner = np.zeros(len(inverse), bool)
+            owner[first] = True
+            if k == 0:
+                totals = int(kept.sum()), int(n.sum())
+            upto = 0
+            for answer, own in zip(answers, lists):
+                mine = slice(upto, upto + len(own))
+                upto += len(own)
+                stays = kept[inverse[mine]]
+                answer += [
+                    _pack_bits(stays), _pack_counts(n[inverse[mine]][stays]),
+                    _pack_bits(owner[mine][stays]),
+                ]
+        here = np.zeros((2, len(rows)), np.int64)
+        here[:, 0] = totals
+        return pa.table({
+            "bucket": table.column("bucket"),
+            "chunk": pa.array([c for c, _ in rows], pa.int64()),
+            "data": pa.array([_frame(a) for a in answers], pa.binary()),
+            "words": pa.array(here[0]),
+            "tokens": pa.array(here[1]),
+        })
 
-def _kept(asked: DataFrame) -> DataFrame:
-    """(bucket, key, context, suffix, level, n): all words, and n-grams seen twice or more."""
+    return asked.groupBy("bucket").applyInArrow(merge, _SENT + ", words bigint, tokens bigint")
+
+
+def _answered(table: pa.Table, kind: int) -> list[list[bytes]]:
+    """Frames of the answers of one kind, by bucket."""
+    some = zip(*(table.column(c).to_pylist() for c in ("kind", "bucket", "data")))
+    return [_unframe(d) for _, d in sorted((b, d) for k, b, d in some if k == kind)]
+
+
+def _learn_counts(chunk: Chunk, answers: list[list[bytes]]) -> None:
+    for k, names in enumerate(chunk.names):
+        cuts = _slices(names, len(answers))
+        counts, own = np.zeros(len(names), np.int64), np.zeros(len(names), bool)
+        for parts, a, b in zip(answers, cuts, cuts[1:]):
+            stays = _unpack_bits(parts[3 * k], b - a)
+            at = a + np.flatnonzero(stays)
+            counts[at] = _unpack_counts(parts[3 * k + 1])
+            own[at] = _unpack_bits(parts[3 * k + 2], len(at))
+        chunk.counts.append(counts)
+        chunk.own.append(own)
+
+
+# ---------------------------------------------------------------- backoff weights
+def _contexts(chunk: Chunk, k: int) -> np.ndarray:
+    """Numbers of the kept n-grams of level ``k`` (from 0) that a token of the chunk follows."""
+    follows = np.flatnonzero(chunk.at[k + 1] >= 0) - 1
+    used = np.zeros(len(chunk.names[k]), bool)
+    used[chunk.at[k][follows]] = True
+    return np.flatnonzero(used & (chunk.counts[k] > 0))
+
+
+def _ask_backoff(pairs, order: int, buckets: int, floor: int, discount: float) -> DataFrame:
+    def run(chunks: pa.Table, answers: pa.Table) -> pa.Table:
+        out = []
+        for number, data in zip(chunks.column("chunk").to_pylist(), chunks.column("data")):
+            chunk = Chunk.read(data.as_py(), order)
+            _learn_counts(chunk, _answered(answers, 0))
+            chance = chunk.chances(floor, discount)
+            parts: list[list[bytes]] = [[] for _ in range(buckets)]
+            for k in range(order - 1):
+                mine = np.flatnonzero(chunk.own[k + 1])
+                context, size = chunk.context(k + 1)[mine], len(chunk.names[k])
+                given = np.bincount(context, chance[k + 1][mine], size)
+                below = np.bincount(context, chance[k][chunk.suffix(k + 1)[mine]], size)
+                asked = _contexts(chunk, k)
+                names, told = chunk.names[k][asked], given[asked] > 0
+                cuts = _slices(names, buckets)
+                for part, a, b in zip(parts, cuts, cuts[1:]):
+                    some = asked[a:b][told[a:b]]
+                    part += [
+                        _pack_names(names[a:b]), _pack_bits(told[a:b]),
+                        given[some].tobytes(), below[some].tobytes(),
+                    ]
+            out.append(_sent(number, [_frame(p) for p in parts]))
+        return pa.Table.from_batches(out, _sent(0, []).schema)
+
+    return pairs.applyInArrow(run, _SENT)
+
+
+def _merge_backoff(asked: DataFrame, order: int) -> DataFrame:
+    """(bucket, chunk, data): the weights of the contexts a chunk asked for."""
 
     def merge(table: pa.Table) -> pa.Table:
-        key, first, inverse = np.unique(
-            _joined(table.column("key"), "<u8"), return_index=True, return_inverse=True
-        )
-        n = np.bincount(inverse, weights=_joined(table.column("n"), "<i8")).astype(np.int64)
-        level = _joined(table.column("level"), "u1")[first]
-        # a block without training rows has no context: the largest is the real one
-        context, suffix = np.zeros_like(key), np.zeros_like(key)
-        np.maximum.at(context, inverse, _joined(table.column("context"), "<u8"))
-        np.maximum.at(suffix, inverse, _joined(table.column("suffix"), "<u8"))
-        stays = n >= np.where(level == 1, 1, 2)
-        bucket = np.full(int(stays.sum()), table.column("bucket")[0].as_py())
+        rows = _rows(table)
+        answers: list[list[bytes]] = [[] for _ in rows]
+        for k in range(order - 1):
+            lists = [_unpack_names(parts[4 * k]) for _, parts in rows]
+            names, inverse = np.unique(np.concatenate(lists), return_inverse=True)
+            sums = np.zeros((2, len(names)))
+            upto = 0
+            for (_, parts), own in zip(rows, lists):
+                told = _unpack_bits(parts[4 * k + 1], len(own))
+                at = inverse[upto : upto + len(own)][told]
+                for i in (0, 1):
+                    sums[i][at] += np.frombuffer(parts[4 * k + 2 + i], np.float64)
+                upto += len(own)
+            given, below = sums
+            weight = np.log10(np.maximum(1 - given, _TINY) / np.maximum(1 - below, _TINY))
+            upto = 0
+            for answer, own in zip(answers, lists):
+                at = inverse[upto : upto + len(own)]
+                upto += len(own)
+                has = given[at] > 0
+                answer += [_pack_bits(has), weight[at][has].tobytes()]
         return pa.table({
-            "bucket": pa.array(bucket, pa.int64()),
-            "key": pa.array(key[stays].view(np.int64)),
-            "context": pa.array(context[stays].view(np.int64)),
-            "suffix": pa.array(suffix[stays].view(np.int64)),
-            "level": pa.array(level[stays].astype(np.int32)),
-            "n": pa.array(n[stays]),
+            "bucket": table.column("bucket"),
+            "chunk": pa.array([c for c, _ in rows], pa.int64()),
+            "data": pa.array([_frame(a) for a in answers], pa.binary()),
         })
 
-    return asked.groupBy("bucket").applyInArrow(
-        merge, "bucket bigint, key bigint, context bigint, suffix bigint, level int, n bigint"
-    )
+    return asked.groupBy("bucket").applyInArrow(merge, _SENT)
 
 
-def _values(kept: DataFrame, floor: int, discount: float) -> DataFrame:
-    """(bucket, key, logp, backoff): backoff is zero for what is no context of a kept n-gram."""
-    longer = kept.filter("level > 1")
-    above = kept.select(F.col("key").alias("context"), F.col("n").alias("times"))
-    chance = stage(
-        kept.filter("level = 1")
-        .withColumn("p", (F.col("n") + 1) / F.lit(float(floor)))
-        .unionByName(
-            longer.join(above, "context")
-            .withColumn("p", (F.col("n") - F.lit(discount)) / F.col("times"))
-            .drop("times")
-        ),
-        "chances",
-    )
-    lower = chance.select(F.col("key").alias("suffix"), F.col("p").alias("below"))
-    left = F.greatest(1 - F.sum("p"), F.lit(1e-12)) / F.greatest(1 - F.sum("below"), F.lit(1e-12))
-    weights = (
-        chance.filter("level > 1").join(lower, "suffix")
-        .groupBy(F.col("context").alias("key")).agg(F.log10(left).alias("backoff"))
-    )
-    return chance.join(weights, "key", "left").select(
-        "bucket", "key", F.log10("p").alias("logp"), F.coalesce("backoff", F.lit(0.0)).alias("backoff")
-    )
+def _learn_backoff(chunk: Chunk, answers: list[list[bytes]]) -> None:
+    for k in range(len(chunk.names) - 1):
+        asked = _contexts(chunk, k)
+        cuts = _slices(chunk.names[k][asked], len(answers))
+        weight = np.zeros(len(chunk.names[k]))
+        for parts, a, b in zip(answers, cuts, cuts[1:]):
+            has = _unpack_bits(parts[2 * k], b - a)
+            weight[asked[a:b][has]] = np.frombuffer(parts[2 * k + 1], np.float64)
+        chunk.backoff.append(weight)
+    chunk.backoff.append(np.zeros(len(chunk.names[-1])))
 
 
-def _answers(asked: DataFrame, values: DataFrame) -> DataFrame:
-    """(chunk, key, logp, backoff): blocks of what is kept of a chunk's n-grams."""
-
-    def answer(known: pa.Table, blocks: pa.Table) -> pa.Table:
-        keys = known.column("key").to_numpy().view(np.uint64)
-        turn = np.argsort(keys)
-        keys = keys[turn]
-        logp, backoff = (known.column(c).to_numpy()[turn] for c in ("logp", "backoff"))
-        out = [[], [], [], []]
-        for chunk, block in zip(*(blocks.column(c).to_pylist() for c in ("chunk", "key"))):
-            wanted = np.frombuffer(block, "<u8")
-            at, hit = _find(keys, wanted)
-            for column, x in zip(out, (chunk, wanted[hit], logp[at[hit]], backoff[at[hit]])):
-                column.append(x if isinstance(x, int) else x.tobytes())
-        kinds = (pa.int64(), pa.binary(), pa.binary(), pa.binary())
-        return pa.table([pa.array(c, k) for c, k in zip(out, kinds)],
-                        names=["chunk", "key", "logp", "backoff"])
-
-    return values.groupBy("bucket").cogroup(
-        asked.select("bucket", "chunk", "key").groupBy("bucket")
-    ).applyInArrow(answer, "chunk bigint, key binary, logp binary, backoff binary")
-
-
-def _find(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Places of ``wanted`` in the sorted ``keys``, and whether they are there."""
-    if not len(keys):
-        return np.zeros(len(wanted), np.int64), np.zeros(len(wanted), bool)
-    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
-    return at, keys[at] == wanted
-
-
-def _scored(chunks: DataFrame, answers: DataFrame, order: int, floor: int) -> DataFrame:
-    kind = chunks.schema["kept"].dataType.simpleString()
-    unseen = -math.log10(floor)
-
-    def walk(texts: pa.Table, found: pa.Table) -> pa.Table:
-        keys = _joined(found.column("key"), "<u8")
-        turn = np.argsort(keys)
-        keys = keys[turn]
-        logp, backoff = (_joined(found.column(c), "<f8")[turn] for c in ("logp", "backoff"))
-        n, known, base, total = [], [], [], []
-        for batch in slices(texts.select(["text"]).to_batches(), 0, _CHUNK // 4):
-            grams, sizes = _grams(batch.column(0).to_pylist(), order)
-            place, starts = _places(sizes), np.cumsum(sizes) - sizes
-            at, hit = _find(keys, grams[0])
-            score = np.full(len(place), unseen)
-            score[hit] = logp[at[hit]]
-            n.append(sizes)
-            known.append(np.add.reduceat(hit.astype(np.int64), starts))
-            base.append(np.add.reduceat(score, starts))
-            weight = np.zeros(len(place))
-            weight[hit] = backoff[at[hit]]
-            for k in range(1, order):
-                inside = place >= k
-                at, hit = _find(keys, grams[k])
-                hit &= inside
-                # the failure arc: the context before the word hands over at its weight
-                score = np.where(inside, score + np.roll(weight, 1), score)
-                score[hit] = logp[at[hit]]
-                weight = np.zeros(len(place))
-                weight[hit] = backoff[at[hit]]
-            total.append(np.add.reduceat(score, starts))
-        columns = [np.concatenate(c) for c in (n, known, base, total)]
-        return pa.table([texts.column("kept"), *map(pa.array, columns)],
-                        names=["kept", "n_tokens", "n_known", "base_score", "score"])
-
-    return chunks.select("chunk", "kept", "text").groupBy("chunk").cogroup(
-        answers.groupBy("chunk")
-    ).applyInArrow(
-        walk, f"kept {kind}, n_tokens bigint, n_known bigint, base_score double, score double"
-    )
+# ---------------------------------------------------------------- whole
+@dataclass
+class Learned:
+    """Chunks beside all they were told; training totals."""
+
+    pairs: object  # chunks cogrouped with answers
+    tokens: int
+    floor: int
+    #: staged tables that may go when the pairs have been read
+    staged: list[DataFrame]
+
 
+def told(data: bytes, answers: pa.Table, order: int) -> Chunk:
+    """A chunk with its counts and backoff weights."""
+    chunk = Chunk.read(data, order)
+    _learn_counts(chunk, _answered(answers, 0))
+    _learn_backoff(chunk, _answered(answers, 1))
+    return chunk
 
-def score_all(
-    docs: DataFrame, train: Column, keep: list[str], text: str, order: int, discount: float
-) -> tuple[DataFrame, int]:
-    """Learn from the rows where ``train``, score all; and the number of training tokens."""
-    chunks = _chunked(docs, keep, text, train)
-    groups = 1 + chunks.select("chunk").distinct().count() // _GROUP
-    asked = stage(_asked(chunks, order, groups * _BUCKETS), "asked")
-    kept = stage(_kept(asked), "kept-grams")
-    sums = kept.filter("level = 1").agg(F.sum("n").alias("total"), F.count("*").alias("words")).first()
-    total = sums["total"] or 0
-    floor = total + sums["words"] + 1
-    answers = _answers(asked, _values(kept, floor, discount))
-    return _scored(chunks, answers, order, floor).select(
-        "kept.*", "n_tokens", "n_known", "base_score", "score"
-    ), total
+
+def learn(chunks: DataFrame, order: int, discount: float) -> Learned:
+    """Count, keep and weigh the n-grams of all chunks."""
+    rows = chunks.count()
+    buckets = (1 + rows // _GROUP) * _BUCKETS
+    counted = stage(_merge_counts(_ask_counts(chunks, order, buckets), order), "counts")
+    sums = counted.agg(F.sum("words").alias("words"), F.sum("tokens").alias("tokens")).first()
+    tokens, floor = sums.tokens or 0, (sums.tokens or 0) + (sums.words or 0) + 1
+    counts = counted.select(F.lit(0).alias("kind"), "bucket", "chunk", "data")
+
+    def beside(answers: DataFrame):
+        return chunks.groupBy("chunk").cogroup(answers.groupBy("chunk"))
+
+    weights = stage(
+        _merge_backoff(_ask_backoff(beside(counts), order, buckets, floor, discount), order), "weights"
+    )
+    both = counts.union(weights.select(F.lit(1).alias("kind"), "bucket", "chunk", "data"))
+    return Learned(beside(both), tokens, floor, [chunks, counted, weights])
