@@ -18,7 +18,7 @@ sys.path.insert(0, str(Path(__file__).resolve().parents[2]))
 
 import corpus_pipeline  # noqa: E402
 from checks.compare import connect, difference  # noqa: E402
-from tillroll.llm import quality, registry  # noqa: E402
+from tillroll.llm import line_dedup, quality, registry  # noqa: E402
 
 SF = "/root/testdata/sf0.001"
 
@@ -83,7 +83,7 @@ def plain_quality(rows):
     groups, out = defaultdict(list), []
     for r in rows:
         n, chars, symbols, lines, words = plain_counts(r[1])
-        if n >= 50 and 100 * words <= 50 * n:
+        if n >= corpus_pipeline.MIN_WORDS and 100 * words <= 50 * n:
             rates = [np.log1p(100 * c / n) for c in (symbols, lines, words)]
             groups[r[2:4]].append((r, [np.log(chars / n), *rates]))
     for found in groups.values():
@@ -110,7 +110,7 @@ def plain_lines(rows):
 
     def stays(source, line):
         n = on[source, line.strip(" \t\r")]
-        return not (n >= 3 and n > 0.02 * pages[source])
+        return not n - line_dedup.ALLOWANCE > line_dedup.MAX_RATIO * pages[source]
 
     return [
         (r[0], "\n".join(x for x in r[1].split("\n") if stays(r[3], x)), *r[2:]) for r in rows

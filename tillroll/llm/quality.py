@@ -4,7 +4,7 @@ Every text gives counts of words, characters in words, symbols, repeated lines a
 words. Texts that fail a base rule go. The others become vectors of transformed rates, and for
 each (lang, source) the minimum-covariance-determinant estimate gives centre and scatter: start
 from the half nearest to the group's median and spread, then concentrate - estimate, measure, keep
-the nearest ``coverage`` share - until no group's determinant falls; a last estimate over all rows
+the nearest ``coverage`` share - until no group's determinant falls (or after ``ROUNDS`` steps); a last estimate over all rows
 inside the 97.5 % ellipse sharpens it. A text beyond ``cut`` (squared Mahalanobis distance) goes.
 
 Native throughout. A group is never gathered: medians and the border of the nearest share come
@@ -32,12 +32,10 @@ SYMBOLS = "#*$%&|<>"
 
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
-#: share of the registered query and its SQL twin: breaks down at a quarter of junk
-COVERAGE = 0.75
-#: share of the operator: holds against junk of almost half a group
+#: share of a group its estimate rests on: holds against junk of almost half a group
 HALF = 0.5
-#: steps of the registered query and its SQL twin
-STEPS = 3
+#: concentration ends here at the latest; a handful of steps is usual
+ROUNDS = 20
 #: a determinant falls if it loses this share of its least value so far
 FALL = 1e-6
 #: upper 1e-9 tail of chi-square with four degrees of freedom, about 48: clean texts stay
@@ -259,7 +257,7 @@ def group_estimates(
     """The reweighted MCD estimate of every (lang, source) of ``vectors`` (lang, source, x0..).
 
     ``steps`` fixes the number of concentration steps; without it they end when no group's
-    determinant falls below its least so far, which floors bound from below.
+    determinant falls below its least so far, which floors bound from below, or after ``ROUNDS``.
     """
     shift = {f"c{i}": F.floor(F.col(x) * 1000) for i, x in enumerate(_X)}
     centre = stage(_borders(vectors, 0.5, shift), "medians")
@@ -281,7 +279,7 @@ def group_estimates(
     subset = _nearest(first, "d2", 0.5)
     scale = _consistency(0.5)
     estimate, done, least = stage(_estimate(subset, scale), "mcd"), 0, None
-    while done != steps:
+    while done != (ROUNDS if steps is None else steps):
         subset = _nearest(_with_distance(vectors, estimate), "d2", coverage)
         scale = _consistency(coverage)
         estimate = stage(_estimate(subset, scale), "mcd")
@@ -303,10 +301,11 @@ def with_verdict(
     steps: int | None = None,
     tail: float = TAIL,
     carry: list[str] | None = None,
+    min_words: int = MIN_WORDS,
 ) -> DataFrame:
     """Columns ``carry`` (all) of ``docs`` as struct ``doc``, the five counts, ``base_failed``, ``kept``.
 
-    Texts are counted once, into a staged table that holds what is carried; the estimates read
+    Texts of fewer than ``min_words`` words fail a base rule. Texts are counted once, into a staged table that holds what is carried; the estimates read
     its counts only, and the verdict meets one small row per group.
     """
     rows = whole_rows(
@@ -318,7 +317,7 @@ def with_verdict(
     if carry is not None:
         rows = rows.withColumn("doc", F.struct(*(F.col("doc").getField(c).alias(c) for c in carry)))
     counted = stage(rows, "counted").select("doc", "lang", "source", "c.*")
-    counted = counted.withColumn("base_failed", base_failed())
+    counted = counted.withColumn("base_failed", base_failed(min_words))
     vectors = stage(
         counted.filter(~F.col("base_failed")).select(
             "lang", "source", *(v.alias(x) for x, v in zip(_X, _vector()))

@@ -3,9 +3,8 @@
 from __future__ import annotations
 
 from tillroll.llm.quality import (
-    COVERAGE,
     FLOORS,
-    STEPS,
+    HALF,
     SYMBOLS,
     TAIL,
     P,
@@ -13,6 +12,9 @@ from tillroll.llm.quality import (
     chi2_quantile,
 )
 
+#: concentration steps written out; the operator's groups stand still after fewer
+STEPS = 8
+
 _GROUP = "lang IS NOT DISTINCT FROM {0}.lang AND source IS NOT DISTINCT FROM {0}.source"
 
 
@@ -56,7 +58,7 @@ def _distance(name: str, rows: str, estimate: str, join: str = "") -> list[str]:
         value = f"x{i} - m{i}" + "".join(f" - l{i}{k} * z{k}" for k in range(i))
         before = f"(SELECT *, ({value}) / l{i}{i} AS z{i} FROM {before})"
     d2 = " + ".join(f"z{i} * z{i}" for i in range(P))
-    steps.append(f"{name} AS (SELECT *, {d2} AS d2 FROM {before})")
+    steps.append(f"{name} AS MATERIALIZED (SELECT *, {d2} AS d2 FROM {before})")
     return steps
 
 
@@ -104,7 +106,7 @@ def oracle() -> str:
         f"pow((x{i} - t{i} / 1000) / greatest(s{i}.top * 0.0014826, {FLOORS[i]!r}), 2)" for i in range(P)
     )
     parts.append(f"d0 AS (SELECT v.lang, v.source, x0, x1, x2, x3, 0.0 + {far} AS d2 FROM centred v{join})")
-    share, scale = 0.5, _consistency(0.5)
+    share, scale = HALF, _consistency(HALF)
     for k in range(STEPS + 1):
         parts.append(_border(f"b{k}", f"d{k}", _bin("d2"), share))
         near = _GROUP.format("b").replace(" AND ", " AND d.")
@@ -113,7 +115,6 @@ def oracle() -> str:
         )
         parts += _estimate(f"e{k}", f"n{k}", scale)
         parts += _distance(f"d{k + 1}", "vectors", f"e{k}")
-        share, scale = COVERAGE, _consistency(COVERAGE)
     parts.append(f"inside AS (SELECT * FROM d{STEPS + 1} WHERE d2 <= {chi2_quantile(0.975, P)!r})")
     parts += _estimate("final", "inside", _consistency(0.975))
     parts += _distance("scored", "judged", "final", "LEFT")
