@@ -16,6 +16,8 @@ from tillroll.llm.common import documents, prepare
 from tillroll.plans.staging import stage
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
+#: short texts may be clean: only the other rules judge them
+MIN_WORDS = 1
 
 
 def _measured(docs: DataFrame) -> DataFrame:
@@ -29,13 +31,13 @@ def _measured(docs: DataFrame) -> DataFrame:
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts that fail a base rule, or lie far outside their language and source, go."""
     prepare(spark)
-    return quality.keep_quality(docs)
+    return quality.keep_quality(docs, min_words=MIN_WORDS)
 
 
 def drop_boilerplate_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines on too many pages of a source go; documents stay. Copies are one page."""
     prepare(spark)
-    return _measured(line_dedup.drop_boilerplate(docs, distinct=True))
+    return _measured(line_dedup.drop_boilerplate(docs))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
