@@ -46,56 +46,61 @@ def tokens_of(text: str | None) -> list[bytes]:
 class Automaton:
     """The states and arcs that the n-grams of one chunk reach. State 0 is the root.
 
-    ``arcs`` maps state * words + word to an arc's number; ``weight`` and ``target`` are by arc,
-    ``fail`` and ``backoff`` by state. ``unseen`` is the root's weight for words never seen.
+    By state: ``fail`` (the state of its longest suffix), ``backoff`` and ``depth`` (its words). By
+    arc: ``weight`` and ``target``. ``arcs[d]`` has, for every token, the arc that reads it from
+    the state of the ``d`` words before it, or -1. ``unseen`` is the root's weight for words never
+    seen.
     """
 
     def __init__(self, chunk: Chunk, floor: int, discount: float):
         order = len(chunk.names)
-        self.words = max(1, len(chunk.names[0]))
         self.unseen = -math.log10(floor)
-        chance = chunk.chances(floor, discount)
         # states of every level, in order; an n-gram that is not kept has none
-        state, size = [], 1
-        for counts in chunk.counts[: order - 1]:
+        state, depth, size = [], [np.zeros(1, np.int8)], 1
+        for k, counts in enumerate(chunk.counts[: order - 1]):
             kept = counts > 0
             state.append(np.where(kept, size + np.cumsum(kept) - 1, 0))
-            size += int(kept.sum())
+            depth.append(np.full(int(kept.sum()), k + 1, np.int8))
+            size += len(depth[-1])
         fail, backoff = np.zeros(size, np.int64), np.zeros(size)
-        keys, weights, targets = [], [], []
+        weights, targets, self.arcs, arcs = [], [], [], 0
         for k, counts in enumerate(chunk.counts):
             kept = np.flatnonzero(counts > 0)
-            below = state[k - 1] if k else None
-            source = below[chunk.context(k)[kept]] if k else np.zeros(len(kept), np.int64)
-            suffix = below[chunk.suffix(k)[kept]] if k else np.zeros(len(kept), np.int64)
+            suffix = state[k - 1][chunk.suffix(k)[kept]] if k else np.zeros(len(kept), np.int64)
             if k < order - 1:
                 own = state[k][kept]
                 fail[own], backoff[own] = suffix, chunk.backoff[k][kept]
             else:
                 own = suffix
-            keys.append(source * self.words + chunk.ids[chunk.first[k][kept]])
-            weights.append(np.log10(chance[k][kept]))
+            # one number more: tokens that end no n-gram of this length (-1) have no arc
+            number = np.full(len(counts) + 1, -1, np.int64)
+            number[kept] = arcs + np.arange(len(kept))
+            self.arcs.append(number[chunk.at[k]])
+            arcs += len(kept)
+            weights.append(np.log10(chunk.chance(k, kept, floor, discount)))
             targets.append(own)
         self.fail, self.backoff = fail.tolist(), backoff.tolist()
+        self.depth = np.concatenate(depth).tolist()
         self.weight, self.target = np.concatenate(weights).tolist(), np.concatenate(targets).tolist()
-        self.arcs = dict(zip(np.concatenate(keys).tolist(), range(len(self.weight))))
 
-    def walk(self, words: list[int]) -> float:
-        """log10 probability of a text."""
-        total, state = 0.0, 0
-        arc_of, size, backoff, fail = self.arcs.get, self.words, self.backoff, self.fail
+    def walk(self, first: int, last: int) -> float:
+        """log10 probability of the text of tokens ``first`` to ``last``, from left to right."""
+        total, state, depth = 0.0, 0, 0
+        backoff, fail, depths = self.backoff, self.fail, self.depth
         weight, target, unseen = self.weight, self.target, self.unseen
-        for w in words:
-            arc = arc_of(state * size + w)
-            while arc is None and state:
+        for arcs in zip(*(a[first:last].tolist() for a in self.arcs)):
+            arc = arcs[depth]
+            while arc < 0 and depth:
                 total += backoff[state]
                 state = fail[state]
-                arc = arc_of(state * size + w)
-            if arc is None:
+                depth -= 1
+                arc = arcs[depth]
+            if arc < 0:
                 total += unseen
             else:
                 total += weight[arc]
                 state = target[arc]
+                depth = depths[state]
         return total
 
 
@@ -127,8 +132,7 @@ def score(
                 starts = ends - chunk.sizes
                 known = (chunk.counts[0] > 0)[chunk.ids]
                 base = np.log10((chunk.counts[0] + 1) / floor)[chunk.ids]
-                ids = chunk.ids.tolist()
-                total = [automaton.walk(ids[a:b]) for a, b in zip(starts.tolist(), ends.tolist())]
+                total = [automaton.walk(a, b) for a, b in zip(starts.tolist(), ends.tolist())]
                 parts.append(pa.table({
                     "kept": kept.values,
                     "n_tokens": pa.array(chunk.sizes, pa.int64()),

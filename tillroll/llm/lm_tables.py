@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from tillroll.llm.tokens import slices
 from tillroll.plans.staging import stage
 
-_CHUNK = 8 << 20
+_CHUNK = 16 << 20
 _SLICE = 1 << 20
 #: buckets for every so many chunks: a bucket holds some ten megabytes of names
 _GROUP, _BUCKETS = 256, 64
@@ -50,24 +50,30 @@ def _unframe(data: bytes) -> list[bytes]:
 
 
 def _pack_names(names: np.ndarray) -> bytes:
-    """Sorted 64-bit names as the bytes that their gaps need."""
+    """Sorted 64-bit names as the bytes that their gaps need; the uppermost is compressed."""
     if not len(names):
         return b""
     gaps = np.diff(names)
     width = (int(gaps.max(initial=0)).bit_length() + 7) // 8
-    body = gaps.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width]
-    return np.array([width], np.uint8).tobytes() + names[:1].astype("<u8").tobytes() + body.tobytes()
+    body = gaps.astype("<u8").view(np.uint8).reshape(-1, 8)
+    head = np.array([width], np.uint8).tobytes() + names[:1].astype("<u8").tobytes()
+    if not width:  # a single name, as names differ
+        return head
+    low, top = body[:, : width - 1].tobytes(), body[:, width - 1].tobytes()
+    return head + np.array([len(gaps)], "<u4").tobytes() + low + zstandard.compress(top, 1)
 
 
 def _unpack_names(data: bytes) -> np.ndarray:
     if not data:
         return np.zeros(0, np.uint64)
     width, first = data[0], np.frombuffer(data, "<u8", 1, 1)
-    if not width:  # a single name, as names differ
+    if not width:
         return first.copy()
-    body = np.frombuffer(data, np.uint8, offset=9).reshape(-1, width)
-    gaps = np.zeros((len(body), 8), np.uint8)
-    gaps[:, :width] = body
+    n = int(np.frombuffer(data, "<u4", 1, 9)[0])
+    gaps = np.zeros((n, 8), np.uint8)
+    gaps[:, : width - 1] = np.frombuffer(data, np.uint8, n * (width - 1), 13).reshape(n, width - 1)
+    top = zstandard.decompress(data[13 + n * (width - 1) :])
+    gaps[:, width - 1] = np.frombuffer(top, np.uint8)
     return np.cumsum(np.concatenate([first, gaps.view("<u8").ravel()]), dtype=np.uint64)
 
 
@@ -173,7 +179,8 @@ class Chunk:
     @classmethod
     def read(cls, data: bytes, order: int) -> Chunk:
         packed, ids, sizes, train = _unframe(data)
-        words, ids, sizes = _unpack_names(packed), _unpack_counts(ids), _unpack_counts(sizes)
+        words, sizes = _unpack_names(packed), _unpack_counts(sizes)
+        ids = _unpack_counts(ids).astype(np.int32)
         ends = np.cumsum(sizes)
         place = np.arange(len(ids)) - np.repeat(ends - sizes, sizes)
         names, at, gram = [words], [ids], words[ids]
@@ -184,33 +191,28 @@ class Chunk:
             gram ^= gram >> np.uint64(29)
             inside = np.flatnonzero(place >= k)
             own, inverse = np.unique(gram[inside], return_inverse=True)
-            where = np.full(len(ids), -1, np.int64)
+            where = np.full(len(ids), -1, np.int32)
             where[inside] = inverse
             names.append(own)
             at.append(where)
         first = []
         for own, where in zip(names, at):
-            token = np.zeros(len(own), np.int64)
+            token = np.zeros(len(own), np.int32)
             inside = np.flatnonzero(where >= 0)
             token[where[inside]] = inside
             first.append(token)
         return cls(sizes, _unpack_bits(train, len(sizes)), ids, names, at, first)
 
-    def context(self, k: int) -> np.ndarray:
-        """Of every n-gram of level ``k`` (from 1) the number of its context, a level lower."""
-        return self.at[k - 1][self.first[k] - 1]
-
     def suffix(self, k: int) -> np.ndarray:
+        """Of every n-gram of level ``k`` (from 0) the number of it without its first word."""
         return self.at[k - 1][self.first[k]]
 
-    def chances(self, floor: int, discount: float) -> list[np.ndarray]:
-        """Probability of every n-gram after its context; 0 where it is not kept."""
-        found = [(self.counts[0] + 1) / floor]
-        for k in range(1, len(self.names)):
-            n = self.counts[k]
-            times = np.maximum(self.counts[k - 1][self.context(k)], 1)
-            found.append(np.where(n > 0, (n - discount) / times, 0.0))
-        return found
+    def chance(self, k: int, some: np.ndarray, floor: int, discount: float) -> np.ndarray:
+        """Probability of kept n-grams of level ``k`` after their contexts."""
+        if not k:
+            return (self.counts[0][some] + 1) / floor
+        context = self.at[k - 1][self.first[k][some] - 1]
+        return (self.counts[k][some] - discount) / self.counts[k - 1][context]
 
 
 def _edges(buckets: int) -> np.ndarray:
@@ -333,13 +335,13 @@ def _ask_backoff(pairs, order: int, buckets: int, floor: int, discount: float) -
         for number, data in zip(chunks.column("chunk").to_pylist(), chunks.column("data")):
             chunk = Chunk.read(data.as_py(), order)
             _learn_counts(chunk, _answered(answers, 0))
-            chance = chunk.chances(floor, discount)
             parts: list[list[bytes]] = [[] for _ in range(buckets)]
             for k in range(order - 1):
                 mine = np.flatnonzero(chunk.own[k + 1])
-                context, size = chunk.context(k + 1)[mine], len(chunk.names[k])
-                given = np.bincount(context, chance[k + 1][mine], size)
-                below = np.bincount(context, chance[k][chunk.suffix(k + 1)[mine]], size)
+                ends, size = chunk.first[k + 1][mine], len(chunk.names[k])
+                context, suffix = chunk.at[k][ends - 1], chunk.at[k][ends]
+                given = np.bincount(context, chunk.chance(k + 1, mine, floor, discount), size)
+                below = np.bincount(context, chunk.chance(k, suffix, floor, discount), size)
                 asked = _contexts(chunk, k)
                 names, told = chunk.names[k][asked], given[asked] > 0
                 cuts = _slices(names, buckets)
