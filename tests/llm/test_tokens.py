@@ -173,7 +173,7 @@ def test_every_state_sums_to_one(corpus):
         chunk = lm_tables.told(chunks.column("data")[0].as_py(), answers, 3)
         own = lm.Automaton(chunk, floor, 0.5)
         assert len(own.fail) > 100 and max(own.depth) == 2
-        words, arcs, of = len(chunk.names[0]), {}, {(): 0}
+        words, arcs, of = len(chunk.counts[0]), {}, {(): 0}
         for d, numbers in enumerate(own.arcs):  # arcs by state and word
             for i, arc in enumerate(numbers.tolist()):
                 if arc >= 0:

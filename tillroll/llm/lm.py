@@ -20,6 +20,7 @@ read, and a kept column named like a result gets ``_in`` behind its name.
 from __future__ import annotations
 
 import math
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -53,7 +54,7 @@ class Automaton:
     """
 
     def __init__(self, chunk: Chunk, floor: int, discount: float):
-        order = len(chunk.names)
+        order = len(chunk.counts)
         self.unseen = -math.log10(floor)
         # states of every level, in order; an n-gram that is not kept has none
         state, depth, size = [], [np.zeros(1, np.int8)], 1
@@ -73,15 +74,17 @@ class Automaton:
             else:
                 own = suffix
             # one number more: tokens that end no n-gram of this length (-1) have no arc
-            number = np.full(len(counts) + 1, -1, np.int64)
+            number = np.full(len(counts) + 1, -1, np.int32)
             number[kept] = arcs + np.arange(len(kept))
             self.arcs.append(number[chunk.at[k]])
             arcs += len(kept)
             weights.append(np.log10(chunk.chance(k, kept, floor, discount)))
             targets.append(own)
-        self.fail, self.backoff = fail.tolist(), backoff.tolist()
-        self.depth = np.concatenate(depth).tolist()
-        self.weight, self.target = np.concatenate(weights).tolist(), np.concatenate(targets).tolist()
+        # arrays of plain numbers: a list would hold an object for each
+        self.fail, self.backoff = array("q", fail.tobytes()), array("d", backoff.tobytes())
+        self.depth = array("b", np.concatenate(depth).tobytes())
+        self.weight = array("d", np.concatenate(weights).tobytes())
+        self.target = array("q", np.concatenate(targets).astype(np.int64).tobytes())
 
     def walk(self, first: int, last: int) -> float:
         """log10 probability of the text of tokens ``first`` to ``last``, from left to right."""

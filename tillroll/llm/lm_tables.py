@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from tillroll.llm.tokens import slices
 from tillroll.plans.staging import stage
 
-_CHUNK = 16 << 20
+_CHUNK = 14 << 20
 _SLICE = 1 << 20
 #: buckets for every so many chunks: a bucket holds some ten megabytes of names
 _GROUP, _BUCKETS = 256, 64
@@ -420,6 +420,7 @@ def told(data: bytes, answers: pa.Table, order: int) -> Chunk:
     chunk = Chunk.read(data, order)
     _learn_counts(chunk, _answered(answers, 0))
     _learn_backoff(chunk, _answered(answers, 1))
+    chunk.names, chunk.own = [], []  # not needed any more
     return chunk
 
 
