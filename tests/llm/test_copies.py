@@ -172,3 +172,26 @@ def test_empty_tables(empty):
     assert suffixes.remove_repeats(empty).count() == 0
     assert simhash.near_duplicates(empty).count() == 0 and simhash.keep_one(empty).count() == 0
     assert phrases.with_fingerprints(empty).count() == 0
+
+
+def test_a_text_that_repeats_itself_is_collapsed_before_the_shuffle(spark):
+    """A hot passage in few documents: exact, and no bucket holds all of it."""
+    rng = random.Random(3)
+    hot = "the very same passage of words " * 3000
+    rows = [(1, hot, "en", "s", 1), (2, "x" + hot, "en", "s", 1)]
+    rows += [(10 + i, cases.prose(rng, 150), "en", "s", 1) for i in range(60)]
+    df = cases.table(spark, rows).repartition(4)
+    none = np.zeros((0, 4), np.uint64)
+    made = suffixes._run_suffixes(suffixes.numbered(df, "doc_id", "text"), none, 400).toPandas()
+    still = made[made.known != suffixes._DONE]
+    assert len(made) > 2000 and still.groupby(["t0", "t1"]).size().max() <= 4  # one per task
+    got = {r.doc_id: r.n_removed for r in suffixes.remove_repeats(df).collect()}
+    assert got[1] == len(hot) and got[2] >= len(hot) and not any(got[10 + i] for i in range(60))
+
+
+def test_buckets_of_suffixes_equal_to_splitters():
+    rng = np.random.default_rng(5)
+    tokens = [rng.integers(0, 3, 500).astype(np.uint64) for _ in range(4)]
+    splitters = np.unique(np.stack([t[:40] for t in tokens], axis=1), axis=0)
+    want = [sum(tuple(s) < own for s in splitters.tolist()) for own in zip(*(t.tolist() for t in tokens))]
+    assert suffixes._bucket_of(splitters, tokens).tolist() == want

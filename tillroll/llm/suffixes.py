@@ -159,32 +159,44 @@ def _bucket_of(splitters: np.ndarray, tokens: list[np.ndarray]) -> np.ndarray:
         return np.zeros(len(tokens[0]), np.int64)
     leading = splitters[:, 0]
     bucket = np.searchsorted(leading, tokens[0], "left")
-    upto = np.searchsorted(leading, tokens[0], "right")
-    keys = [tuple(s) for s in splitters.tolist()]
-    for i in np.flatnonzero(upto > bucket):
-        own = tuple(int(t[i]) for t in tokens)
-        while bucket[i] < upto[i] and keys[bucket[i]] < own:
-            bucket[i] += 1
+    alike = np.flatnonzero(np.searchsorted(leading, tokens[0], "right") > bucket)
+    if len(alike):  # the leading token decides nothing: sort them among the splitters
+        both = [np.concatenate([t[alike], s]) for t, s in zip(tokens, splitters.T)]
+        is_splitter = np.arange(len(both[0])) >= len(alike)
+        order = np.lexsort([is_splitter, *both[::-1]])
+        below = np.empty(len(order), np.int64)
+        below[order] = np.cumsum(is_splitter[order])
+        bucket[alike] = below[: len(alike)]
     return bucket
 
 
-_KINDS = "bucket int, t0 bigint, t1 bigint, row bigint, start bigint, n bigint"
+_KINDS = "bucket int, t0 bigint, t1 bigint, row bigint, start bigint, n bigint, known int"
+#: what the task that made a suffix knows: nothing; that it is repeated; that, and that another
+#: suffix of the task stands for it
+_OPEN, _REPEATED, _DONE = 0, 1, 2
 
 
-def _suffix_batch(splitters, t0, t1, row, start, n) -> pa.RecordBatch:
+def _suffix_batch(splitters, t0, t1, row, start, n, known=None) -> pa.RecordBatch:
     tokens = [t0, t1, row.astype(np.uint64), start.astype(np.uint64)]
     bucket = _bucket_of(splitters, tokens)
+    if known is None:
+        known = np.full(len(t0), _OPEN)
+    else:  # those done only pass through, anywhere
+        done = known == _DONE
+        bucket[done] = ((row[done] * 31 + start[done]) % (len(splitters) + 1)).astype(np.int64)
     return pa.RecordBatch.from_arrays(
         [pa.array(bucket.astype(np.int32)), pa.array(t0.view(np.int64)), pa.array(t1.view(np.int64)),
-         pa.array(row.astype(np.int64)), pa.array(start.astype(np.int64)), pa.array(n.astype(np.int64))],
-        names=["bucket", "t0", "t1", "row", "start", "n"],
+         pa.array(row.astype(np.int64)), pa.array(start.astype(np.int64)),
+         pa.array(n.astype(np.int64)), pa.array(known.astype(np.int32))],
+        names=["bucket", "t0", "t1", "row", "start", "n", "known"],
     )
 
 
 def _splitters(sampled: DataFrame, parts: int) -> np.ndarray:
     """``parts`` - 1 splitters (t0, t1, row, start) from a bounded random choice of suffixes."""
     chosen = (
-        sampled.select("t0", "t1", "row", "start")
+        sampled.filter(F.col("known") != _DONE)
+        .select("t0", "t1", "row", "start")
         .orderBy(F.xxhash64("row", "start"))
         .limit(32 * parts)
         .toArrow()
@@ -206,12 +218,23 @@ def _buckets(suffixes: DataFrame, splitters: np.ndarray, judge, kinds: str) -> D
             return
         table = pa.Table.from_batches(held).combine_chunks()
         bucket = table.column("bucket")[0].as_py()
+        known = table.column("known").to_numpy()
         columns = [table.column(c).to_numpy() for c in ("t0", "t1", "row", "start", "n")]
+        if (known == _DONE).any():
+            row, start, n = (c[known == _DONE] for c in columns[2:])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(row), pa.array(start), pa.array(n), pa.array(np.full(len(row), SPAN), pa.int32())],
+                names=["row", "start", "n", "what"],
+            )
+        columns, known = [c[known != _DONE] for c in columns], known[known != _DONE]
+        if not len(known):
+            return
         tokens = [columns[0].view(np.uint64), columns[1].view(np.uint64)]
         order = multikey_order(tokens)
         before = splitters[bucket - 1] if bucket else None
         after = splitters[bucket] if bucket < len(splitters) else None
-        yield from judge([t[order] for t in tokens], [c[order] for c in columns[2:]], before, after)
+        columns = [c[order] for c in (*columns[2:], known)]
+        yield from judge([t[order] for t in tokens], columns, before, after)
 
     return ready.mapInArrow(run, kinds)
 
@@ -229,9 +252,16 @@ _RUNS = "row bigint, start bigint, n bigint, what int"
 
 
 def _judge_runs(tokens, columns, before, after) -> Iterator[pa.RecordBatch]:
-    """Repeated runs are spans; what shares their gram and is not repeated is loose."""
+    """Repeated runs are spans; what shares their gram and is not repeated is loose.
+
+    Of equal runs of one task only the first comes here: a text that repeats itself thousands of
+    times is one row, and the others pass through as the spans they are.
+    """
     gram, whole = _classes(tokens[:1]), _classes(tokens)
-    repeated = whole[1] > 1
+    *columns, known = columns
+    repeated = (whole[1] > 1) | (known == _REPEATED)
+    # one that its task found repeated says so for the whole class
+    repeated |= np.bincount(whole[0], known == _REPEATED)[whole[0]] > 0
     # a gram at the border of the bucket may go on in the next one
     edge = np.zeros(len(tokens[0]), bool)
     if before is not None:
@@ -281,7 +311,14 @@ def _run_suffixes(rows: DataFrame, splitters: np.ndarray, length: int) -> DataFr
             text, start, n, gram, name = runs_of(
                 np.frombuffer(b"".join(raw), np.uint8), ends, length
             )
-            yield _suffix_batch(splitters, gram, name, batch.column(0).to_numpy()[text], start, n)
+            known = np.full(len(gram), _OPEN)
+            order = np.lexsort((name, gram))
+            same = (np.diff(gram[order]) == 0) & (np.diff(name[order]) == 0)
+            known[order[1:][same]] = _DONE
+            known[order[:-1][same & ~np.append(False, same[:-1])]] = _REPEATED
+            yield _suffix_batch(
+                splitters, gram, name, batch.column(0).to_numpy()[text], start, n, known
+            )
 
     long = rows.filter(F.octet_length("text") >= length).select("row", "text")
     return long.mapInArrow(run, _KINDS)
