@@ -132,22 +132,99 @@ def test_components_of_a_long_chain(spark):
     assert len({r["root"] for r in found if r["node"] < 100}) == 1
 
 
+WORD = (1 << 64) - 1
+
+
+def scramble(x):
+    x = ((x ^ (x >> 30)) * 0xBF58476D1CE4E5B9) & WORD
+    x = ((x ^ (x >> 27)) * 0x94D049BB133111EB) & WORD
+    return x ^ (x >> 31)
+
+
+def plain_level(names):
+    """Runs, three coin tosses, phrases from each local maximum on: one name after another."""
+    merged = []
+    for name in names:
+        if merged and merged[-1][0] == name:
+            merged[-1][1] += 1
+        else:
+            merged.append([name, 1])
+    names = [scramble((n + 0x9E3779B97F4A7C15 * k) & WORD) if k > 1 else n for n, k in merged]
+    colours = names
+    for _ in range(3):
+        tossed = [colours[0] & 1]
+        for left, own in zip(colours, colours[1:]):
+            bit = ((left ^ own) & -(left ^ own)).bit_length() - 1 if left != own else 64
+            tossed.append(2 * (bit & 63) + (own >> (bit & 63) & 1))
+        colours = tossed
+    phrases_, last = [], len(names) - 1
+    for i, name in enumerate(names):
+        peak = 0 < i < last and colours[i - 1] < colours[i] >= colours[i + 1]
+        if i == 0 or peak:
+            phrases_.append([])
+        phrases_[-1].append(name)
+    return [
+        scramble(sum(scramble((n + 0x9E3779B97F4A7C15 * (i + 1)) & WORD) for i, n in enumerate(p)) & WORD)
+        for p in phrases_
+    ]
+
+
+def plain_fingerprint_of(text, slots=64):
+    least, names, level = [None] * slots, [ord(c) + 1 for c in text], 0
+    while names:
+        if level >= 2 or len(names) == 1:
+            for name in names:
+                value = scramble((name + level * 0xBF58476D1CE4E5B9) & WORD)
+                slot = value % slots
+                least[slot] = value if least[slot] is None else min(least[slot], value)
+        if len(names) == 1:
+            break
+        names, level = plain_level(names), level + 1
+    return [0 if v is None else (v >> 20) % 65535 + 1 for v in least]
+
+
+def plain_likeness(a, b):
+    filled = [(x, y) for x, y in zip(a, b) if x or y]
+    return sum(x == y for x, y in filled) / len(filled) if filled else 1.0
+
+
 def test_fingerprints(corpus):
+    """Against the parsing written out one name at a time."""
     rows = sorted(ALL, key=lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, r[1] or ""))
     texts = [r[1] or "" for r in rows]
     edited = [
         a[: len(a) - len(a) // 2] + b[: len(a) // 2] for a, b in zip(texts, texts[1:] + texts[:1])
     ]
-    own, other = phrases.short(phrases.sketches(texts)), phrases.short(phrases.sketches(edited))
-    follow = np.roll(own, -1, axis=0)
+    own, other = ([plain_fingerprint_of(t) for t in some] for some in (texts, edited))
+
+    def written(f):
+        return "".join(f"{x:04x}" for x in f)
+
     want = Counter(
-        (r[0], len(t), hashlib.sha256(e.encode()).hexdigest(), f.tobytes().hex(), g.tobytes().hex(), x, y)
-        for r, t, e, f, g, x, y in zip(
-            rows, texts, edited, own, other, phrases.likeness(own, other), phrases.likeness(own, follow))
-    )
+        (r[0], len(t), hashlib.sha256(e.encode()).hexdigest(), written(f), written(g),
+         plain_likeness(f, g), plain_likeness(f, h))
+        for r, t, e, f, g, h in zip(rows, texts, edited, own, other, own[1:] + own[:1])
+    )
     assert Counter(map(tuple, phrases.with_fingerprints(corpus).collect())) == want
 
 
+@pytest.mark.parametrize("n", [0, 1, 2, 17, 400])
+def test_every_id_finds_its_range(spark, n):
+    rng = random.Random(n)
+    rows = [(rng.choice([None, *range(0, 900, 3)]), f"text {i}", "en", "s", 1) for i in range(n)]
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "23")
+    try:
+        got = phrases.with_fingerprints(cases.table(spark, rows)).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    texts = [r[1] for r in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1]))]
+    edited = [a[: len(a) - len(a) // 2] + b[: len(a) // 2] for a, b in zip(texts, texts[1:] + texts[:1])]
+    assert Counter(r["edited_sha256"] for r in got) == Counter(
+        hashlib.sha256(e.encode()).hexdigest() for e in edited
+    )
+
+
 def test_shared_text_is_seen_at_any_offset():
     rng = random.Random(4)
     body = cases.prose(rng, 400)

@@ -13,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from tillroll.llm import langid, lm, lm_tables, packing, token_files
+from tillroll.llm import langid, lm, lm_tables, packing, token_files, tokens
 from tillroll.llm.common import fold_of
 from tillroll.plans.staging import new_path
 
@@ -128,6 +128,28 @@ def test_language_counts_are_exact(spark):
     assert total == len(grams("Abc d")) + len(grams("abc"))
 
 
+def test_other_vocabularies_follow_their_own_rules(spark, corpus):
+    import public_tokenizers
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    assert tokens.follows_word_rules(public_tokenizers.path("word_bpe_49k.json"))
+    assert not tokens.follows_word_rules(path)
+    folder = new_path(spark, "other-tokens")
+    token_files.write_tokens(corpus, folder, path, end=7)
+    got = Counter((r.doc_id, tuple(r.ids)) for r in token_files.read_tokens(spark, folder).collect())
+    own = Tokenizer.from_file(path)
+    assert got == Counter(
+        (r[0], (*own.encode(r[1] or "", add_special_tokens=False).ids, 7)) for r in ALL
+    )
+
+
+def test_files_go_by_task_number(spark):
+    rows = [(f"part-{n:05d}-x-c{c:03d}.zstd.parquet", 0, 10) for n in (99_999, 100_000, 3) for c in (0, 1)]
+    got = token_files.with_start(spark.createDataFrame(rows, "file string, row long, n_tokens long").withColumn("name", F.col("file")))
+    starts = {r["name"]: r["start"] for r in got.collect()}
+    assert [starts[f"part-{n:05d}-x-c{c:03d}.zstd.parquet"] for n in (3, 99_999, 100_000) for c in (0, 1)] == [0, 10, 20, 30, 40, 50]
+
+
 def test_no_training_text(spark, empty):
     docs = cases.table(spark, [(1, "abc", None, "s", 1)])
     held = F.lit(True)

@@ -19,26 +19,24 @@ one row alone is its own next; an empty table gives an empty table; other column
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tillroll.llm.common import partitions
 from tillroll.llm.tokens import slices
 
 SLOTS = 64
-LEVELS = 24
 TOSSES = 3
 FIRST_LEVEL = 2
 _SLICE = 128 << 10
 _EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
 _A, _B, _C = (np.uint64(x) for x in (0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0x9E3779B97F4A7C15))
 
-_LEVEL_SALT = np.arange(LEVELS + 1, dtype=np.uint64) * _A
-
 
 def _mix(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(30))) * _A
@@ -99,18 +97,19 @@ def sketches(texts: list[str], slots: int = SLOTS) -> np.ndarray:
     joined = "".join(texts).encode("utf-32-le", "surrogatepass")
     names = np.frombuffer(joined, "<u4").astype(np.uint64) + np.uint64(1)
     owner = np.repeat(np.arange(len(texts)), size)
-    for level in range(LEVELS + 1):
-        if not len(names):
-            break
+    level = 0
+    while len(names):  # a level at least halves what is longer than one name
         alone = _new(names, owner)
         alone &= np.append(alone[1:], True)  # the text is one name: its last level
         chosen = np.ones(len(names), bool) if level >= FIRST_LEVEL else alone
-        value = _mix(names[chosen] + _LEVEL_SALT[level])
+        salt = np.uint64(level * int(_A) & 0xFFFFFFFFFFFFFFFF)
+        value = _mix(names[chosen] + salt)
         slot = (value % np.uint64(slots)).astype(np.int64)
         np.minimum.at(table, owner[chosen] * slots + slot, value)
         names, owner = names[~alone], owner[~alone]
         if len(names):
             names, owner = next_level(names, owner)
+        level += 1
     return table.reshape(len(texts), slots)
 
 
@@ -173,12 +172,21 @@ def with_fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
     firsts = [r[0] for r in bounds.collect()]
     if not firsts:
         firsts = [None]
-    table = F.array(*(F.lit(f).cast(kind) for f in firsts))
     top = len(firsts) - 1
-    # the last range whose first id is not above the row's
-    below = F.size(F.filter(table, lambda f: f.isNull() | (f <= F.col("doc_id"))))
-    own = F.when(F.col("doc_id").isNull(), F.lit(0)).otherwise(below - 1).cast("int")
-    opens = F.exists(table, lambda f: f.eqNullSafe(F.col("doc_id")))
+    # the last range whose first id is not above the row's: first among every k-th border, then
+    # among the k - 1 behind it
+    k = max(1, math.isqrt(len(firsts)))
+    borders = [F.lit(f).cast(kind) for f in firsts]
+    coarse, table = F.array(*borders[::k]), F.array(*borders)
+
+    def below(some: Column) -> Column:
+        return F.size(F.filter(some, lambda f: f.isNull() | (f <= F.col("doc_id"))))
+
+    block = F.greatest(below(coarse) - 1, F.lit(0)) * k
+    inside = F.slice(table, block + 1, F.lit(k))
+    place = F.greatest(block + below(inside) - 1, F.lit(0))
+    own = F.when(F.col("doc_id").isNull(), F.lit(0)).otherwise(place).cast("int")
+    opens = F.get(table, own).eqNullSafe(F.col("doc_id"))
     before = F.when(own == 0, top).otherwise(own - 1).cast("int")
     here = F.struct(own.alias("part"), F.lit(False).alias("extra"))
     there = F.struct(before.alias("part"), F.lit(True).alias("extra"))

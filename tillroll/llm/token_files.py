@@ -90,9 +90,14 @@ def _place() -> list[Column]:
 
 
 def with_start(rows: DataFrame) -> DataFrame:
-    """Replace (file, row) by ``start``, the ids of all documents before; one file is one range."""
+    """Replace (file, row) by ``start``, the ids of all documents before.
+
+    One file is one range. Files go by the number of the task in their name, which has five
+    digits or more, so names as such do not sort.
+    """
     per_file = rows.groupBy("file").agg(F.sum("n_tokens").alias("in_file"))
-    ahead = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
+    task = F.regexp_extract("file", r"^part-(\d+)", 1).cast("bigint")
+    ahead = Window.orderBy(task, "file").rowsBetween(Window.unboundedPreceding, -1)
     before = per_file.select(
         F.col("file").alias("of_file"), F.coalesce(F.sum("in_file").over(ahead), F.lit(0)).alias("before")
     )

@@ -1,11 +1,13 @@
 """Token ids of whole texts inside Spark tasks, with the `tokenizers` library.
 
-The vocabulary drops white space, so a text's ids are those of its words in turn: each distinct
-word is encoded once per cache life and looked up after that.
+A file that drops white space, lowers case and splits as ``_WORD_RULES`` say gives a text the ids of
+its words in turn: each distinct word is encoded once per cache life and looked up after that. Any
+other file encodes whole texts.
 """
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
 from array import array
@@ -43,8 +45,54 @@ def _lower(texts: pa.Array) -> pa.Array:
     )
 
 
+# The rules of a tokenizers file that `WordEncoder` follows.
+_WORD_RULES = {
+    "normalizer": {
+        "type": "Sequence",
+        "normalizers": [
+            {"type": "NFC"},
+            {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "},
+            {"type": "Lowercase"},
+        ],
+    },
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {
+                "type": "Split",
+                "pattern": {
+                    "Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+                },
+                "behavior": "Removed",
+                "invert": True,
+            },
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+}
+
+
+class TextEncoder:
+    """Encodes whole texts by whatever rules the tokenizers file has."""
+
+    def __init__(self, path: str):
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.no_truncation()
+        self.tokenizer.no_padding()
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All ids (unsigned 32-bit, little-endian) and each text's first position in them."""
+        written = pc.fill_null(texts.cast(pa.large_string()), "").to_pylist()
+        coded = self.tokenizer.encode_batch(written, add_special_tokens=False)
+        lists = [np.array(c.ids, "<u4") for c in coded]
+        starts = np.concatenate(([0], np.cumsum([len(x) for x in lists], dtype=np.int64)))
+        return np.concatenate([np.zeros(0, "<u4"), *lists]), starts
+
+
 class WordEncoder:
-    """Encodes texts word by word; ``path`` is a tokenizers file that splits at white space."""
+    """Encodes texts word by word; ``path`` is a tokenizers file of ``_WORD_RULES``."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -107,9 +155,19 @@ class WordEncoder:
         return place
 
 
+def follows_word_rules(path: str) -> bool:
+    with open(path, encoding="utf-8") as file:
+        spec = json.load(file)
+    model = spec["model"]
+    plain = not (model.get("unk_token") or model.get("continuing_subword_prefix") or model.get("dropout"))
+    marks = all(t["content"].startswith("<|") for t in spec["added_tokens"])
+    same = all(spec.get(part) == rules for part, rules in _WORD_RULES.items())
+    return same and marks and plain and model["type"] == "BPE"
+
+
 @lru_cache(maxsize=1)
-def encoder(path: str) -> WordEncoder:
-    return WordEncoder(path)
+def encoder(path: str) -> WordEncoder | TextEncoder:
+    return WordEncoder(path) if follows_word_rules(path) else TextEncoder(path)
 
 
 def slices(
