@@ -157,3 +157,20 @@ def test_sample_is_repeatable(spark):
     assert first == again and len(first) == 10
     other = sorted(r.customer_id for r in reports.rfm_sample(scores, 10, seed=8).collect())
     assert other != first
+
+
+def test_absent_values_do_not_stand_for_each_other(spark):
+    """Fingerprints of lines whose values differ only in where they are missing."""
+    rows = [
+        ("5", "X", None, 1, "2011-01-01 10:00", 1.0, None, "France"),
+        ("5", "X", "X", 1, "2011-01-01 10:00", 1.0, None, "France"),
+        ("5", None, "X", 1, "2011-01-01 10:00", 1.0, None, "France"),
+        ("5", None, "X", 1, "2011-01-01 10:00", 1.0, None, "France"),
+        (None, "5", "X", 1, "2011-01-01 10:00", 1.0, None, "France"),
+    ]
+    headers = FIRST_HEADERS.rsplit(",", 1)[0]
+    raw = feed.ingest([("s", spark.createDataFrame(rows, headers))])
+    assert tuple(audit.duplicate_counts(raw).first()) == (1, 2)
+    found = audit.conflicting_duplicates(raw).collect()
+    assert {(r.stock_code, r.description) for r in found} == {("X", None), ("X", "X")}
+    assert len(found) == 2

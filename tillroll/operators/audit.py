@@ -7,13 +7,13 @@ only trimmed or cased where an audit says so.
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tillroll.functions import columns as C
 from tillroll.operators.scale import most_common
+from tillroll.plans.staging import stage
 from tillroll.rules import BUSINESS_KEY
 from tillroll.schema import MONEY, RAW_COLUMNS
 from tillroll.sources.feed import source_profile
@@ -47,16 +47,30 @@ def overlap_by_day(raw: DataFrame) -> DataFrame:
     )
 
 
+def _fingerprint(names: Sequence[str]) -> Column:
+    """128 bits that stand for the values of a line, absent ones included."""
+    absent = [F.col(n).isNull() for n in names]
+    return F.struct(
+        F.xxhash64(*names, *absent).alias("a"), F.xxhash64(F.lit(1), *names, *absent).alias("b")
+    )
+
+
 def _copies(raw: DataFrame) -> DataFrame:
-    """One row per distinct raw line with its number of copies."""
-    return raw.groupBy(*RAW_COLUMNS).agg(F.count("*").alias("copies"))
+    """(key, line, copies): fingerprints of business key and whole line, one row per distinct line.
+
+    Fingerprints travel, not lines.
+    """
+    marked = raw.select(
+        _fingerprint(BUSINESS_KEY).alias("key"), _fingerprint(RAW_COLUMNS).alias("line")
+    )
+    return marked.groupBy("key", "line").agg(F.count("*").alias("copies"))
 
 
 def duplicate_counts(raw: DataFrame) -> DataFrame:
     """Extra copies by all columns and by business key (N3). Nulls are equal."""
     per_key = (
         _copies(raw)
-        .groupBy(*BUSINESS_KEY)
+        .groupBy("key")
         .agg(F.sum("copies").alias("lines"), F.sum(F.col("copies") - 1).alias("extra"))
     )
     return per_key.agg(
@@ -66,18 +80,18 @@ def duplicate_counts(raw: DataFrame) -> DataFrame:
 
 
 def conflicting_duplicates(raw: DataFrame) -> DataFrame:
-    """Lines that share a business key with others but have no exact copy."""
-    copies = _copies(raw)
-    shared = (
-        copies.groupBy(*BUSINESS_KEY)
-        .agg(F.sum("copies").alias("lines"))
-        .filter("lines > 1")
-        .drop("lines")
-    )
-    single = copies.filter("copies = 1").drop("copies").alias("l")
-    # a semi join's left side may be cut: adaptive execution splits a key it finds skewed
-    same = [F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}")) for k in BUSINESS_KEY]
-    return single.join(shared.alias("r"), reduce(Column.__and__, same), "left_semi")
+    """Lines that share a business key with others but have no exact copy.
+
+    Fingerprints tell which lines those are: lines seen once under a key seen more often. Only
+    their fingerprints, staged, meet the lines, each of them one line at most. Keys with more
+    lines are found per key by two sums, so no key is gathered.
+    """
+    copies = stage(_copies(raw), "line-copies")
+    shared = copies.groupBy("key").agg(F.sum("copies").alias("lines")).filter("lines > 1")
+    single = copies.filter("copies = 1").join(shared, "key", "left_semi")
+    wanted = stage(single.select("line"), "conflicting-lines")
+    marked = raw.select(*RAW_COLUMNS, _fingerprint(RAW_COLUMNS).alias("line"))
+    return marked.join(wanted, "line", "left_semi").select(*RAW_COLUMNS)
 
 
 def negative_split(raw: DataFrame) -> DataFrame:
