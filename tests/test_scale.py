@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tillroll.operators.scale import (
     compact_quantiles,
+    distinct_rollup,
     exact_quantiles,
     most_common,
     running_total,
@@ -111,3 +112,34 @@ def test_salts_spread_a_hot_key(spark):
     joined = salted_left_join(left, right, ["k"], spread=["id"])
     plan = joined._jdf.queryExecution().optimizedPlan().toString()
     assert "_salt" in plan and joined.filter("v = 1").count() == 1000
+
+
+def test_distinct_rollup_equals_distinct_counts(spark):
+    """Orders of several customers and groups, a hot customer, guests, absent orders."""
+    rng = random.Random(12)
+    rows = [
+        (rng.choice("abc") if rng.random() < 0.95 else None,
+         f"o{rng.randrange(60)}" if rng.random() < 0.97 else None,
+         1 if rng.random() < 0.4 else rng.choice([None, *range(2, 30)]),
+         Decimal(rng.randrange(100)), rng.randrange(9))
+        for _ in range(900)
+    ]
+    df = spark.createDataFrame(rows, "g string, invoice_no string, customer_id long, m decimal(9,2), d int")
+    found = distinct_rollup(df.repartition(5), ["g"], ["m"], ["d"])
+    plan = executed(found)
+    # dealt once by order, then summed per customer and per group
+    assert "Expand" not in plan and plan.count("Exchange hashpartitioning") == 3
+    plain = df.groupBy("g").agg(
+        F.sum("m").alias("m"), F.min("d").alias("d"), F.count_distinct("invoice_no").alias("orders"),
+        F.count_distinct("customer_id").alias("customers"),
+    )
+    per = df.filter("customer_id IS NOT NULL").groupBy("g", "customer_id").agg(F.count_distinct("invoice_no").alias("n"))
+    again = per.groupBy("g").agg(F.count_if(F.col("n") > 1).alias("repeaters"))
+    want = plain.join(again, plain.g.eqNullSafe(again.g)).select(plain.g, "m", "d", "orders", "customers", "repeaters")
+    assert sorted(map(tuple, found.collect()), key=repr) == sorted(map(tuple, want.collect()), key=repr)
+    whole = distinct_rollup(df, [], ["m"]).first()
+    assert (whole.orders, whole.customers) == tuple(
+        df.agg(F.count_distinct("invoice_no"), F.count_distinct("customer_id")).first()
+    )
+    none = distinct_rollup(df.limit(0), [], ["m"]).first()
+    assert (none.m, none.orders, none.customers) == (None, 0, 0)

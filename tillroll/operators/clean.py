@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from tillroll.functions import columns as C
-from tillroll.operators.scale import most_common, salted_left_join
+from tillroll.operators.scale import distinct_rollup, most_common, salted_left_join
 from tillroll.plans.staging import stage
 from tillroll.rules import BUSINESS_KEY, Rules
 from tillroll.schema import FACT_COLUMNS, MONEY
@@ -332,11 +332,12 @@ def fact_summary(fact: DataFrame) -> DataFrame:
         F.min("invoice_date").alias("first"),
         F.max("invoice_date").alias("last"),
     )
-    return per_invoice.agg(
-        F.sum("lines").alias("lines"),
-        C.dbl(F.sum("revenue")).alias("revenue"),
-        F.count_distinct("invoice_no").alias("invoices"),
-        F.count_distinct("customer_id").alias("customers"),
-        F.to_date(F.min("first")).alias("first_day"),
-        F.to_date(F.max("last")).alias("last_day"),
+    whole = distinct_rollup(per_invoice, [], ["lines", "revenue"], ["first"], ["last"])
+    return whole.select(
+        "lines",
+        C.dbl(F.col("revenue")).alias("revenue"),
+        F.col("orders").alias("invoices"),
+        "customers",
+        F.to_date("first").alias("first_day"),
+        F.to_date("last").alias("last_day"),
     )

@@ -18,6 +18,7 @@ from tillroll.operators import base
 from tillroll.operators.gaps import day_gap_counts
 from tillroll.operators.scale import (
     compact_quantiles,
+    distinct_rollup,
     most_common,
     running_total,
     share_of_total,
@@ -47,12 +48,7 @@ def monthly_kpi(ctx: Context, calendar_lag: bool = False) -> DataFrame:
     ``calendar_lag`` they look back one and twelve calendar months, which differs
     only where a month has no sales.
     """
-    active = ctx.orders.groupBy("month_start").agg(
-        F.sum("revenue").alias("revenue"),
-        F.count_distinct("invoice_no").alias("orders"),
-        F.count_distinct("customer_id").alias("customers"),
-        F.sum("units").alias("units"),
-    )
+    active = distinct_rollup(ctx.orders, ["month_start"], ["revenue", "units"])
     joined = (
         ctx.known_orders.groupBy("customer_id")
         .agg(F.min("month_start").alias("month_start"))
@@ -228,16 +224,11 @@ def purchase_gaps(ctx: Context) -> DataFrame:
 
 
 # ---------------------------------------------------------------- places
-def repeat_rates(orders: DataFrame) -> DataFrame:
-    """Share of a country's known customers with more than one order there."""
-    per_customer = (
-        orders.filter("customer_id IS NOT NULL")
-        .groupBy("country", "customer_id")
-        .agg(F.count_distinct("invoice_no").alias("_orders"))
-    )
-    return per_customer.groupBy("country").agg(
-        C.ratio(F.count_if(F.col("_orders") > 1), F.count("*")).alias("repeat_rate")
-    )
+def by_country(orders: DataFrame) -> DataFrame:
+    """Per country: revenue, orders, customers and the share of them with more than one order
+    there; null for a country of guests only."""
+    rate = C.ratio(F.col("repeaters"), F.col("customers"))
+    return distinct_rollup(orders, ["country"], ["revenue"]).withColumn("repeat_rate", rate)
 
 
 def country_stats(ctx: Context) -> DataFrame:
@@ -246,12 +237,7 @@ def country_stats(ctx: Context) -> DataFrame:
     Countries with guests only have no repeat rate: they get no row and do not
     count in the share's total. ``Slice.country_rollup`` keeps them.
     """
-    per_country = ctx.orders.groupBy("country").agg(
-        F.sum("revenue").alias("revenue"),
-        F.count_distinct("invoice_no").alias("orders"),
-        F.count_distinct("customer_id").alias("customers"),
-    )
-    listed = per_country.join(repeat_rates(ctx.orders), "country")
+    listed = by_country(ctx.orders).filter("customers > 0 AND country IS NOT NULL")
     return listed.select(
         "country",
         _money("revenue"),
@@ -265,38 +251,25 @@ def country_stats(ctx: Context) -> DataFrame:
 
 def region_stats(ctx: Context) -> DataFrame:
     """Turnover by market group and month."""
-    return (
-        base.with_market_group(ctx.orders, ctx.rules)
-        .groupBy("region", "month_start")
-        .agg(
-            F.sum("revenue").alias("revenue"),
-            F.count_distinct("invoice_no").alias("orders"),
-            F.count_distinct("customer_id").alias("customers"),
-        )
-        .select(
-            "region",
-            C.month_label(F.col("month_start")).alias("month"),
-            _money("revenue"),
-            "orders",
-            "customers",
-        )
+    orders = base.with_market_group(ctx.orders, ctx.rules)
+    return distinct_rollup(orders, ["region", "month_start"], ["revenue"]).select(
+        "region",
+        C.month_label(F.col("month_start")).alias("month"),
+        _money("revenue"),
+        "orders",
+        "customers",
     )
 
 
 # ---------------------------------------------------------------- products
 def product_rollup(sale_lines: DataFrame) -> DataFrame:
-    """Per code: money, units, orders, buyers. Distinct counts run on pre-summed rows."""
-    return (
-        sale_lines.filter("stock_code IS NOT NULL")
-        .groupBy("stock_code", "invoice_no", "customer_id")
-        .agg(F.sum("line_revenue").alias("revenue"), F.sum("quantity").alias("units"))
-        .groupBy("stock_code")
-        .agg(
-            F.sum("revenue").alias("revenue"),
-            F.sum("units").alias("units"),
-            F.count_distinct("invoice_no").alias("orders"),
-            F.count_distinct("customer_id").alias("buyers"),
-        )
+    """Per code: money, units, orders, buyers; the lines are shuffled once."""
+    lines = sale_lines.filter("stock_code IS NOT NULL").select(
+        "stock_code", "invoice_no", "customer_id",
+        F.col("line_revenue").alias("revenue"), F.col("quantity").alias("units"),
+    )
+    return distinct_rollup(lines, ["stock_code"], ["revenue", "units"]).select(
+        "stock_code", "revenue", "units", "orders", F.col("customers").alias("buyers")
     )
 
 
@@ -433,12 +406,13 @@ def data_quality(ctx: Context) -> DataFrame:
         F.min("invoice_date").alias("first"),
         F.max("invoice_date").alias("last"),
     )
-    return per_invoice.agg(
-        F.count_distinct("invoice_no").alias("invoices"),
-        F.count_distinct("customer_id").alias("customers"),
-        *(F.coalesce(F.sum(name), F.lit(0)).alias(name) for name in counted),
-        F.to_date(F.min("first")).alias("first_day"),
-        F.to_date(F.max("last")).alias("last_day"),
+    whole = distinct_rollup(per_invoice, [], list(counted), ["first"], ["last"])
+    return whole.select(
+        *(F.coalesce(name, F.lit(0)).alias(name) for name in counted),
+        F.col("orders").alias("invoices"),
+        "customers",
+        F.to_date("first").alias("first_day"),
+        F.to_date("last").alias("last_day"),
     ).select(
         "lines_total", "invoices", "customers", "cancellation_lines", "return_lines",
         "non_merchandise_lines", "guest_lines", "bulk_lines", "description_missing",

@@ -5,6 +5,7 @@
 * :func:`compact_quantiles` - the same for days and counts, in one aggregate
 * :func:`most_common` - mode per key from counts, safe for hot keys
 * :func:`salted_left_join` - lookups whose big side may hold a hot key
+* :func:`distinct_rollup` - orders and customers per group without multiplying rows
 * :func:`share_of_total` - share of a whole-table total without an empty window
 """
 
@@ -180,6 +181,50 @@ def salted_left_join(
     )
 
 
+def distinct_rollup(
+    df: DataFrame,
+    group: Sequence[str],
+    sums: Sequence[str] = (),
+    least: Sequence[str] = (),
+    most: Sequence[str] = (),
+) -> DataFrame:
+    """Per ``group``: ``orders`` and ``customers`` (distinct, nulls apart), and ``repeaters``.
+
+    Repeaters are known customers with two orders or more in the group. ``sums``, ``least`` and
+    ``most`` name columns to add up or take the extreme of.
+
+    Several distinct counts in one aggregate would multiply every row and shuffle each copy. Here
+    rows are dealt by (group, order) once: that puts all rows of an order together, so the first
+    of them can stand for it. From there on orders are a plain sum, and the rows of a customer,
+    summed on the map side, are the customers of the group.
+    """
+
+    def added() -> list[Column]:
+        return [
+            *(F.sum(n).alias(n) for n in sums), *(F.min(n).alias(n) for n in least),
+            *(F.max(n).alias(n) for n in most),
+        ]
+
+    order = [*group, "invoice_no"]
+    columns = dict.fromkeys([*order, "customer_id", *sums, *least, *most])
+    per_order = (
+        df.select(*columns).repartition(*order).groupBy(*order, "customer_id").agg(*added())
+    )
+    place = F.row_number().over(Window.partitionBy(*order).orderBy("customer_id"))
+    per_customer = (
+        per_order.withColumn("_first", (place == 1) & F.col("invoice_no").isNotNull())
+        .groupBy(*group, "customer_id")
+        .agg(*added(), F.count_if("_first").alias("_orders"), F.count("invoice_no").alias("_own"))
+    )
+    known = F.col("customer_id").isNotNull()
+    return per_customer.groupBy(*group).agg(
+        *added(),
+        F.coalesce(F.sum("_orders"), F.lit(0)).alias("orders"),
+        F.count("customer_id").alias("customers"),
+        F.count_if(known & (F.col("_own") > 1)).alias("repeaters"),
+    )
+
+
 def share_of_total(df: DataFrame, part: str) -> Column:
     """``part`` over its whole-table sum; the sum is a scalar subquery, one value."""
     return C.ratio(F.col(part), df.agg(F.sum(part)).scalar())

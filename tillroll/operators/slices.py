@@ -17,9 +17,10 @@ from pyspark.sql import functions as F
 from tillroll.functions import columns as C
 from tillroll.operators import base
 from tillroll.operators.gaps import elapsed_gap_counts, one_row_per_gap
-from tillroll.operators.marts import calendar_back, repeat_rates, with_labels
+from tillroll.operators.marts import by_country, calendar_back, with_labels
 from tillroll.operators.scale import (
     compact_quantiles,
+    distinct_rollup,
     exact_quantiles,
     running_total,
     share_of_total,
@@ -166,12 +167,7 @@ class Slice:
         if not unrestricted:
             starts = starts.join(pairs, ["customer_id", "month_start"], "left_semi")
         newcomers = starts.groupBy("month_start").agg(F.count("*").alias("newcomers"))
-        active = orders.groupBy("month_start").agg(
-            F.sum("revenue").alias("revenue"),
-            F.count_distinct("invoice_no").alias("orders"),
-            F.count_distinct("customer_id").alias("customers"),
-            F.sum("units").alias("units"),
-        )
+        active = distinct_rollup(orders, ["month_start"], ["revenue", "units"])
         undone = self.reversals.groupBy("month_start").agg(
             F.sum("line_revenue").alias("reversed")
         )
@@ -217,12 +213,8 @@ class Slice:
     # ------------------------------------------------------------ by place
     def country_rollup(self) -> DataFrame:
         """Turnover by country (D3); guest-only countries stay, without a repeat rate."""
-        per_country = self._orders.groupBy("country").agg(
-            F.sum("revenue").alias("revenue"),
-            F.count_distinct("invoice_no").alias("orders"),
-            F.count_distinct("customer_id").alias("customers"),
-        )
-        return per_country.join(repeat_rates(self._orders), "country", "left").select(
+        per_country = by_country(self._orders)
+        return per_country.select(
             "country",
             C.dbl(F.col("revenue")).alias("revenue"),
             "orders",
@@ -255,21 +247,13 @@ class Slice:
 
     def region_monthly(self) -> DataFrame:
         """Turnover by market group and month."""
-        return (
-            base.with_market_group(self._orders, self.rules)
-            .groupBy("region", "month_start")
-            .agg(
-                F.sum("revenue").alias("revenue"),
-                F.count_distinct("invoice_no").alias("orders"),
-                F.count_distinct("customer_id").alias("customers"),
-            )
-            .select(
-                "region",
-                C.month_label(F.col("month_start")).alias("month"),
-                C.dbl(F.col("revenue")).alias("revenue"),
-                "orders",
-                "customers",
-            )
+        orders = base.with_market_group(self._orders, self.rules)
+        return distinct_rollup(orders, ["region", "month_start"], ["revenue"]).select(
+            "region",
+            C.month_label(F.col("month_start")).alias("month"),
+            C.dbl(F.col("revenue")).alias("revenue"),
+            "orders",
+            "customers",
         )
 
     def region_totals(self) -> DataFrame:
