@@ -50,3 +50,37 @@ def test_a_staged_table_keeps_schema_and_cuts_lineage(spark):
     plan = staged._jdf.queryExecution().executedPlan().toString()
     assert "FileScan parquet" in plan and "Range" not in plan
     assert staged.count() == 10
+
+
+def test_what_passes_is_removed(spark):
+    from pathlib import Path
+
+    from tillroll.plans.staging import passing, shared_folder
+
+    def there():
+        return {p.name.rsplit("-", 1)[0] for p in Path(shared_folder(spark)).iterdir()}
+
+    stage(spark.range(3), "stays-here")
+    with passing(spark):
+        first = stage(spark.range(3), "outer-table")
+        with passing(spark):
+            stage(spark.range(3), "inner-table")
+            assert {"inner-table", "outer-table"} <= there()
+        assert "inner-table" not in there() and first.count() == 3
+    assert "outer-table" not in there() and "stays-here" in there()
+
+
+def test_an_append_leaves_no_staged_table(spark, tmp_path):
+    from pathlib import Path
+
+    from retail_rows import FIRST_HEADERS, NORTH, numbered
+
+    from tillroll.plans.staging import shared_folder
+    from tillroll.sources.store import FactStore
+
+    folder = Path(shared_folder(spark))
+    before = {p.name for p in folder.iterdir()} if folder.exists() else set()
+    store = FactStore(spark, str(tmp_path))
+    store.append("north", spark.createDataFrame(numbered(NORTH), FIRST_HEADERS))
+    assert {p.name for p in folder.iterdir()} == before
+    assert store.fact().count() > 0 and store.change_log().count() > 0

@@ -10,11 +10,16 @@ The caller names the folder; nothing here makes one up.
 
 from __future__ import annotations
 
+import contextlib
+import threading
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
 _SETTING = "spark.checkpoint.dir"
+#: per thread the lists of open :func:`passing` blocks
+_LOCAL = threading.local()
 
 
 def named_folder(spark: SparkSession) -> str | None:
@@ -41,11 +46,40 @@ def new_path(spark: SparkSession, name: str) -> str:
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once to the shared folder and return a reader of that table."""
     path = new_path(df.sparkSession, name)
+    for scope in _open_scopes():
+        scope.append(path)
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def _open_scopes() -> list[list[str]]:
+    if not hasattr(_LOCAL, "scopes"):
+        _LOCAL.scopes = []
+    return _LOCAL.scopes
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Remove a folder of any file system, if it is there."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+@contextlib.contextmanager
+def passing(spark: SparkSession) -> Iterator[None]:
+    """Remove at the end what this thread stages inside.
+
+    For steps that end in a table of their own: nothing staged inside may be read afterwards.
+    """
+    scopes, own = _open_scopes(), []
+    scopes.append(own)
+    try:
+        yield
+    finally:
+        scopes.remove(own)
+        for path in own:
+            remove(spark, path)
+
+
 def clear_staged(spark: SparkSession) -> None:
     """Remove every table this application has staged; frames that read them end with it."""
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(shared_folder(spark))
-    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
+    remove(spark, shared_folder(spark))

@@ -37,7 +37,7 @@ from tillroll.operators.clean import (
     tag_rows,
 )
 from tillroll.operators.scale import salted_left_join
-from tillroll.plans.staging import stage
+from tillroll.plans.staging import passing, stage
 from tillroll.rules import BUSINESS_KEY, Rules
 from tillroll.schema import FACT_COLUMNS, FACT_SCHEMA
 from tillroll.sources.feed import ingest
@@ -139,7 +139,14 @@ class FactStore:
 
     # ------------------------------------------------------------ appending
     def append(self, name: str, source: DataFrame) -> Months:
-        """Clean ``source`` and add it; returns the months that were rewritten."""
+        """Clean ``source`` and add it; returns the months that were rewritten.
+
+        What is staged on the way is removed again.
+        """
+        with passing(self.spark):
+            return self._append(name, source)
+
+    def _append(self, name: str, source: DataFrame) -> Months:
         run, rules = self.runs(), self.rules
         raw = ingest([(name, source)])
         typed = normalize_types(raw, rules, self.countries).drop("source")

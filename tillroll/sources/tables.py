@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tillroll.operators.clean import Cleaning
 from tillroll.operators.marts import MART_ORDER, REGISTRY
 from tillroll.plans.context import Context
+from tillroll.plans.staging import passing
 from tillroll.schema import FACT_COLUMNS, FACT_SCHEMA
 from tillroll.sources import versions
 
@@ -59,7 +60,7 @@ def write_marts(ctx: Context, folder: str, at_once: int = 4) -> list[str]:
 
     They go into a new version of ``folder``, which readers get once all are written. What several
     marts read is staged first. The marts are then independent jobs; a few run side by side so
-    that one mart's last small stage leaves no cluster idle.
+    that one mart's last small stage leaves no cluster idle. What a mart alone stages is removed.
     """
     spark = ctx.fact.sparkSession
     version = versions.begin(spark, folder)
@@ -70,8 +71,9 @@ def write_marts(ctx: Context, folder: str, at_once: int = 4) -> list[str]:
             F.desc_nulls_last(key[1:]) if key.startswith("-") else F.asc_nulls_last(key)
             for key in MART_ORDER.get(name, [])
         ]
-        mart = REGISTRY[name](ctx)
-        write_table(mart.orderBy(*order) if order else mart, f"{version}/{name}")
+        with passing(spark):
+            mart = REGISTRY[name](ctx)
+            write_table(mart.orderBy(*order) if order else mart, f"{version}/{name}")
 
     with ThreadPoolExecutor(at_once) as pool:
         list(pool.map(write, REGISTRY))
