@@ -150,6 +150,14 @@ def test_files_go_by_task_number(spark):
     assert [starts[f"part-{n:05d}-x-c{c:03d}.zstd.parquet"] for n in (3, 99_999, 100_000) for c in (0, 1)] == [0, 10, 20, 30, 40, 50]
 
 
+def test_checksums_pass_the_ids_through_python_once(spark, corpus, vocabulary):
+    path = new_path(spark, "tokens")
+    token_files.write_tokens(corpus, path, vocabulary, 2)
+    got = token_files.read_checksums(spark, path)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 1
+
+
 def test_no_training_text(spark, empty):
     docs = cases.table(spark, [(1, "abc", None, "s", 1)])
     held = F.lit(True)

@@ -47,6 +47,8 @@ def encoded(
                 [batch.column(0), lists, pa.array(np.diff(starts), pa.int64())],
                 names=["doc_id", "ids", "n_tokens"],
             )
+            # before the next slice: Arrow would keep what this one took
+            pa.default_memory_pool().release_unused()
 
     chosen = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     return chosen.mapInArrow(run, f"doc_id {kind}, ids array<int>, n_tokens bigint")
@@ -89,13 +91,15 @@ def _place() -> list[Column]:
     ]
 
 
-def with_start(rows: DataFrame) -> DataFrame:
+def with_start(rows: DataFrame, counts: DataFrame | None = None) -> DataFrame:
     """Replace (file, row) by ``start``, the ids of all documents before.
 
     One file is one range. Files go by the number of the task in their name, which has five
-    digits or more, so names as such do not sort.
+    digits or more, so names as such do not sort. ``counts`` (file, n_tokens) are the same rows
+    where ``rows`` cost more to read a second time.
     """
-    per_file = rows.groupBy("file").agg(F.sum("n_tokens").alias("in_file"))
+    counts = rows if counts is None else counts
+    per_file = counts.groupBy("file").agg(F.sum("n_tokens").alias("in_file"))
     task = F.regexp_extract("file", r"^part-(\d+)", 1).cast("bigint")
     ahead = Window.orderBy(task, "file").rowsBetween(Window.unboundedPreceding, -1)
     before = per_file.select(
@@ -114,7 +118,8 @@ def with_start(rows: DataFrame) -> DataFrame:
 
 def read_checksums(spark: SparkSession, path: str) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32), all from the files."""
-    rows = spark.read.parquet(path).select("doc_id", "ids", *_place())
+    files = spark.read.parquet(path)
+    rows = files.select("doc_id", "ids", *_place())
     kind = rows.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -133,4 +138,5 @@ def read_checksums(spark: SparkSession, path: str) -> DataFrame:
     read = rows.mapInArrow(
         run, f"doc_id {kind}, file string, row bigint, n_tokens bigint, ids_crc32 bigint"
     )
-    return with_start(read).select("doc_id", "start", "n_tokens", "ids_crc32")
+    counts = files.select("n_tokens", _place()[0])
+    return with_start(read, counts).select("doc_id", "start", "n_tokens", "ids_crc32")
