@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tillroll.llm import line_dedup, mixing, quality, registry
+from tillroll.plans.staging import stage
 
 ALL = cases.rows()
 
@@ -131,6 +132,21 @@ def test_concentration_ends_when_no_determinant_falls(spark):
     assert ended != pytest.approx(centre(3), abs=1e-3)
 
 
+def test_a_concentration_step_is_one_pass(spark, monkeypatch):
+    rows = [("en", "s", *(0.1 * (i * k % 7) for k in range(1, quality.P + 1))) for i in range(40)]
+    names = ", ".join(f"x{i} double" for i in range(quality.P))
+    vectors = spark.createDataFrame(rows, f"lang string, source string, {names}")
+    staged = []
+
+    def counted(df, name):
+        staged.append(name)
+        return stage(df, name)
+
+    monkeypatch.setattr(quality, "stage", counted)
+    quality.group_estimates(vectors, steps=3).collect()
+    assert staged == ["medians", "spreads", *["mcd"] * 5]
+
+
 def test_chi_square_and_steps():
     assert quality.chi2_quantile(0.975, 4) == pytest.approx(11.1433, abs=1e-3)
     assert quality.chi2_quantile(0.5, 4) == pytest.approx(3.35669, abs=1e-4)

@@ -193,13 +193,42 @@ def _borders(rows: DataFrame, share: float, bins: dict[str, Column]) -> DataFram
     )
 
 
+def _moments(of) -> list[Column]:
+    """``of`` every statistic, as m*, and of every product of two, as q**."""
+    return [*(of(F.col(x)).alias(f"m{i}") for i, x in enumerate(_X))] + [
+        of(F.col(_X[i]) * F.col(_X[j])).alias(f"q{i}{j}") for i in range(P) for j in range(i + 1)
+    ]
+
+
 def _estimate(rows: DataFrame, scale: float) -> DataFrame:
     """Per group: mean m*, and the lower triangle l* of the Cholesky factor of the scatter."""
-    sums = [*(F.avg(x).alias(f"m{i}") for i, x in enumerate(_X))]
-    sums += [
-        F.avg(F.col(_X[i]) * F.col(_X[j])).alias(f"q{i}{j}") for i in range(P) for j in range(i + 1)
-    ]
-    found = rows.groupBy("lang", "source").agg(*sums)
+    return _factored(rows.groupBy("lang", "source").agg(*_moments(F.avg)), scale)
+
+
+def _nearest_estimate(rows: DataFrame, distance: str, share: float) -> DataFrame:
+    """The estimate of the share of every group with the smallest distances, whole bins.
+
+    One pass: the histogram holds the sums of each bin beside its rows, and the bins up to the
+    border are added up.
+    """
+    group = ["lang", "source"]
+    counted = rows.groupBy(*group, _bin(F.col(distance)).alias("bin")).agg(
+        F.count("*").alias("n"), *_moments(F.sum)
+    )
+    per = Window.partitionBy(*group)
+    before = per.orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
+    near = (
+        counted.withColumn("nearer", F.coalesce(F.sum("n").over(before), F.lit(0)))
+        .withColumn("all", F.sum("n").over(per))
+        .filter(F.col("nearer") < F.col("all") * share)
+    )
+    names = [c for c in counted.columns if c not in (*group, "bin", "n")]
+    found = near.groupBy(*group).agg(*((F.sum(c) / F.sum("n")).alias(c) for c in names))
+    return _factored(found, _consistency(share))
+
+
+def _factored(found: DataFrame, scale: float) -> DataFrame:
+    """:func:`_estimate` of the averages of :func:`_moments`."""
     for i in range(P):
         for j in range(i + 1):
             value = (F.col(f"q{i}{j}") - F.col(f"m{i}") * F.col(f"m{j}")) * scale
@@ -230,12 +259,6 @@ def _with_distance(rows: DataFrame, estimate: DataFrame) -> DataFrame:
     return joined.withColumn("d2", d2).select("lang", "source", *_X, "d2")
 
 
-def _nearest(rows: DataFrame, distance: str, share: float) -> DataFrame:
-    """The share of every group with the smallest distances, whole bins."""
-    border = _borders(rows, share, {"top": _bin(F.col(distance))})
-    return _on_group(rows, stage(border, "nearest")).filter(_bin(F.col(distance)) <= F.col("top"))
-
-
 def _least(estimate: DataFrame, before: DataFrame | None) -> DataFrame:
     """(lang, source, det, fell): least root of the determinant so far, and whether it fell now."""
     det = F.col("l00")
@@ -276,13 +299,10 @@ def group_estimates(
         F.lit(0.0),
     )
     first = _on_group(centred, spread).withColumn("d2", start).select("lang", "source", *_X, "d2")
-    subset = _nearest(first, "d2", 0.5)
-    scale = _consistency(0.5)
-    estimate, done, least = stage(_estimate(subset, scale), "mcd"), 0, None
+    estimate, done, least = stage(_nearest_estimate(first, "d2", 0.5), "mcd"), 0, None
     while done != (ROUNDS if steps is None else steps):
-        subset = _nearest(_with_distance(vectors, estimate), "d2", coverage)
-        scale = _consistency(coverage)
-        estimate = stage(_estimate(subset, scale), "mcd")
+        near = _nearest_estimate(_with_distance(vectors, estimate), "d2", coverage)
+        estimate = stage(near, "mcd")
         done += 1
         if steps is None:
             least = stage(_least(estimate, least), "determinants")
