@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -12,4 +13,5 @@ from tillroll.plans.staging import named_folder
 def ensure_folder(spark: SparkSession) -> None:
     """Give a session on this one machine a folder of its own; a cluster must name one."""
     if not named_folder(spark) and spark.sparkContext.master.startswith("local"):
-        spark.conf.set("spark.checkpoint.dir", tempfile.mkdtemp(prefix="tillroll-"))
+        # a running session refuses to set spark.checkpoint.dir
+        spark.sparkContext.setCheckpointDir(os.path.realpath(tempfile.mkdtemp(prefix="tillroll-")))

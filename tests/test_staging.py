@@ -1,11 +1,17 @@
 """Where staged tables go."""
 
+import os
+import subprocess
+import sys
+from pathlib import Path
 from types import SimpleNamespace
 
 import pytest
 
 from tillroll.plans.staging import shared_folder, stage
 
+REPO = str(Path(__file__).resolve().parents[1])
+
 
 class FakeContext:
     applicationId = "app-1"
@@ -84,3 +90,21 @@ def test_an_append_leaves_no_staged_table(spark, tmp_path):
     store.append("north", spark.createDataFrame(numbered(NORTH), FIRST_HEADERS))
     assert {p.name for p in folder.iterdir()} == before
     assert store.fact().count() > 0 and store.change_log().count() > 0
+
+
+@pytest.mark.parametrize("entry", ["checks.folder.ensure_folder", "tillroll.llm.common.prepare"])
+def test_a_session_without_folder_gets_one(tmp_path, entry):
+    module, name = entry.rsplit(".", 1)
+    code = f"""
+from pyspark.sql import SparkSession
+from tillroll.plans.staging import named_folder, stage
+from {module} import {name}
+spark = SparkSession.builder.master("local[1]").config("spark.ui.enabled", "false").getOrCreate()
+assert not named_folder(spark)
+{name}(spark)
+assert stage(spark.range(3), "t").count() == 3
+"""
+    env = os.environ | {"SPARK_CONF_DIR": str(tmp_path), "TMPDIR": str(tmp_path), "PYTHONPATH": REPO}
+    env.pop("PYSPARK_GATEWAY_PORT", None)
+    done = subprocess.run([sys.executable, "-c", code], env=env, capture_output=True, text=True, timeout=120)
+    assert done.returncode == 0, done.stderr[-2000:]
