@@ -7,11 +7,12 @@ import tempfile
 
 from pyspark.sql import SparkSession
 
-from tillroll.plans.staging import named_folder
+from tillroll.plans.staging import named_folder, try_folder
 
 
 def ensure_folder(spark: SparkSession) -> None:
-    """Give a session on this one machine a folder of its own; a cluster must name one."""
+    """Give a session on this one machine a folder of its own; a cluster must name a shared one."""
     if not named_folder(spark) and spark.sparkContext.master.startswith("local"):
         # a running session refuses to set spark.checkpoint.dir
         spark.sparkContext.setCheckpointDir(os.path.realpath(tempfile.mkdtemp(prefix="tillroll-")))
+    try_folder(spark)

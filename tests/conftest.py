@@ -45,3 +45,13 @@ def raw_sources(spark):
 @pytest.fixture(scope="session")
 def fact(spark):
     return build_fact(spark, FACT_LINES)
+
+
+@pytest.fixture
+def cluster(spark, monkeypatch):
+    """The session under a cluster's name; its folder is a path, as that of a mount is."""
+    from tillroll.plans import staging
+
+    monkeypatch.setattr(staging, "_TRIED", set())
+    monkeypatch.setattr(spark.sparkContext, "master", "spark://host:7077")
+    return spark

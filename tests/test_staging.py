@@ -108,3 +108,48 @@ assert stage(spark.range(3), "t").count() == 3
     env.pop("PYSPARK_GATEWAY_PORT", None)
     done = subprocess.run([sys.executable, "-c", code], env=env, capture_output=True, text=True, timeout=120)
     assert done.returncode == 0, done.stderr[-2000:]
+
+
+def one_file_lost(monkeypatch):
+    """From now on a file of each table ends on a disk that the driver does not see."""
+    from pyspark.sql import DataFrameWriter
+
+    def losing(writer, path, write=DataFrameWriter.parquet):
+        write(writer, path)
+        next(Path(path).glob("part-*")).unlink()
+
+    monkeypatch.setattr(DataFrameWriter, "parquet", losing)
+
+
+def test_a_folder_that_a_cluster_shares_is_taken(cluster):
+    from tillroll.plans.staging import clear_staged
+
+    assert stage(cluster.range(10), "t").count() == 10
+    assert stage(cluster.range(0), "t").count() == 0
+    folder = Path(shared_folder(cluster))
+    assert not list(folder.glob("trial-*"))
+    clear_staged(cluster)
+    assert not folder.exists()
+
+
+def test_a_folder_that_loses_an_executors_files_is_refused(cluster, monkeypatch):
+    one_file_lost(monkeypatch)
+    with pytest.raises(RuntimeError, match="one machine"):
+        stage(cluster.range(10), "t")
+
+
+def test_a_table_that_is_not_whole_is_refused_on_a_cluster(cluster, monkeypatch):
+    stage(cluster.range(10), "t")
+    one_file_lost(monkeypatch)
+    with pytest.raises(RuntimeError, match="10 lines written, [0-9] found"):
+        stage(cluster.range(10), "t")
+
+
+@pytest.mark.parametrize("name", ["all_lines", "clean_fact_appended", "country_audit", "cohort_pivot"])
+def test_retail_queries_run_in_a_folder_that_a_cluster_shares(cluster, tmp_path, name):
+    from test_feeds import DAYS, write_tables
+
+    from checks.queries import all_queries
+
+    rows = all_queries()[name](cluster, write_tables(cluster, tmp_path, DAYS)).count()
+    assert rows == {"all_lines": 4, "clean_fact_appended": 4, "country_audit": 1, "cohort_pivot": 1}[name]
